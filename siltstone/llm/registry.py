@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siltstone.llm import secrets, sharding, topk, warc
+from siltstone.llm import bpe, packing, secrets, sharding, topk, warc
 
 QUERIES = {
     "op4_minimax_shards": sharding.op4,
+    "op5_bpe_transducer": bpe.op5,
+    "op6_exact_complement_packing": packing.op6,
     "op7_warc_salvage": warc.op7,
     "op9_pivot_topk": topk.op9,
     "op10_secret_ledger": secrets.op10,
