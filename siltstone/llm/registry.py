@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, packing, secrets, sharding, topk, warc
+from siltstone.llm import bpe, fingerprint, packing, secrets, sharding, topk, warc
 
 QUERIES = {
+    "op2_exact_fingerprints": fingerprint.op2,
     "op4_minimax_shards": sharding.op4,
     "op5_bpe_transducer": bpe.op5,
     "op6_exact_complement_packing": packing.op6,
