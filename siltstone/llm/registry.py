@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, fingerprint, packing, secrets, sharding, topk, warc
+from siltstone.llm import bpe, fingerprint, language, packing, quality, secrets, sharding, topk, warc
 
 QUERIES = {
+    "op1_ecoc_language": language.op1,
     "op2_exact_fingerprints": fingerprint.op2,
+    "op3_attention_quality": quality.op3,
     "op4_minimax_shards": sharding.op4,
     "op5_bpe_transducer": bpe.op5,
     "op6_exact_complement_packing": packing.op6,
