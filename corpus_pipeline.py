@@ -1,16 +1,75 @@
-"""A corpus pipeline of five stages. Each takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs."""
+"""A corpus pipeline of five stages over documents.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as Parquet and reread as the
+next one's docs. All but the last return the columns of documents. Rows whose doc_id is null keep their place through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import language, neardup, packing, quality, secrets
+from siltstone.llm.common import held_out, staged, workdir
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (predicted 1)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    out_of = held_out(F.col("doc_id"))
+    model = quality.train(docs.filter(~out_of).select("doc_id", "text"), labels.filter(~out_of))
+    return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found (those without a letter are rejected)."""
+    model = language.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near-duplicates: that of the least doc_id. Of repeated rows of one doc_id the first by text hash stays."""
+    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
+    kept = staged(classes.filter("doc_id = class_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "pipeline-kept")
+    out = docs.join(kept.hint("shuffle_hash"), "doc_id")
+    if kept.filter("_rows > 1").isEmpty():
+        out = out.select(*docs.columns)
+    else:
+        key = F.xxhash64("text")
+        first = out.filter("_rows > 1").groupBy("doc_id").agg(F.min(key).alias("_first"))
+        twice = out.filter("_rows > 1").join(first, "doc_id").filter(key == F.col("_first")).dropDuplicates(["doc_id"])
+        out = out.filter("_rows = 1").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every found secret replaced by its kind in square brackets (of overlapping spans the earlier and longer)."""
+    found = secrets.scan_history(docs, secrets.Ledger(spark, workdir(spark, "pipeline-ledger")), keep_text=True)
+    return secrets.redacted(found).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents, packed into sequences."""
+    import public_tokenizers as vocab
+
+    return packing.pack_documents(docs.select("doc_id", "text"), vocab.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language ID", language_stage),
+    ("MinHash near-dedup", neardup_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: The learned and sampled stages have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table documents."""
-    from siltstone.llm.common import staged
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, fingerprint, language, packing, quality, secrets, sharding, topk, warc
+from siltstone.llm import bpe, fingerprint, language, neardup, packing, quality, secrets, sharding, topk, warc
 
 QUERIES = {
     "op1_ecoc_language": language.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe_transducer": bpe.op5,
     "op6_exact_complement_packing": packing.op6,
     "op7_warc_salvage": warc.op7,
+    "op8_icws_neardup": neardup.op8,
     "op9_pivot_topk": topk.op9,
     "op10_secret_ledger": secrets.op10,
 }

@@ -112,12 +112,12 @@ class Ledger:
         return self.spark.read.parquet(batch).count()
 
 
-def scan_history(history: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """history: any columns and `text` (null: empty), one row per path and version. Adds found: array<struct<kind, start, end>>,
+def scan_history(history: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
+    """history: any columns and `text` (null: empty), one row per path and version. Without `keep_text` the text goes. Adds blob and found: array<struct<kind, start, end>>,
     sorted by start, then kind as listed in `rules`; empty arrays where nothing was found. Repeated rows each get theirs."""
-    body = history.withColumn("text", F.coalesce("text", F.lit("")))
-    named = body.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    ledger.scan(named.select("blob", "text"), rules)
+    body = F.coalesce("text", F.lit(""))
+    named = history.withColumn("blob", F.sha2(body.cast("binary"), 256))
+    ledger.scan(named.select("blob", body.alias("text")), rules)
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     wanted = None
     for r in rules:
@@ -128,7 +128,24 @@ def scan_history(history: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = R
         .agg(F.sort_array(F.collect_set(F.struct(F.col("start"), order[F.col("rule")].alias("turn"), F.col("rule").alias("kind"), F.col("end")))).alias("found"))
     )
     none = F.array().cast("array<struct<start:int,turn:int,kind:string,end:int>>")
-    return named.drop("text").join(found, "blob", "left").withColumn("found", F.coalesce("found", none))
+    paths = named if keep_text else named.drop("text")
+    return paths.join(found.hint("shuffle_hash") if keep_text else found, "blob", "left").withColumn("found", F.coalesce("found", none))
+
+
+def redacted(scanned: DataFrame) -> DataFrame:
+    """Replaces each found span of `text` by [kind]. A span that begins inside an earlier one is swallowed by it. Null stays null."""
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = F.aggregate(
+        "found",
+        start,
+        lambda s, x: F.when(
+            x["start"] >= s["at"],
+            F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out")),
+        ).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))),
+        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
+    )
+    return scanned.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(text))
 
 
 def joined(found: Column) -> Column:
