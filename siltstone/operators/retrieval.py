@@ -53,8 +53,10 @@ def near_pairs(cands: DataFrame, least: float = 0.5, key: str = "vec_id", doc: s
 
     Candidate lists are bounded by the retrieval stage; pairs meet on common 3-grams by an equi-join.
     """
-    g = cands.select(by, key, doc, T.ngrams(F.lower(F.col(text))).alias("grams")).withColumn("size", F.size("grams"))
-    each = g.select(by, F.col(key).alias("k"), F.col(doc).alias("d"), "size", F.explode("grams").alias("gram"))
+    low = cands.select(by, F.col(key).alias("k"), F.col(doc).alias("d"), F.lower(F.col(text)).alias("t")).filter(F.length("t") >= 3)
+    spots = low.select(by, "k", "d", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i"))
+    grams = spots.select(by, "k", "d", F.substring("t", F.col("i"), F.lit(3)).alias("gram")).distinct()
+    each = grams.join(grams.groupBy(by, "k").agg(F.count(F.lit(1)).alias("size")), [by, "k"])
     other = each.select(by, F.col("k").alias("k2"), F.col("d").alias("d2"), F.col("size").alias("size2"), "gram")
     both = each.join(other, [by, "gram"]).filter((F.col("k") < F.col("k2")) & (F.col("d") != F.col("d2")))
     n = both.groupBy(by, "k", "k2").agg(F.count(F.lit(1)).alias("common"), F.first("size").alias("size"), F.first("size2").alias("size2"))
