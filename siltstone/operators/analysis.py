@@ -140,7 +140,7 @@ def recommend_index(rows: Column, model: Column) -> tuple[Column, Column]:
     kind = F.lit(INDEX_RULES[-1][1])
     for most, name in reversed(INDEX_RULES[:-1]):
         kind = F.when(rows <= most, name).otherwise(kind)
-    metric = F.when(F.lower(model).rlike("bge|qwen|openai|text-embedding"), "COSINE").otherwise("L2")
+    metric = F.when(F.lower(model).rlike("bge|qwen|openai|cohere|text-embedding|ada"), "COSINE").otherwise("L2")
     return kind, metric
 
 
@@ -156,7 +156,7 @@ def recommend_chunking(f: DataFrame, structured: Column) -> DataFrame:
         rule(c("clear_structure") & (c("heading_count") >= 5), 2, "heading", F.when(c("heading_count") > 10, 0.9).otherwise(0.8)),
         rule(c("is_technical") & (c("code_ratio") > 0.2), 3, "hybrid", F.lit(0.82)),
         rule(semantic, 4, "semantic", F.lit(0.85)),
-        rule(~c("clear_structure") & ~structured & (c("char_count") > 10_000), 5, "parent_child", F.lit(0.78)),
+        rule(~c("clear_structure") & ~structured & (c("char_count") > 10_000) & (c("table_count") == 0) & (c("image_count") == 0) & (c("heading_count") < 5) & ~(c("is_technical") & (c("code_ratio") > 0.2)), 5, "parent_child", F.lit(0.78)),
         rule((c("char_count") < 5000) | (c("complexity") == "low"), 6, "character", F.lit(0.6)),
         rule(~structured & ~semantic, 7, "semantic", F.lit(0.7)),
     ]

@@ -174,7 +174,7 @@ UNION ALL SELECT doc_id, 1, 'hybrid', CASE WHEN table_count >= 3 OR image_count
 UNION ALL SELECT doc_id, 2, 'heading', CASE WHEN heading_count > 10 THEN 0.9 ELSE 0.8 END FROM x WHERE clear_structure AND heading_count >= 5
 UNION ALL SELECT doc_id, 3, 'hybrid', 0.82 FROM x WHERE is_technical AND code_ratio > 0.2
 UNION ALL SELECT doc_id, 4, 'semantic', 0.85 FROM x WHERE sem
-UNION ALL SELECT doc_id, 5, 'parent_child', 0.78 FROM x WHERE NOT clear_structure AND NOT st AND char_count > 10000
+UNION ALL SELECT doc_id, 5, 'parent_child', 0.78 FROM x WHERE NOT clear_structure AND NOT st AND char_count > 10000 AND table_count = 0 AND image_count = 0 AND heading_count < 5 AND NOT (is_technical AND code_ratio > 0.2)
 UNION ALL SELECT doc_id, 6, 'character', 0.6 FROM x WHERE char_count < 5000 OR complexity = 'low'
 UNION ALL SELECT doc_id, 7, 'semantic', 0.7 FROM x WHERE NOT st AND NOT sem)
 SELECT doc_id, rank, strategy, c::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, turn) AS rank FROM r) WHERE rank <= 3"""
