@@ -114,7 +114,7 @@ def scan_properties(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, line_count) of whole text files in UTF-8."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), (F.regexp_count("value", F.lit("\n")) + 1).cast("long").alias("line_count"))
 
 
