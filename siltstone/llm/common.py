@@ -24,6 +24,13 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small (the setting is the session's; a smaller one of the user's stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
