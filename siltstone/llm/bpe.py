@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 #: Transitions, memoised pieces and memoised words that a worker keeps before it starts afresh.
-TRANSITIONS, PIECES, WORDS = 250_000, 250_000, 500_000
+TRANSITIONS, PIECES, WORDS = 400_000, 400_000, 900_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -169,6 +169,8 @@ class Encoder:
 
     #: A blank preceded by white space and followed by more, or by the end: only then can a match cross the start of a blank.
     CROSSING = re.compile(r"\s (?:\s|\Z)|^ (?:\s|\Z)")
+    #: A comma or full stop between a letter or digit and white space is a match of its own.
+    STOP = re.compile(r"(?<=[^\W_])(?=[.,](?:\s|\Z))")
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -193,7 +195,7 @@ class Encoder:
         if self.CROSSING.search(text):
             return self.word(text)
         # matches never cross the start of a blank here, so words with their leading blank are split alone, and remembered
-        parts = (" " + text.replace(" ", "\0 ")).split("\0") if "\0" not in text else None
+        parts = (" " + self.STOP.sub("\0", text.replace(" ", "\0 "))).split("\0") if "\0" not in text else None
         if parts is None:
             return self.word(text)
         parts[0] = parts[0][1:]
