@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,28 @@ def hash_embedding(df: DataFrame, key: str, text: str = "text", dim: int = DIM)
     return each.groupBy(key, slot.alias("slot")).agg(F.sum(sign).alias("value"))
 
 
+def hash_vectors(df: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
+    """(key, embedding): the same embedding as an array, made inside the row (no shuffle); texts without tokens are left out."""
+    @F.pandas_udf("array<double>")
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[int, float]] = {}
+        for p in parts:
+            out = []
+            for t in p:
+                v, terms = np.zeros(dim), re.findall("[\u4e00-\u9fff]|[a-zA-Z0-9]+", (t or "").lower())
+                for w in terms:
+                    if (x := known.get(w)) is None:
+                        if len(known) > 500_000:
+                            known.clear()
+                        h = hashlib.md5(w.encode()).hexdigest()
+                        x = known[w] = (int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0)
+                    v[x[0]] += x[1]
+                out.append(v if terms else None)
+            yield pd.Series(out)
+
+    return df.select(key, embed(text).alias("embedding")).filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
+
+
 def sparse_cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str) -> DataFrame:
     """(query, doc, score): cosines of vectors in long form (key, slot, value), to 6 places."""
     def unit(df: DataFrame, key: str) -> DataFrame:
@@ -41,7 +65,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE
     """(query_id, [by,] vec_id, score, rank): exact top k of each query, over all rows or within each group of `by`.
 
     vectors: (vec_id, embedding[, by]); queries: (query_id, q), at most `most` (their matrix goes to every task). Tasks keep k candidates of each query (and group) for the
-    final ranking, so the shuffle doesn't grow with the vectors of a task. Scores to 6 places; ties to the smaller id.
+    final ranking, so the shuffle doesn't grow with the vectors of a task. Scores to 6 places (RAW_COSINE: the cosine itself); ties to the smaller id.
     """
     rows = queries.limit(most + 1).collect()
     if len(rows) > most:
@@ -57,9 +81,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE
             for values, g in p.groupby(cols, dropna=False) if cols else [((), p)]:
                 v, vid = np.array(g["embedding"].tolist(), dtype=np.float64), g["vec_id"].to_numpy()
                 raw = q @ v.T
-                if metric == "COSINE":
+                if metric in ("COSINE", "RAW_COSINE"):
                     den = qn[:, None] * np.sqrt((v * v).sum(1))[None, :]
-                    s = (np.divide(raw, den, out=np.zeros_like(raw), where=den > 0) + 1) / 2
+                    s = np.divide(raw, den, out=np.zeros_like(raw), where=den > 0)
+                    s = (s + 1) / 2 if metric == "COSINE" else s
                 elif metric == "IP":
                     s = (raw + 1) / 2
                 else:

@@ -20,10 +20,12 @@ def term_rows(df: DataFrame, key: str, text: str = "text", stop: bool = True) ->
     return df.select(F.col(key), F.explode(toks).alias("term"))
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl): dl counts all tokens of the row. Counted inside each row: no shuffle."""
+def term_counts(df: DataFrame, key: str, text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl): dl counts all tokens of the row. `only` (a column term) leaves other terms out before they are shuffled."""
     toks = F.filter(T.tokens(F.col(text)), lambda t: ~t.isin(*STOPWORDS))
     each = df.select(F.col(key), toks.alias("toks")).select(key, F.size("toks").cast("long").alias("dl"), F.explode("toks").alias("term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
     return each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 

@@ -35,7 +35,12 @@ def query_weights(s, d):
 
 
 def bm25_scores(s, d):
-    return S.score(doc_weights(s, d), query_weights(s, d), "chunk_id", "query_id")
+    """Only the queries' terms are counted and weighed."""
+    vocab, corpus = fitted(s, d)
+    asked = S.term_rows(questions(s, d), "query_id", "query").select("term").distinct()
+    vocab = vocab.join(asked, "term", "left_semi")
+    docs = S.encode_documents(S.term_counts(texts(s, d), "chunk_id", only=asked), vocab, corpus, "chunk_id")
+    return S.score(docs, S.encode_queries(questions(s, d), vocab, "query_id", "query"), "chunk_id", "query_id")
 
 
 def sparse_top(s, d, n=20):
@@ -43,8 +48,10 @@ def sparse_top(s, d, n=20):
 
 
 def dense_top(s, d, n=20):
-    c, q = texts(s, d), questions(s, d).withColumnRenamed("query", "text")
-    return S.top(D.sparse_cosine(D.hash_embedding(c, "chunk_id"), D.hash_embedding(q, "query_id"), "chunk_id", "query_id"), "query_id", n, "chunk_id")
+    """Exact top n by matrix products against the queries' block, with a partial top n in every task."""
+    c = D.hash_vectors(texts(s, d), "chunk_id").withColumnRenamed("chunk_id", "vec_id")
+    q = D.hash_vectors(questions(s, d), "query_id", "query").withColumnRenamed("embedding", "q")
+    return D.search(c, q, n, "RAW_COSINE").withColumnRenamed("vec_id", "chunk_id")
 
 
 def hybrid(s, d, n=10):
