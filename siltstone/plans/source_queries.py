@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from siltstone.operators import chunking as C
 from siltstone.operators import headings as H
 from siltstone.plans.analysis_queries import MD, markdown
-from siltstone.plans.common import strip_sql, table
+from siltstone.plans.common import spread, strip_sql, table
 from siltstone.sources import files, html
 
 
 def pages(s, d):
-    return table(s, d, "pages").select("page_id", "html")
+    return spread(table(s, d, "pages").select("page_id", "html"))
 
 
 def md(s, d):
