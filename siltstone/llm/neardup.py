@@ -8,6 +8,8 @@
    member with a few representatives: some random, and the member that meets most others in its bands. So pairs grow with the rows.
 4. Pairs whose samples agree often enough are verified by the exact weighted Jaccard similarity of their whole texts.
 5. Verified links are joined to classes by large-star and small-star rounds, each written to the shared folder.
+6. The members of large buckets that still hold several classes are joined exactly: two texts of the least similarity share a shingle among
+   the rarest of each, and what follows that shingle in both leaves room for it. Their links complete the classes.
 Texts with the same words in the same order are one node from the start; copies are never expanded into pairs.
 """
 
@@ -34,6 +36,8 @@ AGREE = 10
 SKETCH, BLOCKS = 1 << 20, 64
 #: Buckets up to this size give all pairs; larger ones pairs with representatives.
 SMALL, RANDOM = 8, 3
+#: Members of one shingle's list that one part of it holds.
+PART = 2048
 TABLE = 1 << 16
 RARITY = 0.25
 
@@ -164,13 +168,17 @@ def signatures(docs: DataFrame, idf, id_col: str = "doc_id", text: str = "text")
     return docs.select(id_col, text).mapInPandas(run, f"`{id_col}` long, node string, sig binary, bands array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of nodes that share a bucket, as far as the class of each needs them; nodes: (node, bands)."""
+def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of several nodes (bucket, n, representatives) and their members (bucket, node, n); nodes: (node, bands)."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    order = [F.xxhash64(F.lit(s), F.col("node")) for s in range(RANDOM)]
+    order = [F.xxhash64(F.lit(s), F.col("bucket"), F.col("node")) for s in range(RANDOM)]
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(o.alias("h"), F.col("node").alias("node"))).alias(f"r{s}") for s, o in enumerate(order)]).filter("n > 1")
     sizes = staged(sizes, "neardup-buckets")
-    met = staged(rows.join(sizes.select("bucket", "n"), "bucket"), "neardup-members")
+    return sizes, staged(rows.join(sizes.select("bucket", "n"), "bucket"), "neardup-members")
+
+
+def candidates(sizes: DataFrame, met: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of nodes that share a bucket: all of a small one, those with the representatives of a large one."""
     small = met.filter(F.col("n") <= SMALL)
     left = small.select(F.col("node").alias("a"), "bucket")
     right = small.select(F.col("node").alias("b"), "bucket")
@@ -200,9 +208,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int = AGREE) -> DataFram
     return pairs.join(a, "a").join(b, "b").filter(agree("sig_a", "sig_b") >= least).select("a", "b")
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, idf, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text", most_broadcast: int = 1 << 19) -> DataFrame:
-    """(a, b, similarity) of the pairs whose weighted Jaccard similarity is at least `similarity`. One document of every paired node is read
-    again; rows: (id, node)."""
+def text_vectors(docs: DataFrame, rows: DataFrame, needed: DataFrame, name: str, id_col: str = "doc_id", text: str = "text", most_broadcast: int = 1 << 19) -> DataFrame:
+    """(node, vector) of the nodes of `needed`, sorted 32-bit shingles. One document of every node is read again; rows: (id, node)."""
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for i in range(0, len(p), 256):
@@ -210,17 +217,24 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, idf, similarity
                 q = q[[node_key(t) == k for t, k in zip(q[text], q["node"], strict=True)]]  # a repeated id can stand for another text
                 yield pd.DataFrame({"node": q["node"], "vector": [np.sort(shingles(t, WORDS).astype(np.uint32)).astype("<u4").tobytes() for t in q[text]]})
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = staged(rows.select(id_col, "node").join(needed, "node").groupBy("node").agg(F.min(id_col).alias(id_col)), "neardup-needed")
+    needed = staged(rows.select(id_col, "node").join(needed.select("node"), "node").groupBy("node").agg(F.min(id_col).alias(id_col)), f"{name}-needed")
     texts = docs.select(id_col, text).join(F.broadcast(needed) if needed.count() <= most_broadcast else needed, id_col)
-    vector = staged(texts.mapInPandas(vectors, "node string, vector binary"), "neardup-vectors")
+    return staged(texts.mapInPandas(vectors, "node string, vector binary"), f"{name}-vectors")
+
+
+def _weighted(b: bytes, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of a vector and their weights."""
+    u, c = np.unique(np.frombuffer(bytes(b), dtype="<u4"), return_counts=True)
+    return u, c * w[(u & np.uint32(SKETCH - 1)).astype(np.int64)].astype(np.float64)
 
+
+def verified(pairs: DataFrame, vector: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b, similarity) of the pairs whose weighted Jaccard similarity is at least `similarity`; vector: (node, vector)."""
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = idf.value
 
         def load(b: bytes) -> tuple[np.ndarray, np.ndarray, float]:
-            u, c = np.unique(np.frombuffer(bytes(b), dtype="<u4"), return_counts=True)
-            x = c * w[(u & np.uint32(SKETCH - 1)).astype(np.int64)].astype(np.float64)
+            u, x = _weighted(b, w)
             return u, x, x.sum()
 
         for p in parts:
@@ -242,6 +256,51 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, idf, similarity
     return pairs.join(a, "a").join(b, "b").mapInPandas(compare, "a string, b string, similarity double").distinct()
 
 
+def unsettled(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root) of the members of large buckets that hold several classes; classes: (node, root)."""
+    large = met.filter(F.col("n") > SMALL).select("bucket", "node").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = large.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("bucket")
+    return large.join(several, "bucket").groupBy("node").agg(F.first("root").alias("root"))
+
+
+def prefix_pairs(vector: DataFrame, nodes: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different roots, among them all whose similarity is at least `similarity`; nodes: (node, root).
+
+    Shingles go from the rarest to the commonest. Two texts of weights u <= v at `similarity` have at least need = similarity / (1 + similarity) * (u + v)
+    in common, which is 2 * similarity / (1 + similarity) of u and `similarity` of v or more. So their first common shingle has at least that much of each
+    text from it onwards, and at least `need` of both.
+    """
+    share = similarity / (1 + similarity) * (1 - 1e-6)
+
+    def prefix(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = idf.value
+        for p in parts:
+            for i in range(0, len(p), 256):
+                q, out = p.iloc[i : i + 256], []
+                for b in q["vector"]:
+                    u, x = _weighted(b, w)
+                    order = np.lexsort((u, -_idf(w, u)))
+                    rest = x[order][::-1].cumsum()[::-1]
+                    n = int((rest >= similarity * (1 - 1e-6) * rest[0]).sum())
+                    out.append((u[order][:n].astype(np.int64), rest[:n], np.full(n, rest[0]), rest[:n] >= 2 * share * rest[0]))
+                if out:
+                    times = [len(t) for t, *_ in out]
+                    token, rest, weight, short = (np.concatenate(c) for c in zip(*out, strict=True))
+                    yield pd.DataFrame({"token": token, "node": np.repeat(q["node"].to_numpy(), times), "root": np.repeat(q["root"].to_numpy(), times), "weight": weight, "rest": rest, "short": short})
+
+    each = staged(vector.join(nodes, "node").mapInPandas(prefix, "token long, node string, root string, weight double, rest double, short boolean"), "neardup-prefixes")
+    lists = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
+    lists = staged(lists.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "neardup-lists")
+    rows = each.join(lists, "token")
+    cols = ["node", "root", "weight", "rest"]
+    left = rows.filter("short").select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    later = F.struct("a_weight", "a_node") < F.struct("b_weight", "b_node")
+    room = share * (F.col("a_weight") + F.col("b_weight")) <= F.least("a_rest", "b_rest")
+    pairs = left.join(right, ["token", "part"]).filter((F.col("a_root") != F.col("b_root")) & later & room)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): every linked node and the least node of its class. links: (a, b). Nodes without a link are absent."""
     edges, before = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars"), None
@@ -276,9 +335,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     idf = spark.sparkContext.broadcast(weights(df, n))
     rows = staged(signatures(docs, idf, id_col, text), "neardup-signatures")
     nodes = staged(rows.filter(F.col("sig").isNotNull()).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "neardup-nodes")
-    pairs = staged(agreeing(candidates(nodes.select("node", "bands")), nodes.select("node", "sig")), "neardup-pairs")
-    links = staged(verified(docs, rows, pairs, idf, similarity, id_col, text), "neardup-links")
+    sizes, met = buckets(nodes.select("node", "bands"))
+    pairs = staged(agreeing(candidates(sizes, met), nodes.select("node", "sig")), "neardup-pairs")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = staged(verified(pairs, text_vectors(docs, rows, paired, "neardup", id_col, text), idf, similarity), "neardup-links")
     classes = components(links)
+    rest = staged(unsettled(met, classes), "neardup-unsettled")
+    if not rest.isEmpty():
+        vector = text_vectors(docs, rows, rest, "neardup-unsettled", id_col, text)
+        found = staged(verified(staged(prefix_pairs(vector, rest, idf, similarity), "neardup-pairs"), vector, idf, similarity), "neardup-links")
+        if not found.isEmpty():
+            links = links.unionByName(found).dropDuplicates(["a", "b"])
+            classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # one row a distinct text first, so that large classes meet as few rows
     texts = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows"))

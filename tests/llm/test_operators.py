@@ -365,6 +365,18 @@ def test_neardup_edges_and_a_large_group(spark, odd):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_neardup_pairs_below_a_very_frequent_passage(spark):
+    rng = random.Random(5)
+    passage = [f"w{rng.randint(0, 9999)}" for _ in range(430)]
+    rows = []
+    for i in range(150):
+        own = [f"own{i}x{j}" for j in range(56)]
+        rows.append((2 * i, " ".join(passage + own)))
+        rows.append((2 * i + 1, " ".join(passage + own + [f"end{i}"])))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got} == {i: (i - i % 2, 2) for i, _ in rows}
+
+
 def test_components(spark):
     chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(40)] + [("a", "b"), ("b", "a"), ("c", "c")]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(chain, "a string, b string")).collect()}
