@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators.chunking import chunk_paragraph
 
 
 def heading_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,7 +32,7 @@ def heading_paths(h: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One chunk a heading: from it to the next; texts with fewer than two headings give none (they go to the paragraph chunker). Text before the first
+    """One chunk a heading: from it to the next; texts with fewer than two headings give none (see `sections_or_paragraphs`). Text before the first
     heading is left out."""
     h = heading_paths(heading_rows(df, key, text), key)
     w = W.partitionBy(key)
@@ -41,6 +42,15 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return x.select(key, (F.col("seq") - 1).alias("chunk_index"), "level", "title", "path", "start", body.alias("content"))
 
 
+def sections_or_paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The sections, and the paragraph chunks of every text with fewer than two headings (fallback true; level, title and path are null)."""
+    headed = heading_rows(df, key, text).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(key)
+    rest = chunk_paragraph(df.join(headed, key, "left_anti"), text=text, keep=(key,))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("level", "long"), ("title", "string"), ("path", "string"))]
+    rest = rest.select(key, "chunk_index", *none, F.col("start").cast("long").alias("start"), "content", F.lit(True).alias("fallback"))
+    return sections(df, key, text).withColumn("fallback", F.lit(False)).unionByName(rest)
+
+
 def heading_parents(h: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, seq, parent): the nearest earlier heading of a smaller level; null at the top."""
     w = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)

@@ -43,7 +43,7 @@ QUERIES = {
     "html_plain_text": lambda s, d: html.html_plain_text(pages(s, d)),
     "html_headings": lambda s, d: html.html_headings(pages(s, d)),
     "html_h1": lambda s, d: pages(s, d).select("page_id", F.regexp_count("html", F.lit("(?i)<h1[ >]")).cast("long").alias("n")),
-    "chunk_heading_pages": lambda s, d: H.sections(md(s, d), "page_id"),
+    "chunk_heading_pages": lambda s, d: H.sections_or_paragraphs(md(s, d), "page_id"),
     "scan_csv": csv_rows,
     "scan_json_props": lambda s, d: files.scan_json_flatten(table(s, d, "events"), "props", ["event_id"]),
     "scan_text": lambda s, d: table(s, d, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("line_count")),
@@ -53,6 +53,7 @@ QUERIES = {
     "extraction_quality": lambda s, d: table(s, d, "documents").select("doc_id", files.extraction_quality(F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("fast"), F.col("text").contains("|"), F.col("doc_id") % 2 == 0, F.length("text") < 50).alias("quality")),
     "detect_headings": lambda s, d: H.heading_rows(markdown(s, d)),
     "chunk_heading": lambda s, d: H.sections(markdown(s, d)),
+    "chunk_heading_or_paragraph": lambda s, d: H.sections_or_paragraphs(markdown(s, d)),
     "heading_path": lambda s, d: H.heading_paths(H.heading_rows(markdown(s, d))).select("doc_id", "seq", "path"),
     "heading_tree": tree,
     "inject_heading_path": lambda s, d: H.inject_paths(C.chunk_character(markdown(s, d)), H.heading_rows(markdown(s, d))),

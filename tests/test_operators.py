@@ -107,6 +107,19 @@ def test_heading_sections(spark):
     assert parents == {1: None, 2: 1, 3: None}
 
 
+def test_texts_with_fewer_than_two_headings_go_to_the_paragraph_chunker(spark):
+    df = spark.createDataFrame([(1, "# A\nx\n## B\ny"), (2, "# only\none"), (3, "plain"), (4, None)], "doc_id long, text string")
+    got = headings.sections_or_paragraphs(df).orderBy("doc_id", "chunk_index").collect()
+    assert [(r["doc_id"], r["title"], r["content"], r["fallback"]) for r in got] == [(1, "A", "# A\nx", False), (1, "B", "## B\ny", False), (2, None, "# only\none", True), (3, None, "plain", True)]
+
+
+def test_every_page_with_text_gives_a_chunk(spark, sf):
+    from siltstone.plans import source_queries
+
+    want = {r["page_id"] for r in source_queries.md(spark, sf).filter(F.length(F.trim("text")) > 0).collect()}
+    assert {r["page_id"] for r in source_queries.QUERIES["chunk_heading_pages"](spark, sf).select("page_id").collect()} == want
+
+
 def test_html():
     root = html.parse('<h1>T</h1><ol><li>a<li>b</ol><a href="#x">n</a><a href="/y">m</a><script>x()</script>')
     assert html.to_markdown(root).split("\n") == ["# T", "", "1. a", "2. b", "", "n", "[m](/y)"]
