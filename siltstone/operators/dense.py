@@ -61,43 +61,68 @@ def sparse_cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key:
     return d.join(q, "slot").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("vd") * F.col("vq")) / (F.first("nd") * F.first("nq")), 6).alias("score"))
 
 
+#: Queries ranked at once, and vectors of one piece when the queries take several blocks.
+RANKED, PIECE = 256, 8192
+
+
+def _best(ids: np.ndarray, q: np.ndarray, g: pd.DataFrame, k: int, metric: str, cols: list[str]) -> Iterator[pd.DataFrame]:
+    """The best k rows of `g` for each query, within each group of `cols`."""
+    for values, x in g.groupby(cols, dropna=False) if cols else [((), g)]:
+        v, vid = np.array(x["embedding"].tolist(), dtype=np.float64), x["vec_id"].to_numpy()
+        vn2 = (v * v).sum(1)
+        for i in range(0, len(ids), RANKED):
+            part = q[i : i + RANKED]
+            qn, raw = np.sqrt((part * part).sum(1)), part @ v.T
+            if metric in ("COSINE", "RAW_COSINE"):
+                den = qn[:, None] * np.sqrt(vn2)[None, :]
+                s = np.divide(raw, den, out=np.zeros_like(raw), where=den > 0)
+                s = (s + 1) / 2 if metric == "COSINE" else s
+            elif metric == "IP":
+                s = (raw + 1) / 2
+            else:
+                s = 1 / (1 + np.maximum(qn[:, None] ** 2 + vn2[None, :] - 2 * raw, 0))
+            s = np.round(s, 6)
+            order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
+            r = np.repeat(np.arange(len(part)), order.shape[1])
+            out = {"query_id": ids[i + r]} | dict(zip(cols, [[c] * len(r) for c in (values if isinstance(values, tuple) else (values,))], strict=True))
+            yield pd.DataFrame(out | {"vec_id": vid[order.ravel()], "score": s[r, order.ravel()]})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", by: tuple[str, ...] = (), most: int = 4096) -> DataFrame:
     """(query_id, [by,] vec_id, score, rank): exact top k of each query, over all rows or within each group of `by`.
 
-    vectors: (vec_id, embedding[, by]); queries: (query_id, q), at most `most` (their matrix goes to every task). Tasks keep k candidates of each query (and group) for the
-    final ranking, so the shuffle doesn't grow with the vectors of a task. Scores to 6 places (RAW_COSINE: the cosine itself); ties to the smaller id.
+    vectors: (vec_id, embedding[, by]); queries: (query_id, q). Up to `most` queries go to every task as one matrix; more are dealt to blocks of about
+    `most`, and each block meets each piece of the vectors. Tasks keep k candidates of each query (and group) for the final ranking.
+    Scores to 6 places (RAW_COSINE: the cosine itself); ties to the smaller id.
     """
-    rows = queries.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} queries: search them in batches")
-    ids, q = [r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64)
-    qn = np.sqrt((q * q).sum(1)) if len(rows) else np.zeros(0)
     cols = list(by)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p) or not len(ids):
-                continue
-            for values, g in p.groupby(cols, dropna=False) if cols else [((), p)]:
-                v, vid = np.array(g["embedding"].tolist(), dtype=np.float64), g["vec_id"].to_numpy()
-                raw = q @ v.T
-                if metric in ("COSINE", "RAW_COSINE"):
-                    den = qn[:, None] * np.sqrt((v * v).sum(1))[None, :]
-                    s = np.divide(raw, den, out=np.zeros_like(raw), where=den > 0)
-                    s = (s + 1) / 2 if metric == "COSINE" else s
-                elif metric == "IP":
-                    s = (raw + 1) / 2
-                else:
-                    s = 1 / (1 + np.maximum(qn[:, None] ** 2 + (v * v).sum(1)[None, :] - 2 * raw, 0))
-                s = np.round(s, 6)
-                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :k]
-                r = np.repeat(np.arange(len(ids)), order.shape[1])
-                out = {"query_id": np.array(ids)[r]} | dict(zip(cols, [[x] * len(r) for x in (values if isinstance(values, tuple) else (values,))], strict=True))
-                yield pd.DataFrame(out | {"vec_id": vid[order.ravel()], "score": s[r, order.ravel()]})
-
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
     schema = ", ".join(["query_id long", *[f"`{c}` {kind[c]}" for c in cols], "vec_id long", "score double"])
-    got = vectors.select(*cols, "vec_id", "embedding").mapInPandas(run, schema)
+    names = ["query_id", *cols, "vec_id", "score"]
+    vectors, n = vectors.select(*cols, "vec_id", "embedding"), queries.count()
+    if n <= most:
+        rows = queries.select("query_id", "q").collect()
+        ids, q = np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], dtype=np.float64)
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                if len(p) and len(ids):
+                    yield from _best(ids, q, p, k, metric, cols)
+
+        got = vectors.mapInPandas(run, schema)
+    else:
+        blocks, pieces = -(-n // most), max(1, -(-vectors.count() // PIECE))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        asked = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_block"), every(pieces).alias("_piece"))
+        held = vectors.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(pieces)).cast("int").alias("_piece"), every(blocks).alias("_block"))
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame(columns=names)
+            q = np.array(left["q"].tolist(), dtype=np.float64)
+            return pd.concat(list(_best(left["query_id"].to_numpy(), q, right, k, metric, cols)), ignore_index=True)
+
+        got = asked.groupBy("_block", "_piece").cogroup(held.groupBy("_block", "_piece")).applyInPandas(meet, schema)
     w = W.partitionBy("query_id", *cols).orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 

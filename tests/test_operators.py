@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import analysis, chunking, headings, metadata, retrieval, sparse
+from siltstone.operators import analysis, chunking, dense, headings, metadata, retrieval, sparse
 from siltstone.sources import files, html
 
 
@@ -51,6 +51,14 @@ def test_bm25_of_one_text_has_no_vocabulary(spark):
     assert sparse.vocabulary(sparse.document_frequencies(df), sparse.corpus_statistics(df)).count() == 0
 
 
+@pytest.mark.parametrize("by", [(), ("label",)])
+def test_search_with_more_queries_than_one_block(spark, sf, by):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    q = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = lambda most: sorted(tuple(r) for r in dense.search(v, q, 5, by=by, most=most).collect())
+    assert q.count() > 8 and rows(8) == rows(4096)
+
+
 def test_rrf(spark):
     one = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, k long, rank long")
     two = spark.createDataFrame([(1, 10, 3)], "query_id long, k long, rank long")
