@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,9 +81,43 @@ def missing_parts(uploads: DataFrame) -> DataFrame:
 
 
 def ema(rows: DataFrame, by: list[str], value: str, order: list[str], keep: float = 0.9) -> DataFrame:
-    """Exponential moving average of each group's values in order: keep * old + (1 - keep) * new, from the first value."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
-    return rows.groupBy(*by).agg(values.alias("_vs")).select(*by, F.round(F.aggregate(F.slice("_vs", 2, F.size("_vs")), F.element_at("_vs", 1), lambda s, x: s * keep + x * (1 - keep)), 6).alias("ema"))
+    """Exponential moving average of each group's values in order: keep * old + (1 - keep) * new, from the first value.
+
+    Tasks hold ranges of the order, so a large group spreads over many. Each folds its rows of a group to one row: old becomes old * _decay + _carry.
+    """
+    parts = rows.select(*by, *order, F.col(value).cast("double").alias("_v"), F.to_json(F.struct(*by)).alias("_g"))
+    parts = parts.repartitionByRange("_g", *order, "_v").sortWithinPartitions("_g", *order, "_v")
+    kept = [*by, *order, "_v"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(first, decay, carry):
+            return pa.RecordBatch.from_arrays([*first.columns, pa.array([decay], pa.float64()), pa.array([carry], pa.float64())], names=[*kept, "_decay", "_carry"])
+
+        group, held = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, v = np.array(b.column("_g").to_pylist()), b.column("_v")
+            x, null = v.to_numpy(zero_copy_only=False), v.is_null().to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                decay = keep ** (e - s)
+                # a null makes all after it null
+                carry = None if null[s:e].any() else float(((1 - keep) * keep ** np.arange(e - s - 1, -1, -1.0) * x[s:e]).sum())
+                if held is not None and g[s] == group:
+                    held = (held[0], held[1] * decay, None if carry is None or held[2] is None else held[2] * decay + carry)
+                else:
+                    if held is not None:
+                        yield row(*held)
+                    group, held = g[s], (b.select(kept).slice(s, 1), decay, carry)
+        if held is not None:
+            yield row(*held)
+
+    kind = {f.name: f.dataType.simpleString() for f in parts.schema}
+    some = parts.mapInArrow(fold, ", ".join([*[f"`{c}` {kind[c]}" for c in kept], "_decay double", "_carry double"]))
+    ranges = F.array_sort(F.collect_list(F.struct(*order, "_v", "_decay", "_carry")))
+    got = some.groupBy(*by).agg(ranges.alias("_rs"))
+    return got.select(*by, F.round(F.aggregate("_rs", F.element_at("_rs", 1)["_v"], lambda s, r: s * r["_decay"] + r["_carry"]), 6).alias("ema"))
 
 
 def detect_changes(before: DataFrame, now: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -96,6 +96,21 @@ def test_changes_and_plan(spark):
     assert (p["to_embed"], p["savings_percent"]) == (2, 33.3)
 
 
+def test_ema_folds_a_group_in_several_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [("a" if i % 10 else "b", i // 3, i, rng.random() * 100) for i in range(30000)] + [("c", 1, 1, 5.0), ("d", 1, 1, None), ("d", 2, 2, 1.0), (None, 1, 1, 2.0), (None, 1, 2, 4.0)]
+    want = {}
+    for g, _, _, v in rows:
+        want[g] = None if v is None or (g in want and want[g] is None) else v if g not in want else want[g] * 0.9 + v * (1 - 0.9)
+    df = spark.createDataFrame(rows, "g string, at long, id long, v double").repartition(7)
+    got = metadata.ema(df, ["g"], "v", ["at", "id"])
+    assert {r["g"]: r["ema"] for r in got.collect()} == {g: None if v is None else pytest.approx(v, abs=2e-6) for g, v in want.items()}
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "MapInArrow" in plan and "rangepartitioning" in plan  # no task gathers the rows of a group
+
+
 def test_parameter_change(spark):
     m = lambda *kv: F.create_map(*[F.lit(x) for x in kv])
     row = spark.range(1).select(
