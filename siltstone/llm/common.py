@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def workdir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Where the setting is absent (tests on one machine) a local temporary folder is set for the session.
+    Where the setting is absent, a temporary folder is set for a session on one machine (tests); on a cluster this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         try:
             spark.conf.set("spark.checkpoint.dir", base)
@@ -24,6 +26,26 @@ def workdir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def set_aside(df: DataFrame, results: list[str]) -> DataFrame:
+    """`df` ready to get the columns `results`: own columns of those names (case aside) keep their values under the name with "_own" after it,
+    appended until the name is free."""
+    taken = {c.lower() for c in df.columns} | {c.lower() for c in results}
+    names = []
+    for c in df.columns:
+        if c.lower() in {r.lower() for r in results}:
+            c += "_own"
+            while c.lower() in taken:
+                c += "_own"
+            taken.add(c.lower())
+        names.append(c)
+    return df.toDF(*names)
+
+
+def share_of(h: Column, rate: float) -> Column:
+    """Whether a 64-bit hash falls in the given share of its range (exact down to 2^-53)."""
+    return F.shiftrightunsigned(h, 11) < F.lit(int(min(1.0, rate) * 2**53))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small (the setting is the session's; a smaller one of the user's stays)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -36,7 +58,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = workdir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes the folders of `staged` tables that nothing reads any more."""
+    for df in dfs:
+        if path := getattr(df, "_staged_at", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,7 +85,7 @@ def bounded_ids(df: DataFrame, key: str, bound: int) -> DataFrame:
     n = df.count()
     h = F.xxhash64(F.lit("sample"), F.col(key))
     if n > 4 * bound:
-        df = df.filter(F.pmod(h, F.lit(1_000_000)) < int(1_000_000 * min(1.0, 2 * bound / n)) + 1)
+        df = df.filter(share_of(h, 2 * bound / n))
     return df.orderBy(h, key).limit(bound)
 
 

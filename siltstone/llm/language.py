@@ -17,14 +17,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import held_out
+from siltstone.llm.common import held_out, set_aside, share_of
 from siltstone.llm.textvec import code_points, mix
 
 #: Buckets of n-gram hashes; characters in an n-gram; training texts of a language (expected: drawn by a hash at a fixed rate);
 #: gap of mean losses below which a result is ambiguous.
 BUCKETS, ORDERS, TEXTS, GAP = 1 << 14, (1, 2, 3, 4), 2000, 0.05
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Mean loss without any evidence: a nearest codeword beyond it has the weighted bits against it.
+CHANCE = float(np.log(2))
+#: Languages that a model can hold: one row of counters a half of each, in every task and in the driver.
+LANGUAGES = 512
+RESULTS = ["lang_pred", "score", "ambiguous", "second_lang", "loss"]
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is of Unicode category L."""
+    return any(c.isalpha() for c in text or "")
+
 
 
 def codewords(n: int) -> np.ndarray:
@@ -64,10 +74,11 @@ class Model:
     weights: np.ndarray  # buckets x bits: log odds of an n-gram
     trust: np.ndarray  # bits, sum 1
 
-    def decide(self, text: str | None) -> tuple[str, float, bool, str | None]:
-        """Language, score from 0 to 1, whether it is ambiguous, and the runner-up. Null, or no letter: und, 0, false, null."""
-        if not text or not LETTER.search(text) or not self.languages:
-            return UNKNOWN, 0.0, False, None
+    def decide(self, text: str | None) -> tuple[str, float, bool, str | None, float | None]:
+        """Language, score from 0 to 1, whether it is ambiguous, the runner-up, and the loss against the nearest codeword. Null, no letter, or no
+        language learned: und, 0, false, null, null. Equal losses: the language first in order."""
+        if not text or not self.languages or not has_letter(text):
+            return UNKNOWN, 0.0, False, None, None
         g = grams(text)
         total = self.weights[g].sum(0) if len(g) < BUCKETS // 4 else np.bincount(g, minlength=BUCKETS) @ self.weights
         margin = total / np.sqrt(len(g))
@@ -75,28 +86,33 @@ class Model:
         order = np.argsort(loss, kind="stable")
         p = np.exp(-(loss - loss[order[0]]) * 2)
         gap = loss[order[1]] - loss[order[0]] if len(order) > 1 else np.inf
-        return self.languages[order[0]], float(1 / p.sum()), bool(gap < GAP), self.languages[order[1]] if len(order) > 1 else None
+        return self.languages[order[0]], float(1 / p.sum()), bool(gap < GAP), self.languages[order[1]] if len(order) > 1 else None, float(loss[order[0]])
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", texts: int = TEXTS) -> Model:
     """Learn from the rows of `docs` with a text and a language: about `texts` of each language, drawn by a hash of the id at a rate fixed
-    by the language's count. The driver gets n-gram counts by language and by half (one half weighs the bits), at most BUCKETS a language and half."""
+    by the language's count. The driver gets n-gram counts by language and by half (one half weighs the bits), at most BUCKETS a language and half.
+
+    Null texts and languages, and texts without a letter, teach nothing; repeated rows count each; an empty table gives a model without languages.
+    More than LANGUAGES languages: ValueError."""
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((BUCKETS, 1), dtype=np.float32), np.ones(1))
     turn = {x: i for i, x in enumerate(languages)}
     share = None
     for x in languages:
-        c = (F.col("lang") == x) & (F.pmod(F.xxhash64(F.lit("language"), "_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, texts / sizes[x])) + 1)
+        c = (F.col("lang") == x) & share_of(F.xxhash64(F.lit("language"), "_id", "text"), texts / sizes[x])
         share = c if share is None else share | c
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((2 * len(languages), BUCKETS), dtype=np.int64)
         for p in parts:
             for i, t, x in zip(p["_id"], p["text"], p["lang"], strict=True):
-                if LETTER.search(t):
+                if has_letter(t):
                     sums[2 * turn[x] + int(len(t) % 4 == 0)] += np.bincount(grams(t), minlength=BUCKETS)
         r, c = np.nonzero(sums)
         yield pd.DataFrame({"part": r.astype(np.int32), "bucket": c.astype(np.int32), "n": sums[r, c]})
@@ -119,16 +135,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred, score, ambiguous and second_lang to `docs`; whole texts, no shuffle."""
+    """Adds lang_pred, score, ambiguous, second_lang and loss to `docs` (see `Model.decide`); whole texts, no shuffle.
+
+    One row for each row, repeated ones included. Columns of `docs` that have a result's name go on as name_own. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    out = "lang_pred string, score double, ambiguous boolean, second_lang string"
+    out = "lang_pred string, score double, ambiguous boolean, second_lang string, loss double"
 
     @F.pandas_udf(out)
     def decide(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.decide(t) for t in x], columns=["lang_pred", "score", "ambiguous", "second_lang"])
+        return pd.DataFrame([shared.value.decide(t) for t in x], columns=RESULTS)
 
-    return docs.withColumn("_lang", decide(text)).select("*", "_lang.*").drop("_lang")
+    rows = set_aside(docs, [*RESULTS, "_lang"])
+    return rows.withColumn("_lang", decide(text)).select(*[rows[f"`{c}`"] for c in rows.columns], *[F.col("_lang")[r].alias(r) for r in RESULTS])
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

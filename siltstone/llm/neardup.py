@@ -1,7 +1,8 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Every text's shingles are runs of five lower-case words. Document frequencies of all documents are counted in a table of
-   SKETCH hashed counters (bounded, whatever the corpus; a shared counter can only lower a rare shingle's weight a little).
+   SKETCH hashed counters (bounded, whatever the corpus). Shingles that share a counter share its sum, so in a very large corpus the
+   rarest shingles look commoner than they are and all weights draw together: at 1e10 documents of 300 shingles idf is at most 1.1, not 1.25.
 2. A shingle weighs tf * idf with idf = 1 + RARITY * ln(N / df) / ln(N + 2), from 1 to 1 + RARITY: common passages weigh less, but not so
    much that the few own words of a member of a large group of copies outweigh all that it shares with the group.
 3. SAMPLES consistent weighted samples of each distinct text are banded. Small buckets give all their pairs; a large one gives pairs of each
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small_batches, staged
+from siltstone.llm.common import discard, small_batches, staged
 from siltstone.llm.textvec import mix, shingles
 
 WORDS, SIMILARITY = 5, 0.8
@@ -139,8 +140,8 @@ def _idf(idf: np.ndarray, h: np.ndarray) -> np.ndarray:
     return idf[(h & np.uint64(SKETCH - 1)).astype(np.int64)]
 
 
-def signatures(docs: DataFrame, idf, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, node, sig, bands): sig (SAMPLES little-endian 32-bit numbers) and bands only where a task meets a node first."""
+def signatures(docs: DataFrame, idf, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(keep, node, sig, bands); keep: long columns. sig (SAMPLES little-endian 32-bit numbers) and bands only where a task meets a node first."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[str] = set()
         for p in parts:
@@ -163,9 +164,9 @@ def signatures(docs: DataFrame, idf, id_col: str = "doc_id", text: str = "text")
                     s = samples(h, np.concatenate(ws) * _idf(idf.value, h), np.concatenate([[0], sizes.cumsum()[:-1]]))
                     for j, x, y in zip(todo, s, bands(s), strict=True):
                         sig[j], band[j] = x.astype("<u4").tobytes(), y
-                yield pd.DataFrame({id_col: q[id_col].to_numpy(), "node": keys, "sig": sig, "bands": band})
+                yield pd.DataFrame({c: q[c].to_numpy() for c in keep} | {"node": keys, "sig": sig, "bands": band})
 
-    return docs.select(id_col, text).mapInPandas(run, f"`{id_col}` long, node string, sig binary, bands array<long>")
+    return docs.select(*keep, text).mapInPandas(run, ", ".join(f"`{c}` long" for c in keep) + ", node string, sig binary, bands array<long>")
 
 
 def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +209,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int = AGREE) -> DataFram
     return pairs.join(a, "a").join(b, "b").filter(agree("sig_a", "sig_b") >= least).select("a", "b")
 
 
-def text_vectors(docs: DataFrame, rows: DataFrame, needed: DataFrame, name: str, id_col: str = "doc_id", text: str = "text", most_broadcast: int = 1 << 19) -> DataFrame:
-    """(node, vector) of the nodes of `needed`, sorted 32-bit shingles. One document of every node is read again; rows: (id, node)."""
+def text_vectors(docs: DataFrame, texts: DataFrame, needed: DataFrame, name: str, text: str = "text", most_broadcast: int = 1 << 19) -> DataFrame:
+    """(node, vector) of the nodes of `needed`, sorted 32-bit shingles. One document of every node is read again; docs: (_uid, text); texts: (node, _uid), one row a node."""
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for i in range(0, len(p), 256):
@@ -217,8 +218,8 @@ def text_vectors(docs: DataFrame, rows: DataFrame, needed: DataFrame, name: str,
                 q = q[[node_key(t) == k for t, k in zip(q[text], q["node"], strict=True)]]  # a repeated id can stand for another text
                 yield pd.DataFrame({"node": q["node"], "vector": [np.sort(shingles(t, WORDS).astype(np.uint32)).astype("<u4").tobytes() for t in q[text]]})
 
-    needed = staged(rows.select(id_col, "node").join(needed.select("node"), "node").groupBy("node").agg(F.min(id_col).alias(id_col)), f"{name}-needed")
-    texts = docs.select(id_col, text).join(F.broadcast(needed) if needed.count() <= most_broadcast else needed, id_col)
+    needed = staged(texts.join(needed.select("node"), "node", "left_semi").select("node", "_uid"), f"{name}-needed")
+    texts = docs.select("_uid", text).join(F.broadcast(needed) if needed.count() <= most_broadcast else needed, "_uid")
     return staged(texts.mapInPandas(vectors, "node string, vector binary"), f"{name}-vectors")
 
 
@@ -312,51 +313,86 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = staged(large, "stars")
+        large, old = staged(large, "stars"), edges
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = staged(small, "stars")
+        discard(old, large)
     else:
         raise RuntimeError("classes did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Rows from which a text counts as hot; at most 1000 texts can be.
+HOT = 1000
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id, class_size, n_links), one row for each row of `docs` that has an id.
+    """(id, class_id, class_size, n_links, node, class_key), one row for each row of `docs`.
 
-    class_id is the least id of the class. n_links counts verified links of the row's text to different texts. Null texts and texts without
-    words are classes of their own; texts with the same words share one, repeated rows included. Rows without an id are left out. An empty table gives no rows.
+    class_id is the least id of the class (null if no row of it has one). node is the key of the row's words and class_key the least node of its
+    class: unique, where ids repeat and class_id may not be; both are null for null texts and texts without words, which are classes of their own. n_links
+    counts the found links of the row's text to different texts: in a large bucket pairs inside one class need not all be tested. Texts
+    with the same words share a node, repeated rows included. An empty table gives no rows; other columns of `docs` are left out, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), text)
+    # rows without an id are told apart by their text
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("_uid"), text)
     df, n = frequencies(docs, text)
     idf = spark.sparkContext.broadcast(weights(df, n))
-    rows = staged(signatures(docs, idf, id_col, text), "neardup-signatures")
+    rows = staged(signatures(docs, idf, ("_id", "_uid"), text), "neardup-signatures")
     nodes = staged(rows.filter(F.col("sig").isNotNull()).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "neardup-nodes")
+    texts = staged(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("_id").alias("least"), F.min("_uid").alias("_uid"), F.count(F.lit(1)).alias("rows")), "neardup-texts")
     sizes, met = buckets(nodes.select("node", "bands"))
     pairs = staged(agreeing(candidates(sizes, met), nodes.select("node", "sig")), "neardup-pairs")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = staged(verified(pairs, text_vectors(docs, rows, paired, "neardup", id_col, text), idf, similarity), "neardup-links")
+    links = staged(verified(pairs, text_vectors(docs, texts, paired, "neardup", text), idf, similarity), "neardup-links")
+    discard(nodes, sizes, pairs)
     classes = components(links)
     rest = staged(unsettled(met, classes), "neardup-unsettled")
     if not rest.isEmpty():
-        vector = text_vectors(docs, rows, rest, "neardup-unsettled", id_col, text)
+        vector = text_vectors(docs, texts, rest, "neardup-unsettled", text)
         found = staged(verified(staged(prefix_pairs(vector, rest, idf, similarity), "neardup-pairs"), vector, idf, similarity), "neardup-links")
+        discard(vector)
         if not found.isEmpty():
             links = links.unionByName(found).dropDuplicates(["a", "b"])
             classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # one row a distinct text first, so that large classes meet as few rows
-    texts = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("rows"))
-    texts = texts.join(classes, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = texts.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    texts = texts.join(whole, "root").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    # written first: between two plain exchanges Spark can split the rows of a text with many copies
-    out = rows.select(id_col, "node").join(staged(texts, "neardup-classes"), "node", "left")
-    return out.select(id_col, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    each = texts.join(classes, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = each.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    each = each.join(whole, "root").select("node", "rows", F.col("root").alias("class_key"), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    each = staged(each, "neardup-classes")
+    # hot texts, at most 1000, meet their rows where these are; the others' rows are dealt by text
+    hot = each.filter(F.col("rows") > F.lit(max(HOT, n // 1000))).drop("rows")
+    own = rows.select("_id", "node")
+    here = own.join(F.broadcast(hot), "node")
+    there = own.join(F.broadcast(hot.select("node")), "node", "left_anti").join(each.drop("rows"), "node", "left")
+    out = here.unionByName(there)
+    return out.select(F.col("_id").alias(id_col), F.when(F.col("class_key").isNull(), F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "class_key")
+
+
+def representatives(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, one for each class of `near_duplicates(docs)`: the least id (a null one last), then node; of rows alike in both the
+    one of the least text hash, and of equal texts any one. Rows without words all stay."""
+    named = lambda i, node: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), node)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"), "node")).alias("first")
+    kept = classes.filter("class_key IS NOT NULL").groupBy("class_key").agg(first)
+    kept = staged(kept.select(named(F.col("first.id"), F.col("first.node")).alias("_key")), "neardup-kept")
+
+    @F.pandas_udf("string")
+    def key(x: pd.Series) -> pd.Series:
+        return pd.Series([node_key(t) for t in x], dtype="object")
+
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), key(text).alias("_node"))
+    rows = rows.withColumn("_key", named(F.col("_row")[id_col], F.col("_node")))
+    # repeated rows become one where they are read, so a hot one sends one row a task
+    each = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by("_row", F.xxhash64("_text")).alias("_row"))
+    return each.join(kept, "_key", "left_semi").select("_row.*").unionByName(rows.filter(F.col("_key").isNull()).select("_row.*"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "class_size", "n_links", "class_key")

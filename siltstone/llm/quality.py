@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_ids, held_out
+from siltstone.llm.common import bounded_ids, held_out, set_aside
 from siltstone.llm.textvec import code_points, word_hashes
 
 #: Code points of a passage; labelled documents to learn from, at most; hidden and attention units; training rounds.
 WIDTH, DOCUMENTS, HIDDEN, GATES, EPOCHS = 512, 4000, 24, 12, 40
+#: Passages of one document to learn from, at most: evenly spaced over its whole text. Scores use all passages.
+PASSAGES = 64
 THRESHOLD = 0.7
 LAGS = (1, 2, 3, 5, 8)
 
@@ -129,29 +131,46 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS) -> Model:
     """Learn from at most `documents` documents that have a label (labels: doc_id, quality 0 or 1; of several labels of a document the least
-    counts; others are ignored). Only their encoded passages reach the driver."""
+    counts; others are ignored). Of several rows of a document that with the least text hash counts. Only PASSAGES encoded passages of each reach the driver.
+
+    Null texts are empty; null ids and labels teach nothing; without a label every score is 0.5.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = bounded_ids(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", documents)
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "quality": p["quality"], "rows": [passages(t).astype(np.float16).tobytes() for t in p["text"]]})
-
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(encode, "doc_id long, quality int, rows binary")
-    got = sorted(got.collect(), key=lambda r: (r["doc_id"], r["rows"]))[: 2 * documents]
+            out = []
+            for t in p["text"]:
+                x = passages(t)
+                if len(x) > PASSAGES:
+                    x = x[np.linspace(0, len(x) - 1, PASSAGES).astype(int)]
+                out.append(x.astype(np.float16).tobytes())
+            yield pd.DataFrame({"doc_id": p["doc_id"], "quality": p["quality"], "rows": out})
+
+    # at most `documents` rows of ids and labels are broadcast
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = sorted(rows.mapInPandas(encode, f"doc_id {kind}, quality int, rows binary").collect(), key=lambda r: r["doc_id"])
     bags = [np.frombuffer(bytes(r["rows"]), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got]
     return fit(bags, np.array([r["quality"] for r in got], dtype=float))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score (0 to 1) and predicted (1 if score >= threshold, else 0) to `docs`; whole texts, no shuffle."""
+    """Adds score (0 to 1) and predicted (1 if score >= threshold, else 0) to `docs`; whole texts, no shuffle.
+
+    One row for each row, repeated ones included; null and empty texts are one passage of zeros and get its score. Columns of `docs` named like a
+    result go on as name_own. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(x.tolist()))
 
-    return docs.withColumn("score", score(text)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+    rows = set_aside(docs, ["score", "predicted"])
+    return rows.withColumn("score", score(text)).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

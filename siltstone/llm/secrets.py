@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import workdir
+from siltstone.llm.common import set_aside, workdir
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ class Ledger:
         """Scan what is unseen of `texts` (columns blob, text); returns the number of blobs scanned.
 
         One row per new blob reaches the rules: copies are merged before and after the shuffle. A blob is marked
-        as scanned only after its findings are written; findings are read with their mark, so a lost run leaves no half.
+        as scanned only after its findings are written: after a lost run it is scanned again, finds the same, and equal findings count once.
         """
         blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
         seen = self.scanned()
@@ -114,7 +114,9 @@ class Ledger:
 
 def scan_history(history: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, keep_text: bool = False) -> DataFrame:
     """history: any columns and `text` (null: empty), one row per path and version. Without `keep_text` the text goes. Adds blob and found: array<struct<kind, start, end>>,
-    sorted by start, then kind as listed in `rules`; empty arrays where nothing was found. Repeated rows each get theirs."""
+    sorted by start, then kind as listed in `rules`; empty arrays where nothing was found. Repeated rows each get theirs. Own columns named blob or found
+    go on as name_own. An empty table gives no rows."""
+    history = set_aside(history, ["blob", "found"])
     body = F.coalesce("text", F.lit(""))
     named = history.withColumn("blob", F.sha2(body.cast("binary"), 256))
     ledger.scan(named.select("blob", body.alias("text")), rules)

@@ -17,7 +17,7 @@ from bisect import bisect_right
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import numbered
+from siltstone.llm.common import numbered, set_aside, staged
 
 #: Prefix characters by which one refinement round lengthens the open blocks, and the most blocks refined at once.
 STEP, OPEN_BLOCKS = 3, 64
@@ -96,13 +96,12 @@ def minimax_shards(df: DataFrame, text: str = "text", shards: int = 8) -> DataFr
     """Adds size (UTF-8 bytes + 1), text_crc32, group_key, shard and capacity to `df`; equal texts share a shard.
 
     Null text counts as a text of no bytes and shares a group with the empty text. Repeated rows stay, each counted.
-    An empty table returns no rows. No text is shuffled: cuts are key comparisons on the scan.
+    An empty table returns no rows. No text is shuffled: cuts are key comparisons on the scan. Columns of `df` named like a result go on as name_own.
     """
+    df = set_aside(df, ["size", "text_crc32", "group_key", "shard", "capacity"])
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = df.withColumn("size", F.octet_length(body).cast("long") + 1).withColumn("text_crc32", F.crc32(body.cast("binary"))).withColumn("group_key", F.md5(body.cast("binary")))
     groups = keyed.groupBy(F.col("group_key").alias("key")).agg(F.sum("size").alias("size"))
-    from siltstone.llm.common import staged
-
     capacity, cuts = minimax_cuts(staged(groups, "shard-groups"), shards)
     shard = F.lit(0)
     for c in cuts:
@@ -113,7 +112,5 @@ def minimax_shards(df: DataFrame, text: str = "text", shards: int = 8) -> DataFr
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = minimax_shards(docs).select("doc_id", "size", "text_crc32", "group_key", F.lit("bytes").alias("law"), "shard")
-    from siltstone.llm.common import staged
-
     out = numbered(staged(out, "shard-rows"), ["shard"], ["doc_id", "group_key"], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

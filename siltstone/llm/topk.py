@@ -1,9 +1,11 @@
 """Exact top-k inner-product search by a pivot-distance index.
 
 Inner products are turned into distances by one more coordinate: v' = (v, sqrt(M^2 - |v|^2)), q' = (q, 0), with M the
-largest norm, so |q' - v'|^2 = |q|^2 + M^2 - 2 q.v. Every vector is keyed by its nearest pivot and the distance to it.
-A query reads the vectors of a pivot outwards from its own distance, annulus after annulus, and stops where the
-triangle inequality | |q'p| - |v'p| | already excludes its current k-th score. Scores are exact integers.
+largest norm, so |q' - v'|^2 = |q|^2 + M^2 - 2 q.v. Every vector is keyed by its nearest pivot and the distance to it; a pivot's
+vectors lie in RINGS rings of distance. A query reads the rings of a pivot outwards from its own distance, and in a ring annulus after annulus, and stops
+where the triangle inequality | |q'p| - |v'p| | already excludes its current k-th score. Scores are exact integers.
+
+Tables of pivots and rings have at most PIVOTS * RINGS rows, whatever the corpus; only they reach the driver and every task.
 """
 
 from __future__ import annotations
@@ -18,25 +20,45 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import bounded_ids, staged
 
-#: Vectors in one cell piece, queries in one batch, rows of one annulus step, vectors to fit pivots on, pivots.
-CELL, QUERIES, STEP, FIT, PIVOTS = 8192, 2048, 512, 4096, 32
+#: Vectors in one piece of a ring, queries in one batch, rows of one annulus step, vectors to fit pivots on.
+CELL, QUERIES, STEP, FIT = 8192, 2048, 512, 8192
+#: Pivots grow with the vectors between these bounds; rings of a pivot.
+LEAST_PIVOTS, PIVOTS, RINGS = 16, 512, 16
 
 
 def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, v: array<bigint>) with v = floor(scale * x). Null ids, null or empty vectors, vectors with a null or non-finite
-    component, and vectors whose length is not the commonest one (the shortest of equals) take no part."""
-    x = F.col(embedding)
-    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e.cast("double")) | (F.abs(e.cast("double")) > 8.9e15))
-    rows = df.filter(F.col(vec_id).isNotNull() & x.isNotNull() & (F.size(x) > 0)).filter(~bad).select(F.col(vec_id).alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("bigint")).alias("v"))
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return rows.filter(F.size("v") == (dims[0]["d"] if dims else 0))
+    """(vec_id, v: array<double>) with v = floor(scale * x), whole numbers. Null ids, null vectors, and vectors with a null or non-finite
+    component take no part. Shorter vectors count as if zeros followed, so an empty one scores 0 with all. Repeated rows stay."""
+    x = F.transform(F.col(embedding), lambda e: e.cast("double"))
+    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")) | (F.abs(e * scale) == float("inf")))
+    rows = df.filter(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).filter(~bad)
+    # rint: floor without a cast to long, for whole and half steps alike
+    whole = lambda e: F.when(F.rint(e * scale) > e * scale, F.rint(e * scale) - 1).otherwise(F.rint(e * scale))
+    return rows.select(F.col(vec_id).alias("vec_id"), F.transform(x, whole).alias("v"))
+
+
+def matrix(vectors: list, width: int) -> np.ndarray:
+    """Rows of whole numbers as float64, zeros after short ones."""
+    if all(len(v) == width for v in vectors):
+        return np.array(list(vectors), dtype=np.float64).reshape(-1, width)
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products a @ b.T: through float64 where no partial sum can exceed 2^53, else int64."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """Exact integer products a @ b.T: through float64 where no partial sum can exceed 2^53, int64 below 2^63, else whole numbers of any size.
+    Scores are long: one that does not fit is an error."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+    if bound < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if bound < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    big = np.array([[int(x) for x in r] for r in a], dtype=object).reshape(a.shape) @ np.array([[int(x) for x in r] for r in b], dtype=object).reshape(b.shape).T
+    if any(not -(2**63) < x < 2**63 for x in big.ravel()):
+        raise OverflowError("an inner product of these vectors does not fit in a long")
+    return big.astype(np.int64)
 
 
 def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -57,20 +79,18 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     several candidates with the same id, and as one query (its smallest vector); the row of the query's own id is never its candidate. Empty input: no rows.
     """
     spark = vectors.sparkSession
-    norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    stats = vectors.agg(F.max(norm2).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
+    stats = vectors.agg(F.max(norm2).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if not stats["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    top = float(stats["m"])
+    top, width = float(stats["m"]), int(stats["d"])
     keys = bounded_ids(vectors.select("vec_id").distinct(), "vec_id", FIT)
-    fit = np.array([r["v"] for r in vectors.join(F.broadcast(keys), "vec_id").limit(2 * FIT).collect()], dtype=np.float64)
+    fit = matrix([r["v"] for r in vectors.join(F.broadcast(keys), "vec_id").limit(2 * FIT).collect()], width)
 
-    def lift(v: np.ndarray) -> np.ndarray:
-        x = v.astype(np.float64)
+    def lift(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(top - np.square(x).sum(1), 0))[:, None]])
 
-    pivots = _pivots(lift(fit), PIVOTS)
-    cells = max(1, -(-stats["n"] // (CELL * len(pivots) // 2)))
+    pivots = _pivots(lift(fit), min(PIVOTS, max(LEAST_PIVOTS, round((stats["n"] / CELL) ** 0.5))))
 
     def far(x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(np.square(x).sum(1)[:, None] - 2 * x @ pivots.T + np.square(pivots).sum(1), 0))
@@ -79,41 +99,70 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
         for p in parts:
             if not len(p):
                 continue
-            d = far(lift(np.array(p["v"].tolist(), dtype=np.int64)))
+            d = far(lift(matrix(p["v"].tolist(), width)))
             near = d.argmin(1)
             yield pd.DataFrame({"pivot": near.astype(np.int32), "dist": d[np.arange(len(p)), near], "vec_id": p["vec_id"], "v": p["v"]})
 
-    # `piece` splits a crowded pivot by a hash of the id: equal vectors (one distance) part too
-    indexed = staged(vectors.mapInPandas(index, "pivot int, dist double, vec_id long, v array<bigint>"), "topk-index").withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int"))
-    crowd = indexed.groupBy("pivot", "piece").agg(F.count(F.lit(1)).alias("n"))
-    split = crowd.select("pivot", "piece", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
-    indexed = indexed.join(F.broadcast(split), ["pivot", "piece"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "vec_id"), F.col("parts")).cast("int")).drop("parts")
+    keyed_rows = staged(vectors.mapInPandas(index, "pivot int, dist double, vec_id long, v array<double>"), "topk-index")
+    # rings of about equal counts; equal distances share one, however many
+    cuts = keyed_rows.groupBy("pivot").agg(F.percentile_approx("dist", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()
+    edges = {r["pivot"]: np.array(r["cuts"]) for r in cuts if r["n"] > CELL // 4}
+
+    @F.pandas_udf("int")
+    def ring_of(pivot: pd.Series, dist: pd.Series) -> pd.Series:
+        out = np.zeros(len(pivot), dtype=np.int32)
+        for p, at in pivot.groupby(pivot).groups.items():
+            if p in edges:
+                rows = pivot.index.get_indexer(at)
+                out[rows] = np.searchsorted(edges[p], dist.to_numpy()[rows], "right")
+        return pd.Series(out)
+
+    ringed = keyed_rows.withColumn("ring", ring_of("pivot", "dist"))
+    spans = ringed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    rings = pd.DataFrame([(r["pivot"], r["ring"], r["lo"], r["hi"], -(-r["n"] // CELL)) for r in spans], columns=["pivot", "ring", "lo", "hi", "parts"]).sort_values(["pivot", "ring"], ignore_index=True)
+    # a crowded ring is dealt to parts by a hash of the id: equal vectors part too
+    parts_of = spark.createDataFrame(rings[["pivot", "ring", "parts"]].values.tolist(), "pivot int, ring int, parts int")
+    indexed = ringed.join(F.broadcast(parts_of), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts")
 
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    nq = queries.count()
-    batches = max(1, -(-nq // QUERIES))
+    batches = max(1, -(-queries.count() // QUERIES))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
-
-    def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
-            q = np.array(p["q"].tolist(), dtype=np.float64)
-            d = far(np.hstack([q, np.zeros((len(q), 1))]))
-            order = np.argsort(d, 1).astype(np.int32)
-            yield pd.DataFrame({"query_id": p["query_id"], "q": p["q"], "batch": p["batch"], "pivot": [o.tolist() for o in order], "far": [d[i, o].tolist() for i, o in enumerate(order)]})
-
-    asked = asked.mapInPandas(keyed, "query_id long, q array<bigint>, batch int, pivot array<int>, far array<double>")
-    pieces = indexed.select("pivot", "piece", "part").distinct()
+    pair = "query_id long, q array<double>, batch int, dq double, bound double, pivot int, ring int, part int"
+    r_pivot, r_ring, r_parts = rings["pivot"].to_numpy(), rings["ring"].to_numpy(), rings["parts"].to_numpy()
+    r_lo, r_hi = rings["lo"].to_numpy(), rings["hi"].to_numpy()
+    settled = -np.inf
+
+    def wanted(nearest: bool):
+        """The rings that a query reads: first those of its nearest pivot that has vectors, then all others that its bound doesn't exclude."""
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                if not len(p):
+                    continue
+                q = matrix(p["q"].tolist(), width)
+                d = far(np.hstack([q, np.zeros((len(q), 1))]))
+                own = np.unique(r_pivot)[d[:, np.unique(r_pivot)].argmin(1)]
+                dq = d[:, r_pivot]
+                bound = np.where(np.isnan(p["bound"].to_numpy(dtype=float)), settled, p["bound"].to_numpy(dtype=float))
+                gap = np.maximum(0, np.maximum(r_lo[None, :] - dq, dq - r_hi[None, :]) - 1e-6 * (1 + dq))
+                most = (np.square(q).sum(1)[:, None] + top - gap * gap) / 2 + 1e-6 * (1 + top)
+                take = (r_pivot[None, :] == own[:, None]) if nearest else (r_pivot[None, :] != own[:, None]) & (most >= bound[:, None])
+                row, ring = np.nonzero(take)
+                times = r_parts[ring]
+                row, ring, part = np.repeat(row, times), np.repeat(ring, times), np.concatenate([np.arange(t) for t in times]) if len(times) else times
+                for i in range(0, len(row), 4096):
+                    a, b = row[i : i + 4096], ring[i : i + 4096]
+                    yield pd.DataFrame({"query_id": p["query_id"].to_numpy()[a], "q": p["q"].to_numpy()[a], "batch": p["batch"].to_numpy()[a], "dq": dq[a, b], "bound": bound[a], "pivot": r_pivot[b], "ring": r_ring[b], "part": part[i : i + 4096]})
+
+        return run
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return empty
         right = right.sort_values(["dist", "vec_id"], kind="stable")
-        dist, ids, v = right["dist"].to_numpy(), right["vec_id"].to_numpy(), np.array(right["v"].tolist(), dtype=np.int64)
-        q = np.array(left["q"].tolist(), dtype=np.int64)
-        qn, dq, kth = np.square(q.astype(np.float64)).sum(1), left["dq"].to_numpy(), left["bound"].to_numpy().astype(np.float64)
+        dist, ids, v = right["dist"].to_numpy(), right["vec_id"].to_numpy(), matrix(right["v"].tolist(), width)
+        q = matrix(left["q"].tolist(), width)
+        qn, dq, kth = np.square(q).sum(1), left["dq"].to_numpy(), left["bound"].to_numpy().astype(np.float64)
         qid = left["query_id"].to_numpy()
         # annuli of STEP vectors; a block of queries takes each annulus that its bounds don't exclude, nearest first
         edges = list(range(0, len(dist), STEP))
@@ -147,28 +196,21 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     schema = "query_id long, vec_id long, score long"
 
     def run(pairs: DataFrame) -> DataFrame:
-        """pairs: queries with pivot, piece, part, dq and bound; each meets the vectors of its piece."""
-        key = ["pivot", "piece", "part", "batch"]
+        """Each query meets the vectors of each part that it reads."""
+        key = ["pivot", "ring", "part", "batch"]
         need = pairs.select(*key).distinct()
-        vecs = indexed.join(need, ["pivot", "piece", "part"]).select(*[F.col(c).alias(f"v_{c}") for c in key], "dist", "vec_id", "v")
+        vecs = indexed.join(need, ["pivot", "ring", "part"]).select(*[F.col(c).alias(f"v_{c}") for c in key], "dist", "vec_id", "v")
         return pairs.groupBy(*key).cogroup(vecs.groupBy(*[f"v_{c}" for c in key])).applyInPandas(search, schema)
 
     def best(found: DataFrame) -> DataFrame:
         w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    floor = -(2**62)
-    # first the nearest pivot that has vectors: its k-th score bounds all later reading
-    spread = asked.select("query_id", "q", "batch", F.posexplode(F.arrays_zip("pivot", "far")).alias("turn", "x")).select("query_id", "q", "batch", "turn", F.col("x.pivot").alias("pivot"), F.col("x.far").alias("dq"))
-    near = spread.filter("turn = 0").join(F.broadcast(pieces), "pivot").withColumn("bound", F.lit(floor).cast("double"))
+    # first the nearest pivot: its k-th score bounds all later reading
+    near = asked.withColumn("bound", F.lit(None).cast("double")).mapInPandas(wanted(True), pair)
     first = staged(best(run(near)), "topk-first")
     bound = first.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    rest = spread.filter("turn > 0").join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(floor).cast("double")))
-    span = indexed.groupBy("pivot", "piece", "part").agg(F.min("dist").alias("dmin"), F.max("dist").alias("dmax"))
-    qn = F.aggregate("q", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
-    gap = F.greatest(F.lit(0.0), F.col("dmin") - F.col("dq"), F.col("dq") - F.col("dmax"))
-    gap = F.greatest(F.lit(0.0), gap - 1e-6 * (1 + F.col("dq")))
-    rest = rest.join(F.broadcast(span), "pivot").filter((qn + top - gap * gap) / 2 + 1e-6 * (1 + top) >= F.col("bound")).drop("dmin", "dmax", "turn")
+    rest = asked.join(bound, "query_id", "left").mapInPandas(wanted(False), pair)
     return best(first.drop("rank").unionByName(run(rest))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -180,7 +222,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
