@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as Parquet and reread as the
-next one's docs. All but the last return the columns of documents. Rows whose doc_id is null keep their place through all stages.
+next one's docs. All but the last return the columns of documents. A row travels as one struct beside its text, so columns of `docs` may have any names.
+Null ids, null and empty texts and repeated rows are rows like others; what each stage does with them is said there. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -10,46 +11,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import language, neardup, packing, quality, secrets
-from siltstone.llm.common import held_out, staged, workdir
+from siltstone.llm.common import discard, held_out, staged, workdir
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """Columns _row (the whole row), doc_id and text."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject (predicted 1)."""
+    """Documents that the quality classifier does not reject (predicted 1). Null and empty texts are judged like an empty passage; repeated rows alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out_of = held_out(F.col("doc_id"))
     model = quality.train(docs.filter(~out_of).select("doc_id", "text"), labels.filter(~out_of))
-    return quality.classify(docs, model).filter("predicted = 1").select(*docs.columns)
+    return quality.classify(carried(docs), model).filter("predicted = 1").select("_row.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found (those without a letter are rejected)."""
+    """Documents in which a language is told: rejected are those without a letter (null and empty texts too), and those whose nearest codeword has a loss
+    beyond chance, that is with the weighted bits against it. Where no language could be learned all stay. Repeated rows are judged alike."""
     model = language.train(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return language.identify(docs, model).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    if not model.languages:
+        return docs
+    told = (F.col("lang_pred") != language.UNKNOWN) & (F.col("loss") <= language.CHANCE)
+    return language.identify(carried(docs), model).filter(told).select("_row.*")
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near-duplicates: that of the least doc_id. Of repeated rows of one doc_id the first by text hash stays."""
-    classes = neardup.near_duplicates(docs.select("doc_id", "text"))
-    kept = staged(classes.filter("doc_id = class_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "pipeline-kept")
-    out = docs.join(kept.hint("shuffle_hash"), "doc_id")
-    if kept.filter("_rows > 1").isEmpty():
-        out = out.select(*docs.columns)
-    else:
-        key = F.xxhash64("text")
-        first = out.filter("_rows > 1").groupBy("doc_id").agg(F.min(key).alias("_first"))
-        twice = out.filter("_rows > 1").join(first, "doc_id").filter(key == F.col("_first")).dropDuplicates(["doc_id"])
-        out = out.filter("_rows = 1").select(*docs.columns).unionByName(twice.select(*docs.columns))
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of every class of near-duplicates: that of the least doc_id, a null one last (see `neardup.representatives`: repeated ids are told
+    apart by their texts). Null texts and texts without words stay."""
+    return neardup.representatives(docs, neardup.near_duplicates(docs.select("doc_id", "text")))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every found secret replaced by its kind in square brackets (of overlapping spans the earlier and longer)."""
-    found = secrets.scan_history(docs, secrets.Ledger(spark, workdir(spark, "pipeline-ledger")), keep_text=True)
-    return secrets.redacted(found).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with every found secret replaced by its kind in square brackets (of overlapping spans the earlier and longer), and n_chars counted
+    anew. Null texts stay null; repeated rows each stay."""
+    found = secrets.scan_history(carried(docs).drop("doc_id"), secrets.Ledger(spark, workdir(spark, "pipeline-ledger")), keep_text=True)
+    out = secrets.redacted(found)
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences."""
+    """Token pieces of all documents, packed into sequences. Null texts are one piece of id 0; repeated rows each give their pieces."""
     import public_tokenizers as vocab
 
     return packing.pack_documents(docs.select("doc_id", "text"), vocab.path("word_bpe_49k.json"))
@@ -71,5 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
