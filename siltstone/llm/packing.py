@@ -36,8 +36,10 @@ class WordEncoder:
     ODD = re.compile("[\x1c-\x1fΣİ\u0300-\u036f]")
     #: In these texts lower case comes to the same before and after normalisation.
     LATIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u024f\u2010-\u2027]*")
-    #: A comma or full stop between a letter or digit and white space is a piece of its own.
-    STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
+    #: Words of one piece: their last token, and no other, ends a word.
+    PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+    #: Plain words that the library gets as one text.
+    JOINED = 512
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,27 +48,52 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.ends = np.zeros(self.library.get_vocab_size(), dtype=bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def several(self, words: list[str]) -> None:
+        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        """Remembers the ids of new words. A comma or full stop after a letter or digit at a word's end is a piece of its own."""
+        young = self.young
+        marked = [w for w in new if w[-1] in ",." and len(w) > 1 and w[-2].isalnum()]
+        new.difference_update(marked)
+        new.update([w[:-1] for w in marked], [w[-1] for w in marked])
+        new.difference_update(young)
+        if self.old:
+            for w in new.intersection(self.old):
+                young[w] = self.old[w]
+            new.difference_update(young)
+        plain = [w for w in new if self.PLAIN.fullmatch(w)]
+        self.several(list(new.difference(plain)))
+        groups = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
+        for g, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) != len(g):
+                self.several(g)
+                continue
+            body, at = ids.tobytes(), 0
+            for w, c in zip(g, cuts, strict=True):
+                young[w] = body[at:c]
+                at = c
+        for w in marked:
+            young[w] = young[w[:-1]] + young[w[-1]]
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        words = [None if self.ODD.search(t) else self.STOP.sub(r" \1", t).lower().split() if self.LATIN.fullmatch(t) and "<|" not in t else t.split() for t in texts]
-        new = set()
-        for w in words:
-            if w is not None:
-                new.update(w)
+        words = [None if self.ODD.search(t) else t.lower().split() if self.LATIN.fullmatch(t) and "<|" not in t else t.split() for t in texts]
+        new = set().union(*[w for w in words if w is not None])
         new.difference_update(self.young)
         if new:
             if len(self.young) + len(new) > WORDS and self.young:
                 self.old, self.young = self.young, {}
                 new = set().union(*[w for w in words if w is not None])
-            old = self.old
-            again = new.intersection(old)
-            self.young.update((w, old[w]) for w in again)
-            new = list(new - again)
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.learn(new)
         get = self.young.__getitem__
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
@@ -81,7 +108,9 @@ def encoder(path: str) -> WordEncoder:
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then id 0, cut at `capacity`. Null text is empty: one piece of id 0."""
+    """(id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then id 0, cut at `capacity`. Null text is empty: one piece of id 0.
+
+    Repeated rows each give their pieces; an empty table gives none; other columns of `docs` are left out, whatever their names."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for p in parts:
@@ -124,7 +153,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         for c in np.flatnonzero(left[: gap // 3 + 1])[::-1]:  # c the least of three
             a = pairs(int(gap - c))
             a = a[gap - c - a >= c]
-            for x in a[:8]:
+            for x in a:  # only the x whose partner is c itself can fail, so at most two are tried
                 combo = (int(x), int(gap - c - x), int(c))
                 if most(combo):
                     return combo
