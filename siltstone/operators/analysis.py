@@ -32,6 +32,10 @@ MODELS = {
 INDEX_RULES = ((9_999, "FLAT"), (499_999, "HNSW"), (4_999_999, "IVF_SQ8"), (None, "IVF_PQ"))
 
 
+#: The head row and the rule under it of a Markdown table; a whole HTML table.
+MARKDOWN_TABLE, HTML_TABLE = r"(?md)^\|.*\|$\n^\|[-:\s|]+\|$", r"(?is)<table[^>]*>.*?</table>"
+
+
 def lines(text: Column) -> Column:
     """Stripped, non-empty lines."""
     return F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: s != "")
@@ -52,7 +56,7 @@ def document_features(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("heading_levels", F.size(F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"(?m)^(#{1,6})[ \t]+.+$"), F.lit(1)), F.length))).cast("long"))
     out = out.withColumn("paragraph_count", F.size(para).cast("long")).withColumn("avg_paragraph", F.when(F.size(para) > 0, F.round(F.aggregate(para, F.lit(0), lambda s, x: s + x) / F.size(para), 6)).otherwise(F.lit(0.0)))
     out = out.withColumn("max_paragraph", F.coalesce(F.array_max(para), F.lit(0)).cast("long"))
-    out = out.withColumn("table_count", F.regexp_count(t, F.lit(r"(?i)<table")).cast("long")).withColumn("image_count", (F.regexp_count(t, F.lit(r"!\[[^\]]*\]\([^)]+\)")) + F.regexp_count(t, F.lit(r"(?i)<img[^>]+>"))).cast("long"))
+    out = out.withColumn("table_count", (F.regexp_count(t, F.lit(MARKDOWN_TABLE)) + F.regexp_count(t, F.lit(HTML_TABLE))).cast("long")).withColumn("image_count", (F.regexp_count(t, F.lit(r"!\[[^\]]*\]\([^)]+\)")) + F.regexp_count(t, F.lit(r"(?i)<img[^>]+>"))).cast("long"))
     out = out.withColumn("code_count", F.size(fences).cast("long")).withColumn("code_ratio", F.when(F.length(t) > 0, F.round(code / F.length(t), 6)).otherwise(F.lit(0.0)))
     return out
 
@@ -82,11 +86,47 @@ def is_structured(text: Column) -> Column:
 
 
 def line_uniformity(text: Column) -> Column:
-    """1 minus the coefficient of variation of the first 50 lines' lengths, from 0 to 1, to 3 places; 0 for fewer than 3 lines."""
-    n = F.transform(F.slice(lines(text), 1, 50), F.length)
+    """1 minus the coefficient of variation of the lengths of the first 50 lines that aren't blank, as they stand, from 0 to 1, to 3 places; 0 for fewer than
+    3 lines or a mean under 10."""
+    n = F.transform(F.slice(F.filter(F.split(text, "\n"), lambda s: T.strip(s) != ""), 1, 50), F.length)
+    mean = F.aggregate(n, F.lit(0.0), lambda s, x: s + x) / F.size(n)
+    var = F.aggregate(n, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(n)
+    return F.when((F.size(n) < 3) | (mean < 10), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(var) / mean)), 3))
+
+
+def document_format(file_format: Column, file_name: Column, metadata_format: Column, loader: Column) -> Column:
+    """The stated format, else the name's ending, else that of the metadata, else the loader where it is named after a format; lower case, empty if unknown."""
+    given = lambda c: F.when(c != "", F.lower(c))
+    base = F.regexp_replace(F.regexp_extract(file_name, r"([^/]*)$", 1), r"^\.+", "")
+    ending = F.regexp_extract(base, r"\.([^.]+)$", 1)
+    return F.coalesce(given(file_format), given(ending), given(metadata_format), F.when(F.lower(loader).isin("json", "csv", "txt", "md", "html", "xml"), F.lower(loader)), F.lit(""))
+
+
+def is_flattened_tabular(text: Column, fmt: Column) -> Column:
+    """Spreadsheet texts without a Markdown table whose first 30 lines (3 or more, 20 characters and more in the mean) vary in length by under half the mean."""
+    n = F.transform(F.slice(lines(text), 1, 30), F.length)
     mean = F.aggregate(n, F.lit(0.0), lambda s, x: s + x) / F.size(n)
     var = F.aggregate(n, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(n)
-    return F.when(F.size(n) < 3, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(var) / mean)), 3))
+    return fmt.isin("xlsx", "xls", "csv") & (F.regexp_count(text, F.lit(MARKDOWN_TABLE)) == 0) & (F.size(n) >= 3) & F.coalesce((mean >= 20) & (F.sqrt(var) / mean < 0.5), F.lit(False))
+
+
+def is_slide_like(text: Column, fmt: Column, slides: Column) -> Column:
+    """Slides by format or number; else 3 or more paragraphs, short in the mean, with many lines that begin with a bullet (stricter for Word documents)."""
+    para = paragraphs(text)
+    mean = F.aggregate(F.transform(para, F.length), F.lit(0.0), lambda s, x: s + x) / F.size(para)
+    line = F.flatten(F.transform(para, lambda p: F.split(p, "\n")))
+    share = F.size(F.filter(line, lambda x: x.rlike(r"^[ \t\n\r\f\x0B]*[-•*▪▸►][ \t\n\r\f\x0B]"))) / F.size(line)
+    word = F.lower(fmt).isin("docx", "doc")
+    plain = (F.size(para) >= 3) & F.when(word, (mean < 100) & (share > 0.6)).otherwise((mean < 300) & (share > 0.3))
+    return F.lower(fmt).isin("pptx", "ppt") | (F.coalesce(slides, F.lit(0)) > 0) | F.coalesce(plain, F.lit(False))
+
+
+def feature_distances(features: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, distance): Euclidean distance of two documents' vectors, to 6 places. features: (doc_id, i, x) long form; pairs: (a, b)."""
+    one = features.select(F.col("doc_id").alias("a"), "i", "x")
+    other = features.select(F.col("doc_id").alias("b"), "i", F.col("x").alias("y"))
+    d = F.col("x") - F.col("y")
+    return pairs.join(one, "a").join(other, ["b", "i"]).groupBy("a", "b").agg(F.round(F.sqrt(F.sum(d * d)), 6).alias("distance"))
 
 
 def language_shares(df: DataFrame, text: str = "text") -> DataFrame:

@@ -219,26 +219,49 @@ def split_sentences_py(text: str) -> list[str]:
 
 
 def merged_sentences(text: str, least: int = 300) -> list[tuple[str, int, int, bool]]:
-    """Sentences joined by blanks; flushed when the next one brings the chunk to `least` or more."""
-    out, held, size = [], [], 0
+    """Sentences joined by blanks. Where a sentence would bring the chunk to `least` characters (blanks not counted) the chunk ends before it. A chunk starts
+    where its first sentence is found; it ends as far on as its content is long, the last one at the end of the text."""
+    out, held, size, at = [], [], 0, 0
     for s in split_sentences_py(text):
+        if held and size + len(s) >= least:
+            body = " ".join(held)
+            out.append((body, at, at + len(body), False))
+            held, size, at = [], 0, text.find(s, at)
         held.append(s)
         size += len(s)
-        if size >= least:
-            out.append(" ".join(held))
-            held, size = [], 0
     if held:
-        out.append(" ".join(held))
-    return [(c, 0, len(c), False) for c in out]
+        out.append((" ".join(held), at, len(text), False))
+    return out
 
 
 def chunk_sentences(df: DataFrame, least: int = 300, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return _fold(df, lambda t: merged_sentences(t, least), text, keep).drop("start", "end", "records")
+    return _fold(df, lambda t: merged_sentences(t, least), text, keep).drop("records")
+
+
+def grouped_sentences(text: str, sents: list[str], likeness: Callable[[int], float], least: int, most: int, similar: float) -> list[tuple[str, int, int, bool]]:
+    """Adjacent sentences joined while their likeness (of sentence i to the one before) is at least `similar` and the chunk fits `most`, or while the chunk is under
+    `least` and fits 1.5 `most`; blanks are not counted. Positions are those of the first and last sentence; the last chunk ends with the text."""
+    out, held, size, at = [], [sents[0]], len(sents[0]), 0
+
+    def close(end: int | None) -> None:
+        start = text.find(held[0], at)
+        out.append((" ".join(held), start, text.find(held[-1], at) + len(held[-1]) if end is None else end, False))
+
+    for i, s in enumerate(sents[1:], 1):
+        longer = size + len(s)
+        if (likeness(i) >= similar and longer <= most) or (size < least and longer <= most * 1.5):
+            held.append(s)
+            size = longer
+        else:
+            close(None)
+            at = text.find(s, at)
+            held, size = [s], len(s)
+    close(len(text))
+    return out
 
 
 def semantic_chunks(text: str, least: int = 300, most: int = 1200, similar: float = 0.3) -> list[tuple[str, int, int, bool]]:
-    """Adjacent sentences joined while their TF-IDF cosine is at least `similar` and the chunk fits `most`, or while the chunk is under `least` and fits 1.5 `most`.
-    Fewer than two sentences, or one chunk over 1.5 `most`: sentence merging instead."""
+    """`grouped_sentences` by TF-IDF cosine. Fewer than two sentences, or one chunk of a text over 1.5 `most`: sentence merging instead."""
     import math
     import re
     from collections import Counter
@@ -251,27 +274,55 @@ def semantic_chunks(text: str, least: int = 300, most: int = 1200, similar: floa
     idf = {t: math.log(len(sents) / (n + 1)) for t, n in df.items()}
     vecs = [{t: n / sum(b.values()) * idf[t] for t, n in b.items()} for b in bags]
 
-    def cos(a: dict, b: dict) -> float:
+    def cos(i: int) -> float:
+        a, b = vecs[i - 1], vecs[i]
         num = sum(v * b[t] for t, v in a.items() if t in b)
         den = math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values()))
         return num / den if den else 0.0
 
-    out, cur = [], sents[0]
-    for i in range(1, len(sents)):
-        size = len(cur) + 1 + len(sents[i])
-        if (cos(vecs[i - 1], vecs[i]) >= similar and size <= most) or (len(cur) < least and size <= most * 1.5):
-            cur += " " + sents[i]
-        else:
-            out.append(cur)
-            cur = sents[i]
-    out.append(cur)
-    if len(out) == 1 and len(text) > most * 1.5:
-        return merged_sentences(text, least)
-    return [(c, 0, len(c), False) for c in out]
+    out = grouped_sentences(text, sents, cos, least, most, similar)
+    return merged_sentences(text, least) if len(out) == 1 and len(text) > most * 1.5 else out
+
+
+def embedding_chunks(text: str, least: int = 300, most: int = 1200, similar: float = 0.7, dim: int = 64) -> list[tuple[str, int, int, bool]]:
+    """`grouped_sentences` by the cosine of the sentences' hashed embeddings. Fewer than two sentences, or one without a token: by TF-IDF instead."""
+    import hashlib
+    import math
+    import re
+
+    sents, vecs = split_sentences_py(text), []
+    for s in sents:
+        v = [0.0] * dim
+        for w in re.findall(r"[一-鿿]|[a-zA-Z0-9]+", s.lower()):
+            h = hashlib.md5(w.encode()).hexdigest()
+            v[int(h[:8], 16) % dim] += 1.0 if h[8] < "8" else -1.0
+        vecs.append(v)
+    if len(sents) < 2 or not all(any(v) for v in vecs):
+        return semantic_chunks(text, least, most)
+
+    def cos(i: int) -> float:
+        a, b = vecs[i - 1], vecs[i]
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(y * y for y in b)))
+
+    return grouped_sentences(text, sents, cos, least, most, similar)
 
 
 def chunk_semantic_tfidf(df: DataFrame, least: int = 300, most: int = 1200, similar: float = 0.3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return _fold(df, lambda t: semantic_chunks(t, least, most, similar), text, keep).drop("start", "end", "records")
+    return _fold(df, lambda t: semantic_chunks(t, least, most, similar), text, keep).drop("records")
+
+
+def chunk_semantic_embedding(df: DataFrame, least: int = 300, most: int = 1200, similar: float = 0.7, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """By embeddings, else by TF-IDF, else by sentences: each where the one before has nothing to go by."""
+    return _fold(df, lambda t: embedding_chunks(t, least, most, similar), text, keep).drop("records")
+
+
+def parents_page(parents: DataFrame, children: DataFrame, page: int, size: int, with_children: bool = True) -> DataFrame:
+    """One page of each document's parents in order, each with its children (index and length) where wanted."""
+    wanted = parents.filter((F.col("chunk_index") >= (page - 1) * size) & (F.col("chunk_index") < page * size)).select("doc_id", "parent_id", "chunk_index", "char_count")
+    if not with_children:
+        return wanted
+    kids = children.select("parent_id", F.col("chunk_index").alias("child_index"), F.col("char_count").alias("child_chars"))
+    return wanted.join(kids, "parent_id", "left").select("doc_id", "parent_id", "chunk_index", "char_count", "child_index", "child_chars")
 
 
 def sentence_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Heading structure of Markdown texts: sections, paths, trees."""
+"""Heading structure of texts with Markdown or HTML headings: sections, paths, trees."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,14 +10,37 @@ from siltstone.functions import text as T
 from siltstone.operators.chunking import chunk_paragraph
 
 
+#: An HTML heading on one line.
+HTML = r"(?i)<h([1-6])>(.*?)</h\1>"
+FOUND = "array<struct<at:int,level:int,title:string>>"
+
+
+def _html_headings(line: Column) -> Column:
+    """Headings of one line with their offsets: the pieces between matches and the matches take turns."""
+    gaps = F.transform(F.split(line, HTML, -1), F.length)
+    whole = F.transform(F.regexp_extract_all(line, F.lit(HTML), F.lit(0)), F.length)
+    each = F.arrays_zip(gaps.alias("gap"), whole.alias("len"), F.regexp_extract_all(line, F.lit(HTML), F.lit(1)).alias("level"), F.regexp_extract_all(line, F.lit(HTML), F.lit(2)).alias("title"))
+    walk = F.aggregate(
+        each,
+        F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("found")),
+        lambda s, m: F.struct(
+            (s["at"] + m["gap"] + F.coalesce(m["len"], F.lit(0))).alias("at"),
+            F.when(m["len"].isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct((s["at"] + m["gap"]).alias("at"), m["level"].cast("int").alias("level"), T.strip(m["title"]).alias("title"))))).alias("found"),
+        ),
+        lambda s: s["found"],
+    )
+    return F.when(F.lower(line).contains("</h"), walk).otherwise(F.array().cast(FOUND))
+
+
 def heading_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, seq, start, level, title): Markdown headings with their offset; lines carry a running sum of lengths, by document."""
+    """(key, start, level, title, seq): Markdown and HTML headings with their offset; lines carry a running sum of lengths, by document."""
     line = df.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
     at = F.coalesce(F.sum(F.length("line") + 1).over(W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = line.withColumn("start", at.cast("long")).filter(F.col("line").rlike(r"^#{1,6}[ \t]+.+$"))
-    level = F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).cast("long")
+    mark = F.struct(F.lit(0).alias("at"), F.length(F.regexp_extract("line", r"^(#{1,6})", 1)).alias("level"), T.strip(F.regexp_extract("line", r"^#{1,6}[ \t]+(.+)$", 1)).alias("title"))
+    found = F.concat(F.when(F.col("line").rlike(r"^#{1,6}[ \t]+.+$"), F.array(mark)).otherwise(F.array().cast(FOUND)), _html_headings(F.col("line")))
+    rows = line.withColumn("_line", at.cast("long")).select(key, "_line", F.explode(found).alias("h"))
     seq = F.row_number().over(W.partitionBy(key).orderBy("start")).cast("long")
-    return rows.select(key, "start", level.alias("level"), T.strip(F.regexp_extract("line", r"^#{1,6}[ \t]+(.+)$", 1)).alias("title")).withColumn("seq", seq)
+    return rows.select(key, (F.col("_line") + F.col("h.at")).alias("start"), F.col("h.level").cast("long").alias("level"), F.col("h.title").alias("title")).withColumn("seq", seq)
 
 
 def heading_paths(h: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -42,13 +65,51 @@ def sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return x.select(key, (F.col("seq") - 1).alias("chunk_index"), "level", "title", "path", "start", body.alias("content"))
 
 
-def sections_or_paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sections, and the paragraph chunks of every text with fewer than two headings (fallback true; level, title and path are null)."""
+#: Characters of content, headings aside, under which a section is joined to its neighbour.
+SHORT = 100
+SECTION = "struct<level:long,title:string,path:string,start:long,content:string,merged:array<string>>"
+
+
+def merge_short_sections(sections: DataFrame, key: str = "doc_id", least: int = SHORT) -> DataFrame:
+    """Sections of a document in order; one with fewer than `least` characters of content takes in the next one, if that lies deeper, else goes to the
+    one before, if it lies deeper than that. A joined section keeps its first heading and the lesser level, and lists the headings it took in.
+
+    One document's sections meet in one row: they are pieces of one text.
+    """
+    lines = lambda c: F.filter(F.transform(F.split(c, "\n"), T.strip), lambda x: (x != "") & ~x.rlike(r"^#{1,6}[ \t\n\r\f\x0B]+"))
+    pure = lambda c: F.aggregate(lines(c), F.lit(0), lambda n, x: n + F.length(x))
+    each = F.struct("level", "title", "path", "start", "content", F.array().cast("array<string>").alias("merged"))
+    rows = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk_index", each.alias("s")))).alias("_all"))
+
+    def joined(a: Column, b: Column) -> Column:
+        return F.struct(F.least(a["level"], b["level"]).alias("level"), a["title"].alias("title"), a["path"].alias("path"), a["start"].alias("start"), F.concat(a["content"], F.lit("\n\n"), b["content"]).alias("content"), F.concat(a["merged"], F.array(b["title"])).alias("merged"))
+
+    def closed(done: Column, cur: Column) -> Column:
+        last = F.element_at(done, -1)
+        up = (pure(cur["content"]) < least) & (F.size(done) > 0) & (cur["level"] > F.try_element_at(done, F.lit(-1))["level"])
+        return F.when(up, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined(last, cur)))).otherwise(F.concat(done, F.array(cur)))
+
+    def step(state: Column, x: Column) -> Column:
+        done, cur = state["done"], state["cur"]
+        down = (pure(cur["content"]) < least) & (x["s"]["level"] > cur["level"])
+        return F.struct(F.when(down, done).otherwise(closed(done, cur)).alias("done"), F.when(down, joined(cur, x["s"])).otherwise(x["s"]).alias("cur"))
+
+    first = F.struct(F.array().cast(f"array<{SECTION}>").alias("done"), F.element_at("_all", 1)["s"].cast(SECTION).alias("cur"))
+    walk = F.aggregate(F.slice("_all", 2, F.size("_all")), first, step, lambda s: closed(s["done"], s["cur"]))
+    out = rows.select(key, F.posexplode(walk).alias("chunk_index", "s"))
+    return out.select(key, F.col("chunk_index").cast("long").alias("chunk_index"), "s.level", "s.title", "s.path", "s.start", "s.content", F.array_join("s.merged", " > ").alias("merged_headings"))
+
+
+def sections_or_paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = SHORT) -> DataFrame:
+    """The sections, short ones joined (`least` 0: none is), and the paragraph chunks of every text with fewer than two headings (fallback true; level, title,
+    path and merged_headings are null)."""
     headed = heading_rows(df, key, text).groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(key)
     rest = chunk_paragraph(df.join(headed, key, "left_anti"), text=text, keep=(key,))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("level", "long"), ("title", "string"), ("path", "string"))]
-    rest = rest.select(key, "chunk_index", *none, F.col("start").cast("long").alias("start"), "content", F.lit(True).alias("fallback"))
-    return sections(df, key, text).withColumn("fallback", F.lit(False)).unionByName(rest)
+    rest = rest.select(key, "chunk_index", *none, F.col("start").cast("long").alias("start"), "content", F.lit(None).cast("string").alias("merged_headings"), F.lit(True).alias("fallback"))
+    own = sections(df, key, text)
+    own = merge_short_sections(own, key, least) if least else own.withColumn("merged_headings", F.lit(""))
+    return own.withColumn("fallback", F.lit(False)).unionByName(rest)
 
 
 def heading_parents(h: DataFrame, key: str = "doc_id") -> DataFrame:

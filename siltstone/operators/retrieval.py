@@ -51,10 +51,11 @@ def exact_dedup_cross_doc(cands: DataFrame, text: str = "text", doc: str = "doc_
 def near_pairs(cands: DataFrame, least: float = 0.5, key: str = "vec_id", doc: str = "doc_id", text: str = "text", by: str = "query_id") -> DataFrame:
     """Pairs (a < b) of candidates of one query and different documents whose character 3-gram sets have Jaccard similarity `least` or more.
 
+    Texts are stripped; one under 3 characters is its own only gram, an empty one has none and is like no other.
     Candidate lists are bounded by the retrieval stage; pairs meet on common 3-grams by an equi-join.
     """
-    low = cands.select(by, F.col(key).alias("k"), F.col(doc).alias("d"), F.lower(F.col(text)).alias("t")).filter(F.length("t") >= 3)
-    spots = low.select(by, "k", "d", "t", F.explode(F.sequence(F.lit(1), F.length("t") - 2)).alias("i"))
+    low = cands.select(by, F.col(key).alias("k"), F.col(doc).alias("d"), T.strip(F.coalesce(F.col(text), F.lit(""))).alias("t")).filter("t <> ''")
+    spots = low.select(by, "k", "d", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1)))).alias("i"))
     grams = spots.select(by, "k", "d", F.substring("t", F.col("i"), F.lit(3)).alias("gram")).distinct()
     each = grams.join(grams.groupBy(by, "k").agg(F.count(F.lit(1)).alias("size")), [by, "k"])
     other = each.select(by, F.col("k").alias("k2"), F.col("d").alias("d2"), F.col("size").alias("size2"), "gram")
@@ -124,6 +125,23 @@ def paginate(cands: DataFrame, page: int = 1, size: int = 10, rank: str = "final
     return x.filter((F.col("place") > (page - 1) * size) & (F.col("place") <= page * size))
 
 
+def final_topk(cands: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "vec_id") -> DataFrame:
+    """The k best of each query after all layers, with place from 1."""
+    w = W.partitionBy(by).orderBy(F.desc(score), tie)
+    return cands.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= k)
+
+
+def format_results(cands: DataFrame, text: str = "text", score: str = "score", chars: int = 200) -> DataFrame:
+    """Adds summary (the first `chars` characters, with three dots where more follow) and percent (the score from 0 to 1 as a percentage, one decimal)."""
+    cut = F.length(text) > chars
+    return cands.withColumn("summary", F.when(cut, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(F.col(text))).withColumn("percent", F.concat(F.format_number(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(score))) * 100, 1), F.lit("%")))
+
+
+def extract_sources(cands: DataFrame, by: str = "query_id", doc: str = "doc_id", rank: str = "rank") -> DataFrame:
+    """One row a document that a query's context cites: its first place and how many of its chunks are there."""
+    return cands.groupBy(by, doc).agg(F.min(rank).alias("first_rank"), F.count(F.lit(1)).alias("chunks"), F.max("score").alias("best_score"))
+
+
 def rerank_text(chunks: DataFrame) -> DataFrame:
     """Adds rerank_text: the document's name first; short texts get what stands before and after."""
     # The labels.

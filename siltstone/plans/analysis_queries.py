@@ -69,6 +69,23 @@ def chunking_choice(s, d):
     return A.recommend_chunking(A.flags(A.document_features(m)), A.is_structured(F.col("text")))
 
 
+def with_format(s, d):
+    """Documents with a format, a name, a metadata format and a loader by doc_id, each missing for some."""
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    return documents(s, d).select("doc_id", "text", pick("", "XLSX", "").alias("file_format"), pick("", "a.b/report.CSV", "notes", ".hidden", "deck.tar.pptx").alias("file_name"), pick("", "docx", "", "csv").alias("metadata_format"), pick("docling", "TXT", "csv", "html", "pdf", "xml", "md").alias("loader"))
+
+
+def formatted(s, d):
+    x = with_format(s, d)
+    return x.withColumn("format", A.document_format(F.col("file_format"), F.col("file_name"), F.col("metadata_format"), F.col("loader")))
+
+
+def neighbour_distances(s, d):
+    v = vector(s, d).withColumn("x", F.round("x", 6))
+    ids = documents(s, d).select("doc_id")
+    return A.feature_distances(v, ids.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")))
+
+
 def batch_choice(s, d):
     a = analysed(s, d)
     n = a.agg(F.count(F.lit(1)).alias("n"))
@@ -87,6 +104,10 @@ QUERIES = {
     "is_structured_data": lambda s, d: documents(s, d).select("doc_id", A.is_structured(F.col("text")).alias("structured")),
     "is_log_like": lambda s, d: documents(s, d).select("doc_id", A.is_log_like(F.col("text")).alias("log_like")),
     "line_uniformity": lambda s, d: documents(s, d).select("doc_id", A.line_uniformity(F.col("text")).alias("uniformity")),
+    "document_format": lambda s, d: formatted(s, d).select("doc_id", "format"),
+    "is_flattened_tabular": lambda s, d: formatted(s, d).select("doc_id", A.is_flattened_tabular(F.col("text"), F.col("format")).alias("flattened")),
+    "is_slide_like": lambda s, d: formatted(s, d).select("doc_id", A.is_slide_like(F.col("text"), F.col("format"), F.when(F.col("doc_id") % 11 == 0, 3)).alias("slides")),
+    "feature_distance": neighbour_distances,
     "detect_language": languages,
     "detect_language_aggregate": chunk_language,
     "classify_domain": domains,
@@ -110,7 +131,7 @@ f1 AS (SELECT doc_id, text, length(text)::BIGINT AS char_count, {WORDS.format('t
   (len(regexp_extract_all(text, '(?m)^#{{1,6}}[ \t]+.+$')) + len(regexp_extract_all(text, '(?i)<h[1-6][^>]*>')))::BIGINT AS heading_count,
   len(list_distinct(list_transform(regexp_extract_all(text, '(?m)^(#{{1,6}})[ \t]+.+$', 1), lambda x: length(x))))::BIGINT AS heading_levels,
   len(para)::BIGINT AS paragraph_count, CASE WHEN len(para) > 0 THEN round(list_sum(para) / len(para), 6) ELSE 0 END AS avg_paragraph, coalesce(list_max(para), 0)::BIGINT AS max_paragraph,
-  len(regexp_extract_all(text, '(?i)<table'))::BIGINT AS table_count, (len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]+\)')) + len(regexp_extract_all(text, '(?i)<img[^>]+>')))::BIGINT AS image_count,
+  (len(regexp_extract_all(text, '(?m)^\|.*\|$\n^\|[-:\s|]+\|$')) + len(regexp_extract_all(text, '(?is)<table[^>]*>.*?</table>')))::BIGINT AS table_count, (len(regexp_extract_all(text, '!\[[^\]]*\]\([^)]+\)')) + len(regexp_extract_all(text, '(?i)<img[^>]+>')))::BIGINT AS image_count,
   len(fences)::BIGINT AS code_count, CASE WHEN length(text) > 0 THEN round(coalesce(list_sum(list_transform(fences, lambda x: length(x))), 0) / length(text), 6) ELSE 0 END AS code_ratio FROM f0),
 f AS (SELECT *, heading_count >= 3 AND heading_levels >= 2 AS clear_structure, code_ratio > 0.2 OR code_count > 3 OR table_count > 2 AS is_technical,
   heading_count < 3 AND table_count < 2 AND code_count < 2 AND avg_paragraph > 200 AS is_narrative,
@@ -179,14 +200,21 @@ UNION ALL SELECT doc_id, 6, 'character', 0.6 FROM x WHERE char_count < 5000 OR c
 UNION ALL SELECT doc_id, 7, 'semantic', 0.7 FROM x WHERE NOT st AND NOT sem)
 SELECT doc_id, rank, strategy, c::DOUBLE AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, turn) AS rank FROM r) WHERE rank <= 3"""
 
+NAMED = """fm AS (SELECT doc_id, text, ['', 'XLSX', ''][doc_id % 3 + 1] AS ff, ['', 'csv', '', '', 'pptx'][doc_id % 5 + 1] AS ending, ['', 'docx', '', 'csv'][doc_id % 4 + 1] AS mf, ['', 'txt', 'csv', 'html', '', 'xml', 'md'][doc_id % 7 + 1] AS ld FROM documents),
+fmt AS (SELECT doc_id, text, coalesce(nullif(lower(ff), ''), nullif(ending, ''), nullif(mf, ''), ld) AS format FROM fm)"""
+
 ORACLE = {
+    "document_format": f"WITH {NAMED} SELECT doc_id, format FROM fmt",
+    "is_flattened_tabular": rf"WITH {NAMED}, n AS (SELECT doc_id, format, text, list_transform(({LINES})[1:30], lambda x: length(x)) AS n FROM fmt), m AS (SELECT *, list_sum(n) / len(n) AS m FROM n) SELECT doc_id, coalesce(format IN ('xlsx', 'xls', 'csv') AND len(regexp_extract_all(text, '(?m)^\|.*\|$\n^\|[-:\s|]+\|$')) = 0 AND len(n) >= 3 AND m >= 20 AND sqrt(list_sum(list_transform(n, lambda x: (x - m) * (x - m))) / len(n)) / m < 0.5, false) AS flattened FROM m",
+    "is_slide_like": rf"WITH {NAMED}, p AS (SELECT doc_id, format, list_filter(list_transform(regexp_split_to_array(text, '\n[ \t\n\r\f\x0B]*\n'), lambda x: {strip_sql('x')}), lambda x: x <> '') AS p FROM fmt), q AS (SELECT *, list_sum(list_transform(p, lambda x: length(x))) / len(p) AS m, flatten(list_transform(p, lambda x: string_split(x, chr(10)))) AS l FROM p), r AS (SELECT *, len(list_filter(l, lambda x: regexp_matches(x, '^[ \t\n\r\f\x0B]*[-•*▪▸►][ \t\n\r\f\x0B]'))) / len(l) AS b FROM q) SELECT doc_id, format IN ('pptx', 'ppt') OR doc_id % 11 = 0 OR coalesce(len(p) >= 3 AND CASE WHEN format IN ('docx', 'doc') THEN m < 100 AND b > 0.6 ELSE m < 300 AND b > 0.3 END, false) AS slides FROM r",
+    "feature_distance": f"WITH {FV}, r AS (SELECT doc_id, i, round(x, 6) AS x FROM fv) SELECT a.doc_id AS a, b.doc_id AS b, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 6) AS distance FROM r a JOIN r b ON b.doc_id = a.doc_id + 1 AND a.i = b.i GROUP BY ALL",
     "doc_features": f"WITH {MD}, {feat('md')} SELECT doc_id, {', '.join(COUNTS)} FROM f",
     "has_clear_structure": f"WITH {MD}, {feat('md')} SELECT doc_id, clear_structure FROM f",
     "is_technical_narrative": f"WITH {feat('documents')} SELECT doc_id, is_technical, is_narrative FROM f",
     "estimated_complexity": f"WITH {MD}, {feat('md')} SELECT doc_id, complexity FROM f",
     "is_structured_data": f"SELECT doc_id, {STRUCTURED} AS structured FROM documents",
     "is_log_like": rf"SELECT doc_id, len(l) >= 5 AND list_sum(list_transform(l, lambda x: regexp_matches(x, '^\d{{4}}[-/]\d{{2}}[-/]\d{{2}}[ \tT]\d{{2}}:\d{{2}}')::INTEGER + regexp_matches(x, '(?i)^(INFO|DEBUG|WARN|ERROR|FATAL|WARNING|TRACE)[ \t]')::INTEGER)) / len(l) > 0.4 AS log_like FROM (SELECT doc_id, ({LINES})[1:30] AS l FROM documents)",
-    "line_uniformity": f"SELECT doc_id, CASE WHEN len(n) < 3 THEN 0 ELSE round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(n, lambda x: (x - m) * (x - m))) / len(n)) / m)), 3) END::DOUBLE AS uniformity FROM (SELECT doc_id, n, list_sum(n) / len(n) AS m FROM (SELECT doc_id, list_transform(({LINES})[1:50], lambda x: length(x)) AS n FROM documents))",
+    "line_uniformity": f"SELECT doc_id, CASE WHEN len(n) < 3 OR m < 10 THEN 0 ELSE round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(n, lambda x: (x - m) * (x - m))) / len(n)) / m)), 3) END::DOUBLE AS uniformity FROM (SELECT doc_id, n, list_sum(n) / len(n) AS m FROM (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: {strip_sql('x')} <> '')[1:50], lambda x: length(x)) AS n FROM documents))",
     "detect_language": f"WITH {lang('documents')} SELECT doc_id, language, round(confidence, 6) AS confidence, round(zh, 6) AS zh, round(ja, 6) AS ja, round(ko, 6) AS ko, round(en, 6) AS en FROM l",
     "detect_language_aggregate": f"WITH {CHUNKS}, {lang('(SELECT doc_id, content AS text FROM chunks)')}, s AS (SELECT doc_id, 'zh' AS lang, sum(zh) AS p FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'ja', sum(ja) FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'ko', sum(ko) FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'en', sum(en) FROM l GROUP BY 1) SELECT doc_id, lang AS language, round(p / t, 6) AS confidence FROM (SELECT *, sum(p) OVER (PARTITION BY doc_id) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang DESC) AS r FROM s WHERE p > 0) WHERE r = 1",
     "classify_domain": f"WITH {domain_sql()} SELECT doc_id, domain, confidence, hits FROM dm",

@@ -98,6 +98,8 @@ QUERIES = {
     "chunk_structured_records": lambda s, d: C.chunk_structured_records(documents(s, d)),
     "chunk_paragraph": lambda s, d: C.chunk_paragraph(documents(s, d)),
     "chunk_sentences": lambda s, d: C.chunk_sentences(documents(s, d)),
+    "chunk_semantic_embedding": lambda s, d: C.chunk_semantic_embedding(documents(s, d)),
+    "parents_page": lambda s, d: C.parents_page(parents(s, d), children(s, d), 2, 2),
     "chunk_semantic_tfidf": lambda s, d: C.chunk_semantic_tfidf(documents(s, d)),
     "split_sentences": sents,
     "tfidf_sentences": tfidf,
@@ -133,6 +135,14 @@ WITH l AS (SELECT doc_id, text, {LINES} AS lines FROM documents),
 k AS (SELECT * FROM l WHERE strpos(text, chr(10) || chr(10)) = 0 AND len(lines) > 1 AND (len(list_filter(lines, lambda x: regexp_matches(x, '^[^:]{{2,100}}:[ \t\n\r\f\x0B]*.+$'))) / len(lines) > 0.5
   OR (list_sum(list_transform(lines, lambda x: length(x))) / len(lines) > 50 AND list_min(list_transform(lines, lambda x: length(x))) > 30)))
 SELECT doc_id, unnest(range(0, len(lines))) AS chunk_index, unnest(lines) AS content, length(unnest(lines))::BIGINT AS char_count FROM k""",
+    "parents_page": f"WITH {PARENTS}, {CHILDREN} SELECT p.doc_id, p.parent_id, p.chunk_index, p.char_count, k.chunk_index AS child_index, k.char_count AS child_chars FROM parents p LEFT JOIN kids k USING (parent_id) WHERE p.chunk_index BETWEEN 2 AND 3",
+    "chunk_sentences": f"""WITH {SENTS}, l AS (SELECT doc_id, text, list(sentence ORDER BY sentence_index) AS l FROM sents JOIN documents USING (doc_id) GROUP BY ALL),
+e AS (SELECT doc_id, text, list_transform(l, lambda s: {{done: []::STRUCT(c VARCHAR, a BIGINT)[], held: s, size: length(s)::BIGINT, pos: 0::BIGINT}}) AS e FROM l),
+r AS (SELECT doc_id, length(text) AS n, list_reduce(e, lambda a, b: CASE WHEN a.size + b.size >= 300
+  THEN {{done: list_append(a.done, {{c: a.held, a: a.pos}}), held: b.held, size: b.size, pos: (a.pos + strpos(substring(text, a.pos + 1), b.held) - 1)::BIGINT}}
+  ELSE {{done: a.done, held: a.held || ' ' || b.held, size: (a.size + b.size)::BIGINT, pos: a.pos}} END) AS r FROM e),
+u AS (SELECT doc_id, n, unnest(list_append(r.done, {{c: r.held, a: r.pos}})) AS c, unnest(range(0, len(r.done) + 1)) AS chunk_index, len(r.done) AS last FROM r)
+SELECT doc_id, chunk_index, c.c AS content, c.a AS start, (CASE WHEN chunk_index = last THEN n ELSE c.a + length(c.c) END)::BIGINT AS "end", length(c.c)::BIGINT AS char_count FROM u""",
     "split_sentences": f"WITH {SENTS} SELECT doc_id, sentence_index, sentence FROM sents",
     "tfidf_sentences": f"WITH {SENTS}, {TERMS} SELECT doc_id, sentence_index, term, round(weight, 6) AS weight FROM w",
     "adjacent_sentence_similarity": f"""WITH {SENTS}, {TERMS},

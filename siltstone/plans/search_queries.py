@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -35,11 +36,12 @@ def query_weights(s, d):
 
 
 def bm25_scores(s, d):
-    """Only the queries' terms are counted and weighed."""
-    vocab, corpus = fitted(s, d)
+    """Only the queries' terms are counted and weighed; their document frequencies come from the same counts (one exchange, reused)."""
     asked = S.term_rows(questions(s, d), "query_id", "query").select("term").distinct()
-    vocab = vocab.join(asked, "term", "left_semi")
-    docs = S.encode_documents(S.term_counts(texts(s, d), "chunk_id", only=asked), vocab, corpus, "chunk_id")
+    counts = S.term_counts(texts(s, d), "chunk_id", only=asked)
+    corpus = S.corpus_statistics(texts(s, d))
+    vocab = S.vocabulary(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
+    docs = S.encode_documents(counts, vocab, corpus, "chunk_id")
     return S.score(docs, S.encode_queries(questions(s, d), vocab, "query_id", "query"), "chunk_id", "query_id")
 
 
@@ -79,7 +81,7 @@ def per_label(s, d, k=10):
 def text_cands(s, d):
     """Sparse top 20 with texts; document by chunk."""
     t = texts(s, d)
-    return sparse_top(s, d).join(t, "chunk_id").withColumnRenamed("chunk_id", "vec_id").withColumn("position", F.col("rank")).cache()
+    return sparse_top(s, d).join(t, "chunk_id").withColumnRenamed("chunk_id", "vec_id").withColumn("position", F.col("rank"))
 
 
 def layered(s, d):
@@ -118,9 +120,17 @@ def incremental(s, d):
     return S.vocabulary(freq, corpus).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def neighbours(s, d):
+    """Chunks with the name of their document and the texts of the chunks before and after."""
+    w = W.partitionBy("doc_id").orderBy("chunk_index")
+    return chunks(s, d).select("chunk_id", F.col("doc_id").cast("string").alias("name"), "content", F.lag("content").over(w).alias("before"), F.lead("content").over(w).alias("after"))
+
+
 def recall(s, d):
+    """Exact search against search over components cut to steps of 1/16 (a scalar-quantised index)."""
     exact = D.search(vecs(s, d), vec_queries(s, d), 10).select("query_id", "vec_id")
-    approx = D.search(vecs(s, d).filter("label < 8"), vec_queries(s, d), 10).select("query_id", "vec_id")
+    coarse = vecs(s, d).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x.cast("double") * 16) / 16))
+    approx = D.search(coarse, vec_queries(s, d), 10).select("query_id", "vec_id")
     hit = exact.join(approx, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return vec_queries(s, d).select("query_id").join(hit, "query_id", "left").select("query_id", F.round(F.coalesce("n", F.lit(0)) / 10.0, 6).alias("recall"))
 
@@ -190,8 +200,11 @@ QUERIES = {
     "near_dedup_pairs": lambda s, d: R.near_pairs(text_cands(s, d)),
     "near_dedup_jaccard": lambda s, d: R.near_dedup(text_cands(s, d)).select("query_id", "vec_id"),
     "rerank": reranked,
-    "rerank_text": lambda s, d: R.rerank_text(chunks(s, d).filter("chunk_index < 3").select("chunk_id", F.col("doc_id").cast("string").alias("name"), F.substring("content", 1, 90).alias("content"), F.lit("b").alias("before"), F.lit(None).cast("string").alias("after"))).select("chunk_id", "rerank_text"),
-    "single_topic": lambda s, d: questions(s, d).select("query_id", R.single_topic(F.substring("query", 1, 45)).alias("single")),
+    "rerank_text": lambda s, d: R.rerank_text(neighbours(s, d)).select("chunk_id", "rerank_text"),
+    "single_topic": lambda s, d: questions(s, d).select("query_id", R.single_topic(F.col("query")).alias("single")),
+    "final_topk": lambda s, d: R.final_topk(R.diversity(R.threshold(R.quota(found(s, d), "label"))), 5).select("query_id", "vec_id", "score", "place"),
+    "format_results": lambda s, d: R.format_results(text_cands(s, d).withColumn("score", F.round(F.col("score") / 100, 6))).select("query_id", "vec_id", "summary", "percent"),
+    "extract_sources": lambda s, d: R.extract_sources(text_cands(s, d).filter("rank <= 5")),
     "estimate_tokens": lambda s, d: documents(s, d).select("doc_id", F.floor(F.length("text") / 4).alias("tokens")),
     "check_context_length": lambda s, d: documents(s, d).select("doc_id", (F.floor(F.length("text") / 4) > 0.9 * 4096).alias("over"), (F.floor(F.length("text") / 4) > 0.8 * 4096).alias("near")),
     "pack_context": packed,
@@ -227,9 +240,9 @@ TC = f"{BM}, tc AS (SELECT query_id, st.chunk_id AS vec_id, doc_id, text, score,
 VP = "p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS e, b.embedding::DOUBLE[] AS o FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 
 
-def searched(k: int, score: str = "(list_cosine_similarity(q, e) + 1) / 2", by: str = "", extra: str = "", query: str = "embedding::DOUBLE[]") -> str:
+def searched(k: int, score: str = "(list_cosine_similarity(q, e) + 1) / 2", by: str = "", query: str = "embedding::DOUBLE[]", candidate: str = "embedding::DOUBLE[]") -> str:
     return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id{by} ORDER BY score DESC, vec_id) AS rank FROM (
-  SELECT query_id, vec_id, label::BIGINT AS label, round({score}, 6) AS score FROM (SELECT vec_id AS query_id, {query} AS q FROM embeddings WHERE vec_id % 50 = 0), (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings{extra}))) WHERE rank <= {k}"""
+  SELECT query_id, vec_id, label::BIGINT AS label, round({score}, 6) AS score FROM (SELECT vec_id AS query_id, {query} AS q FROM embeddings WHERE vec_id % 50 = 0), (SELECT vec_id, label, {candidate} AS e FROM embeddings))) WHERE rank <= {k}"""
 
 
 FOUND = f"found AS (SELECT query_id, vec_id, score, vec_id % 37 AS doc_id, label FROM ({searched(40)}))"
@@ -268,7 +281,7 @@ ORACLE = {
     "multi_collection_merge_score": f"WITH {PER} SELECT query_id, label AS collection, vec_id, score, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS merged_rank FROM per) WHERE merged_rank <= 10",
     "multi_collection_round_robin": f"WITH {PER} SELECT query_id, label AS collection, vec_id, score, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, label) AS merged_rank FROM per) WHERE merged_rank <= 10",
     "list_collections": "SELECT 'c' || label AS collection, count(*) AS vectors, count(DISTINCT vec_id % 37) AS documents, bool_or(vec_id % 2 = 0) AS has_sparse, min(len(embedding))::BIGINT AS dim, max(vec_id) AS created FROM embeddings GROUP BY label",
-    "recall_at_k": f"WITH e AS ({searched(10)}), a AS ({searched(10, extra=' WHERE label < 8')}) SELECT q.vec_id AS query_id, round(count(a.vec_id) / 10.0::DOUBLE, 6) AS recall FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id LEFT JOIN a ON a.query_id = e.query_id AND a.vec_id = e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1",
+    "recall_at_k": f"WITH e AS ({searched(10)}), a AS ({searched(10, candidate='list_transform(embedding, lambda x: floor(x::DOUBLE * 16) / 16)::DOUBLE[]')}) SELECT q.vec_id AS query_id, round(count(a.vec_id) / 10.0::DOUBLE, 6) AS recall FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id LEFT JOIN a ON a.query_id = e.query_id AND a.vec_id = e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1",
     "rrf_fuse": f"WITH {RRF} SELECT query_id, chunk_id, rrf_score, rank FROM fused WHERE rank <= 20",
     "hybrid_search": f"WITH {RRF} SELECT query_id, chunk_id, rrf_score, rank FROM fused WHERE rank <= 10",
     "search_simple": f"WITH {RRF} SELECT query_id, chunk_id, rank, substring(text, 1, 200) AS summary, format('{{:.2f}}', rrf_score * 100) || '%' AS percent FROM fused JOIN texts USING (chunk_id) WHERE rank <= 10",
@@ -280,13 +293,24 @@ ORACLE = {
 t AS ({thresholded('q')}), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final_rank) AS k FROM t) WHERE k <= 2)
 SELECT query_id, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS place FROM v) WHERE place <= 10""",
     "exact_dedup_cross_doc": f"WITH {TC}, h AS (SELECT *, CASE WHEN {strip_sql('text')} <> '' THEN sha256({strip_sql('text')}) END AS h FROM tc), w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY query_id, h ORDER BY score DESC, rank) AS won FROM h) SELECT query_id, vec_id, doc_id, score FROM w WHERE h IS NULL OR won = doc_id",
-    "near_dedup_pairs": f"""WITH {TC}, g AS (SELECT query_id, vec_id, doc_id, CASE WHEN length(text) >= 3 THEN list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i, 3))) ELSE [] END AS g FROM tc)
+    "near_dedup_pairs": f"""WITH {TC}, g AS (SELECT query_id, vec_id, doc_id, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) WHEN t <> '' THEN [t] ELSE [] END AS g FROM (SELECT *, {strip_sql('text')} AS t FROM tc))
 SELECT * FROM (SELECT a.query_id, a.vec_id AS a, b.vec_id AS b, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) AS jaccard FROM g a JOIN g b ON a.query_id = b.query_id AND a.vec_id < b.vec_id AND a.doc_id <> b.doc_id) WHERE jaccard >= 0.5""",
     "rerank": f"""WITH {TC}, x AS (SELECT tc.query_id, vec_id, doc_id, list_distinct({tokens_sql('b.text')}) AS q, {tokens_sql('tc.text')} AS t FROM tc JOIN benchmark b ON b.item_id = tc.query_id),
 y AS (SELECT query_id, vec_id, doc_id, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, t)) / len(q), 6) END AS score FROM x)
 SELECT query_id, vec_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM y) WHERE rank <= 10""",
-    "rerank_text": f"WITH {CHUNKS} SELECT chunk_id, concat_ws(chr(10), '[文档: ' || doc_id || ']', CASE WHEN length(substring(content, 1, 90)) < 100 THEN '[上文: b]' END, substring(content, 1, 90)) AS rerank_text FROM chunks WHERE chunk_index < 3",
-    "single_topic": r"""SELECT query_id, length(q) <= 40 AND NOT regexp_matches(q, '对比|比较|区别|差异|不同|异同|优劣|哪个好|还是|vs|VS|versus|compare|difference') AND NOT regexp_matches(q, '.+和.+的|.+与.+的|.+以及.+|.+及.+的') AS single FROM (SELECT item_id AS query_id, regexp_replace(substring(text, 1, 45), '[ \t\n\r\f\x0B]', '', 'g') AS q FROM benchmark)""",
+    "rerank_text": f"WITH {CHUNKS}, n AS (SELECT *, lag(content) OVER w AS b, lead(content) OVER w AS a FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)) SELECT chunk_id, concat_ws(chr(10), '[文档: ' || doc_id || ']', CASE WHEN length(content) < 100 AND length(b) > 0 THEN '[上文: ' || b || ']' END, content, CASE WHEN length(content) < 100 AND length(a) > 0 THEN '[下文: ' || a || ']' END) AS rerank_text FROM n",
+    "final_topk": f"""WITH {FOUND}, q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM found) WHERE r <= 10),
+t AS ({thresholded('q')}), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final_rank) AS k FROM t) WHERE k <= 2)
+SELECT query_id, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM v) WHERE place <= 5""",
+    "format_results": f"WITH {TC} SELECT query_id, vec_id, CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END AS summary, format('{{:.1f}}', least(1.0, greatest(0.0, round(score / 100, 6))) * 100) || '%' AS percent FROM tc",
+    "extract_sources": f"WITH {TC} SELECT query_id, doc_id, min(rank) AS first_rank, count(*) AS chunks, max(score) AS best_score FROM tc WHERE rank <= 5 GROUP BY query_id, doc_id",
+    "near_dedup_jaccard": f"""WITH RECURSIVE {TC}, g AS (SELECT query_id, vec_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place, CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) WHEN t <> '' THEN [t] ELSE [] END AS g FROM (SELECT *, {strip_sql('text')} AS t FROM tc)),
+near AS (SELECT a.query_id, a.place, list(b.place) AS near FROM g a JOIN g b ON a.query_id = b.query_id AND b.place < a.place AND a.doc_id <> b.doc_id AND round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))), 6) >= 0.5 GROUP BY ALL),
+o AS (SELECT g.query_id, g.place, vec_id, coalesce(near, []) AS near FROM g LEFT JOIN near USING (query_id, place)),
+walk AS (SELECT query_id, 1::BIGINT AS place, [1::BIGINT] AS kept FROM o WHERE place = 1 UNION ALL SELECT w.query_id, o.place, CASE WHEN list_has_any(w.kept, o.near) THEN w.kept ELSE list_append(w.kept, o.place) END FROM walk w JOIN o ON o.query_id = w.query_id AND o.place = w.place + 1),
+last AS (SELECT query_id, arg_max(kept, place) AS kept FROM walk GROUP BY 1)
+SELECT o.query_id, vec_id FROM o JOIN last USING (query_id) WHERE list_contains(kept, place)""",
+    "single_topic": r"""SELECT query_id, length(q) <= 40 AND NOT regexp_matches(q, '对比|比较|区别|差异|不同|异同|优劣|哪个好|还是|vs|VS|versus|compare|difference') AND NOT regexp_matches(q, '.+和.+的|.+与.+的|.+以及.+|.+及.+的') AS single FROM (SELECT item_id AS query_id, regexp_replace(text, '[ \t\n\r\f\x0B]', '', 'g') AS q FROM benchmark)""",
     "estimate_tokens": "SELECT doc_id, (length(text) // 4)::BIGINT AS tokens FROM documents",
     "check_context_length": "SELECT doc_id, length(text) // 4 > 0.9 * 4096 AS over, length(text) // 4 > 0.8 * 4096 AS near FROM documents",
     "pack_context": f"WITH {TC}, x AS (SELECT tc.query_id, rank, vec_id, floor((2000 - 500 - length(b.text) // 4 - 400) * 0.9) AS budget, (length(tc.text) // 4) AS tokens FROM tc JOIN benchmark b ON b.item_id = tc.query_id), y AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used_tokens FROM x) SELECT query_id, rank, vec_id, used_tokens FROM y WHERE used_tokens <= budget",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import chunking as C
 from siltstone.operators import headings as H
+from siltstone.operators import hybrid as Y
 from siltstone.plans.analysis_queries import MD, markdown
 from siltstone.plans.common import spread, strip_sql, table
 from siltstone.sources import files, html
@@ -30,8 +31,36 @@ def xml_text(s, d):
 
 
 def csv_rows(s, d):
-    n = table(s, d, "nation")
-    return n.select("n_nationkey", files.rendered(n, ["n_nationkey", "n_name", "n_regionkey"]).alias("text"))
+    """Orders as CSV lines, parsed again and rendered."""
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    lines = table(s, d, "orders").select(F.col("o_orderkey").alias("line_key"), F.to_csv(F.struct(*cols)).alias("line"))
+    rows = lines.select("line_key", F.from_csv("line", ", ".join(f"{c} string" for c in cols)).alias("r")).select("line_key", "r.*")
+    return rows.select("line_key", files.rendered(rows, cols).alias("text"))
+
+
+def order_pages(s, d):
+    """A page for each customer: a picture, and a table of the orders (one customer's orders are few)."""
+    row = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td></tr>"))
+    rows = table(s, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("l"))
+    head = F.concat(F.lit('<p>Orders.</p><figure><img src="c'), F.col("page_id").cast("string"), F.lit('.png" alt="Customer"><figcaption>Portrait</figcaption></figure><table><caption>Orders</caption><tr><th>key</th><th>status</th></tr>'))
+    return rows.select("page_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["r"]), ""), F.lit("</table><p>End.</p>")).alias("html"))
+
+
+def order_tables(s, d):
+    x = html.html_tables(order_pages(s, d))
+    return x.select("page_id", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"), "caption")
+
+
+def order_markdown(s, d):
+    """The same tables as Markdown text between two lines."""
+    line = F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), F.col("o_orderstatus"), F.lit(" |"))
+    rows = table(s, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("r")))).alias("l"))
+    return rows.select("page_id", F.concat(F.lit("# Orders\n\nAll of them.\n\n| key | status |\n| --- | --- |\n"), F.array_join(F.transform("l", lambda x: x["r"]), "\n"), F.lit("\n\nEnd.")).alias("text"))
+
+
+def markdown_tables(s, d):
+    x = Y.extract_elements(order_markdown(s, d), "table", keep=("page_id",))
+    return x.select("page_id", "chunk_index", "content", "start", "end", "section_title", "context_before", "context_after", "row_count", "column_count", F.array_join("headers", "|").alias("headers"))
 
 
 def tree(s, d):
@@ -52,8 +81,13 @@ QUERIES = {
     "load_with_fallback": loads,
     "extraction_quality": lambda s, d: table(s, d, "documents").select("doc_id", files.extraction_quality(F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("fast"), F.col("text").contains("|"), F.col("doc_id") % 2 == 0, F.length("text") < 50).alias("quality")),
     "detect_headings": lambda s, d: H.heading_rows(markdown(s, d)),
-    "chunk_heading": lambda s, d: H.sections(markdown(s, d)),
-    "chunk_heading_or_paragraph": lambda s, d: H.sections_or_paragraphs(markdown(s, d)),
+    "heading_sections": lambda s, d: H.sections(markdown(s, d)),
+    "merge_short_sections": lambda s, d: H.merge_short_sections(H.sections(markdown(s, d))),
+    "chunk_hybrid": lambda s, d: Y.chunk_hybrid(md(s, d), keep=("page_id",)),
+    "extract_tables_md": markdown_tables,
+    "html_tables": order_tables,
+    "html_images": lambda s, d: html.html_images(order_pages(s, d)),
+    "chunk_heading": lambda s, d: H.sections_or_paragraphs(markdown(s, d)),
     "heading_path": lambda s, d: H.heading_paths(H.heading_rows(markdown(s, d))).select("doc_id", "seq", "path"),
     "heading_tree": tree,
     "inject_heading_path": lambda s, d: H.inject_paths(C.chunk_character(markdown(s, d)), H.heading_rows(markdown(s, d))),
@@ -67,9 +101,28 @@ up AS (SELECT a.doc_id, a.seq, b.seq AS anc, b.level AS alv, b.title AS atitle F
   WHERE NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.seq > b.seq AND c.seq <= a.seq AND c.level <= b.level AND b.seq <> a.seq)),
 hp AS (SELECT doc_id, seq, string_agg(atitle, ' > ' ORDER BY alv) AS path FROM up GROUP BY ALL)"""
 
+SQL_SECTION = "STRUCT(level BIGINT, title VARCHAR, path VARCHAR, start BIGINT, content VARCHAR, merged VARCHAR[])"
+
+
+def pure_sql(x: str) -> str:
+    return rf"coalesce(list_sum(list_transform(list_filter(list_transform(string_split({x}, chr(10)), lambda y: {strip_sql('y')}), lambda y: y <> '' AND NOT regexp_matches(y, '^#{{1,6}}[ \t\n\r\f\x0B]+')), lambda y: length(y))), 0)"
+
+
+def joined_sql(a: str, b: str) -> str:
+    return f"{{level: least({a}.level, {b}.level), title: {a}.title, path: {a}.path, start: {a}.start, content: {a}.content || chr(10) || chr(10) || {b}.content, merged: list_append({a}.merged, {b}.title)}}"
+
+
+def closed_sql(done: str, cur: str) -> str:
+    return f"CASE WHEN {pure_sql(cur + '.content')} < 100 AND len({done}) > 0 AND {cur}.level > {done}[-1].level THEN list_append({done}[1:len({done}) - 1], {joined_sql(done + '[-1]', cur)}) ELSE list_append({done}, {cur}) END"
+
+
 ORACLE = {
+    "html_tables": "SELECT o_custkey AS page_id, 'key|status' AS headers, string_agg(o_orderkey || '|' || o_orderstatus, ';' ORDER BY o_orderkey) AS rows, 'Orders' AS caption FROM orders GROUP BY 1",
+    "html_images": "SELECT DISTINCT o_custkey AS page_id, 'c' || o_custkey || '.png' AS src, 'Customer' AS alt, 'Portrait' AS caption FROM orders",
+    "extract_tables_md": """WITH t AS (SELECT o_custkey AS page_id, count(*) AS n, '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)
+SELECT page_id, 0::BIGINT AS chunk_index, content, 24::BIGINT AS start, (24 + length(content))::BIGINT AS "end", '# Orders' AS section_title, CASE WHEN true THEN '# Orders' || chr(10) || chr(10) || 'All of them.' END AS context_before, 'End.' AS context_after, n AS row_count, 2::BIGINT AS column_count, 'key|status' AS headers FROM t""",
     "html_h1": "SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]'))::BIGINT AS n FROM pages",
-    "scan_csv": "SELECT n_nationkey, 'n_nationkey: ' || n_nationkey || ' | n_name: ' || n_name || ' | n_regionkey: ' || n_regionkey AS text FROM nation",
+    "scan_csv": "SELECT o_orderkey AS line_key, 'o_orderkey: ' || o_orderkey || ' | o_custkey: ' || o_custkey || ' | o_orderstatus: ' || o_orderstatus || ' | o_orderpriority: ' || o_orderpriority AS text FROM orders",
     "scan_text": "SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS line_count FROM documents",
     "extraction_quality": "SELECT doc_id, CASE WHEN length(text) < 50 THEN 0 ELSE round(least(1, CASE doc_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.6 END + CASE WHEN contains(text, '|') THEN 0.05 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0.02 ELSE 0 END), 6) END::DOUBLE AS quality FROM documents",
     "load_with_fallback": "SELECT 'f' || doc_id AS path, loader, loader <> first AS fallback_used, loader IS NOT NULL AND length(" + strip_sql("text") + ") > 10 AS success FROM (SELECT doc_id, text, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN {repr(next((x for x in ls if x in files.AVAILABLE), None)) if any(x in files.AVAILABLE for x in ls) else 'NULL'}" for i, ls in enumerate(files.FORMATS.values())) + " END AS loader, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN '{ls[0]}'" for i, ls in enumerate(files.FORMATS.values())) + " END AS first FROM documents)",
@@ -77,8 +130,16 @@ ORACLE = {
 SELECT doc_id, i AS line_no, {strip_sql("substring(line, 1, p - 1)")} AS key, {strip_sql("substring(line, p + 1)")} AS value, sep FROM (SELECT *, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END AS sep, strpos(line, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END) AS p FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[#!]') AND regexp_matches(line, '[=:]'))""",
     "detect_headings": f"WITH {HR} SELECT doc_id, start, level, title, seq FROM h",
     "heading_path": f"WITH {HR} SELECT doc_id, seq, path FROM hp",
-    "chunk_heading": f"""WITH {HR}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(start) OVER (PARTITION BY doc_id ORDER BY seq) AS nx FROM h)
+    "heading_sections": f"""WITH {HR}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(start) OVER (PARTITION BY doc_id ORDER BY seq) AS nx FROM h)
 SELECT n.doc_id, n.seq - 1 AS chunk_index, level, title, path, start, {strip_sql('substring(text, (start + 1)::BIGINT, (coalesce(nx, length(text)) - start)::BIGINT)')} AS content FROM n JOIN md ON md.doc_id = n.doc_id JOIN hp ON hp.doc_id = n.doc_id AND hp.seq = n.seq WHERE n.n >= 2""",
+    "merge_short_sections": f"""WITH {HR}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, lead(start) OVER (PARTITION BY doc_id ORDER BY seq) AS nx FROM h),
+s AS (SELECT n.doc_id, n.seq, level, title, path, start, {strip_sql('substring(text, (start + 1)::BIGINT, (coalesce(nx, length(text)) - start)::BIGINT)')} AS content FROM n JOIN md ON md.doc_id = n.doc_id JOIN hp ON hp.doc_id = n.doc_id AND hp.seq = n.seq WHERE n.n >= 2),
+e AS (SELECT doc_id, list({{done: []::{SQL_SECTION}[], cur: {{level: level, title: title, path: path, start: start, content: content, merged: []::VARCHAR[]}}::{SQL_SECTION}}} ORDER BY seq) AS e FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, list_reduce(e, lambda a, b: CASE WHEN {pure_sql('a.cur.content')} < 100 AND b.cur.level > a.cur.level
+  THEN {{done: a.done, cur: {joined_sql('a.cur', 'b.cur')}}} ELSE {{done: {closed_sql('a.done', 'a.cur')}, cur: b.cur}} END) AS r FROM e),
+c AS (SELECT doc_id, {closed_sql('r.done', 'r.cur')} AS l FROM r),
+u AS (SELECT doc_id, unnest(l) AS c, unnest(range(0, len(l))) AS chunk_index FROM c)
+SELECT doc_id, chunk_index, c.level, c.title, c.path, c.start, c.content, array_to_string(c.merged, ' > ') AS merged_headings FROM u""",
     "heading_tree": f"WITH {HR} SELECT a.doc_id, a.seq, max(b.seq) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.seq < a.seq AND b.level < a.level GROUP BY ALL",
     "group_by_level": f"WITH {HR} SELECT level, count(*) AS n FROM h GROUP BY level",
 }
