@@ -36,7 +36,7 @@ SAMPLES, ROWS = 24, 2
 AGREE = 10
 SKETCH, BLOCKS = 1 << 20, 64
 #: Buckets up to this size give all pairs; larger ones pairs with representatives.
-SMALL, RANDOM = 8, 3
+SMALL, RANDOM = 8, 1
 #: Members of one shingle's list that one part of it holds.
 PART = 2048
 TABLE = 1 << 16
@@ -172,7 +172,7 @@ def signatures(docs: DataFrame, idf, keep: tuple[str, ...] = ("doc_id",), text:
 def buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Buckets of several nodes (bucket, n, representatives) and their members (bucket, node, n); nodes: (node, bands)."""
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    order = [F.xxhash64(F.lit(s), F.col("bucket"), F.col("node")) for s in range(RANDOM)]
+    order = [F.xxhash64(F.lit(s), F.col("node")) for s in range(RANDOM)]
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.struct(o.alias("h"), F.col("node").alias("node"))).alias(f"r{s}") for s, o in enumerate(order)]).filter("n > 1")
     sizes = staged(sizes, "neardup-buckets")
     return sizes, staged(rows.join(sizes.select("bucket", "n"), "bucket"), "neardup-members")
