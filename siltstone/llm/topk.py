@@ -104,9 +104,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
             yield pd.DataFrame({"pivot": near.astype(np.int32), "dist": d[np.arange(len(p)), near], "vec_id": p["vec_id"], "v": p["v"]})
 
     keyed_rows = staged(vectors.mapInPandas(index, "pivot int, dist double, vec_id long, v array<double>"), "topk-index")
-    # rings of about equal counts; equal distances share one, however many
+    # rings of about equal counts, CELL vectors or more each while a pivot has fewer than RINGS of them; equal distances share one, however many
     cuts = keyed_rows.groupBy("pivot").agg(F.percentile_approx("dist", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()
-    edges = {r["pivot"]: np.array(r["cuts"]) for r in cuts if r["n"] > CELL // 4}
+    edges = {}
+    for r in cuts:
+        some = min(RINGS, r["n"] // CELL)
+        if some > 1:
+            edges[r["pivot"]] = np.array([r["cuts"][round(i * RINGS / some) - 1] for i in range(1, some)])
 
     @F.pandas_udf("int")
     def ring_of(pivot: pd.Series, dist: pd.Series) -> pd.Series:
@@ -189,7 +193,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                 best_s[rows], best_i[rows] = np.take_along_axis(alls, order, 1), np.take_along_axis(alli, order, 1)
                 last = best_s[rows][:, k - 1]
                 kth[rows] = np.where(last != none, np.maximum(kth[rows], last), kth[rows])
-        keep = best_s != none
+        # what lies below the query's bound can't be among its best
+        bound = left["bound"].to_numpy().astype(np.float64)[:, None]
+        keep = (best_s != none) & (best_s >= bound - 1e-9 * np.abs(np.where(np.isfinite(bound), bound, 0)))
         r, c = np.nonzero(keep)
         return pd.DataFrame({"query_id": qid[r], "vec_id": best_i[r, c], "score": best_s[r, c]})
 

@@ -602,10 +602,9 @@ def test_topk_of_few_and_none(spark):
     v = topk.quantised(df)
     assert [tuple(r) for r in topk.exact_topk(v, v.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 2048)]
     assert topk.exact_topk(v.limit(0), v.limit(0)).count() == 0
-    huge = topk.quantised(spark.createDataFrame([(0, [1e16, 1.0]), (1, [0.0, 2.0]), (2, [1e-3, 0.5])], "vec_id long, embedding array<double>"))
-    assert [(r["vec_id"], r["score"]) for r in topk.exact_topk(huge, huge.filter("vec_id = 0")).orderBy("rank").collect()] == [(2, int(1e16) * 1024 + 512 * 1024), (1, 2048 * 1024)] if int(1e16) * 1024 + 512 * 1024 < 2**63 else True
+    huge = topk.quantised(spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e9, 2.0]), (2, [1e-3, 0.5])], "vec_id long, embedding array<double>"))
     with pytest.raises(Exception, match="does not fit"):
-        topk.exact_topk(huge, huge.filter("vec_id = 0")).union(topk.exact_topk(*[topk.quantised(spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e9, 2.0])], "vec_id long, embedding array<double>"))] * 2)).collect()
+        topk.exact_topk(huge, huge).collect()
 
 
 def test_topk_of_many_rings_and_parts(spark, monkeypatch):
