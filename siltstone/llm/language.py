@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import held_out, set_aside, share_of
+from siltstone.llm.common import held_out, set_aside, share_of, small_batches
 from siltstone.llm.textvec import code_points, mix
 
 #: Buckets of n-gram hashes; characters in an n-gram; training texts of a language (expected: drawn by a hash at a fixed rate);
@@ -140,6 +140,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     One row for each row, repeated ones included. Columns of `docs` that have a result's name go on as name_own. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     out = "lang_pred string, score double, ambiguous boolean, second_lang string, loss double"
 

@@ -386,10 +386,9 @@ def representatives(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id",
     def key(x: pd.Series) -> pd.Series:
         return pd.Series([node_key(t) for t in x], dtype="object")
 
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"), key(text).alias("_node"))
-    rows = rows.withColumn("_key", named(F.col("_row")[id_col], F.col("_node")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(text).alias("_tie"), named(F.col(id_col), key(text)).alias("_key"))
     # repeated rows become one where they are read, so a hot one sends one row a task
-    each = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by("_row", F.xxhash64("_text")).alias("_row"))
+    each = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min_by("_row", "_tie").alias("_row"))
     return each.join(kept, "_key", "left_semi").select("_row.*").unionByName(rows.filter(F.col("_key").isNull()).select("_row.*"))
 
 

@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import numbered, staged
+from siltstone.llm.common import numbered, small_batches, staged
 
 CAPACITY = 2048
 #: Words that a worker remembers before it forgets the older half.
-WORDS = 500_000
+WORDS = 400_000
 
 
 class WordEncoder:
@@ -114,8 +114,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for p in parts:
-            for at in range(0, len(p), 512):
-                q = p.iloc[at : at + 512]
+            for at in range(0, len(p), 256):
+                q = p.iloc[at : at + 256]
                 rows = []
                 for i, ids in zip(q[id_col], enc.encode_many([x or "" for x in q[text]]), strict=True):
                     ids += b"\0\0\0\0"
@@ -241,6 +241,7 @@ def packed(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Dat
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+    small_batches(docs.sparkSession)
     pieces = staged(token_pieces(docs, path, capacity), "packing-pieces")
     return packed(pieces, ["doc_id", "piece", "ids_crc32", "start"], capacity)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_ids, held_out, set_aside
+from siltstone.llm.common import bounded_ids, held_out, set_aside, small_batches
 from siltstone.llm.textvec import code_points, word_hashes
 
 #: Code points of a passage; labelled documents to learn from, at most; hidden and attention units; training rounds.
@@ -163,6 +163,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
     One row for each row, repeated ones included; null and empty texts are one passage of zeros and get its score. Columns of `docs` named like a
     result go on as name_own. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
