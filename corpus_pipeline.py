@@ -7,7 +7,7 @@ Null ids, null and empty texts and repeated rows are rows like others; what each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import language, neardup, packing, quality, secrets
@@ -15,8 +15,13 @@ from siltstone.llm.common import discard, held_out, staged, workdir
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """Columns _row (the whole row), doc_id and text."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+    """Columns _row (the row but its text), doc_id and text."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """Columns of `docs` from rows of `carried`; `new` replaces some."""
+    return rows.select(*[new.get(c, F.col("text") if c == "text" else F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     out_of = held_out(F.col("doc_id"))
     model = quality.train(docs.filter(~out_of).select("doc_id", "text"), labels.filter(~out_of))
-    return quality.classify(carried(docs), model).filter("predicted = 1").select("_row.*")
+    return unpacked(quality.classify(carried(docs), model).filter("predicted = 1"), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if not model.languages:
         return docs
     told = (F.col("lang_pred") != language.UNKNOWN) & (F.col("loss") <= language.CHANCE)
-    return language.identify(carried(docs), model).filter(told).select("_row.*")
+    return unpacked(language.identify(carried(docs), model).filter(told), docs)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +52,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, with every found secret replaced by its kind in square brackets (of overlapping spans the earlier and longer), and n_chars counted
     anew. Null texts stay null; repeated rows each stay."""
     found = secrets.scan_history(carried(docs).drop("doc_id"), secrets.Ledger(spark, workdir(spark, "pipeline-ledger")), keep_text=True)
-    out = secrets.redacted(found)
-    new = {"text": F.col("text"), "n_chars": F.length("text")}
-    return out.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col("_row")[c]).alias(c) for c in docs.columns])
+    return unpacked(secrets.redacted(found), docs, n_chars=F.length("text"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
