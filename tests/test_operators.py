@@ -132,7 +132,11 @@ def test_heading_sections(spark):
 
 def test_texts_with_fewer_than_two_headings_go_to_the_paragraph_chunker(spark):
     df = spark.createDataFrame([(1, "# A\nx\n## B\ny"), (2, "# only\none"), (3, "plain"), (4, None)], "doc_id long, text string")
-    got = headings.sections_or_paragraphs(df).orderBy("doc_id", "chunk_index").collect()
+    joined = headings.sections_or_paragraphs(df).orderBy("doc_id", "chunk_index").collect()
+    assert [(r["title"], r["content"], r["merged_headings"]) for r in joined if r["doc_id"] == 1] == [("A", "# A\nx\n\n## B\ny", "B")]
+    html = spark.createDataFrame([(1, "a <h2>One</h2> b <H3> Two </H3>\n# Three")], "doc_id long, text string")
+    assert [(r["start"], r["level"], r["title"]) for r in headings.heading_rows(html).orderBy("seq").collect()] == [(2, 2, "One"), (17, 3, "Two"), (32, 1, "Three")]
+    got = headings.sections_or_paragraphs(df, least=0).orderBy("doc_id", "chunk_index").collect()
     assert [(r["doc_id"], r["title"], r["content"], r["fallback"]) for r in got] == [(1, "A", "# A\nx", False), (1, "B", "## B\ny", False), (2, None, "# only\none", True), (3, None, "plain", True)]
 
 
@@ -214,3 +218,21 @@ def test_streaming_upsert(spark, tmp_path):
         ingest.upsert(ingest.chunk_stream(spark, src), out, mark).awaitTermination()
     got = [(r["chunk_id"], r["content"]) for r in spark.read.parquet(out).orderBy("batch", "chunk_id").collect()]
     assert got == [("1-0", "one text"), ("2-0", "two"), ("2-0", "two changed")]
+
+
+def test_merged_sentences_flush_before_the_sentence_that_reaches_the_least():
+    from siltstone.operators import chunking
+
+    text = ". ".join(c * 200 for c in "abc") + "."
+    assert [(len(c), a, b) for c, a, b, _ in chunking.merged_sentences(text)] == [(200, 0, 200), (200, 202, 402), (200, 404, 605)]
+
+
+def test_hybrid_elements():
+    from siltstone.operators import hybrid
+
+    text = "# T\n\nBefore it.\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n```py\nx = 1\ny = 2\nz = 3\n```\n\n![alt](u.png) after"
+    got = hybrid.hybrid_chunks(text, "paragraph")
+    assert [c["kind"] for c in got] == ["text", "table", "code", "image", "text"]
+    assert (got[1]["rows"], got[1]["columns"], got[1]["headers"], got[1]["section_title"]) == (1, 2, ["a", "b"], "# T")
+    assert (got[2]["language"], got[2]["content"]) == ("py", "x = 1\ny = 2\nz = 3")
+    assert all(text[c["start"] : c["end"]].strip() for c in got) and hybrid.hybrid_chunks("") == []
