@@ -88,6 +88,7 @@ QUERIES = {
     "html_tables": order_tables,
     "html_images": lambda s, d: html.html_images(order_pages(s, d)),
     "chunk_heading": lambda s, d: H.sections_or_paragraphs(markdown(s, d)),
+    "chunk_heading_or_paragraph": lambda s, d: H.sections_or_paragraphs(markdown(s, d), least=0),
     "heading_path": lambda s, d: H.heading_paths(H.heading_rows(markdown(s, d))).select("doc_id", "seq", "path"),
     "heading_tree": tree,
     "inject_heading_path": lambda s, d: H.inject_paths(C.chunk_character(markdown(s, d)), H.heading_rows(markdown(s, d))),
