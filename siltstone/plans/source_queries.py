@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunking as C
@@ -9,7 +10,7 @@ from siltstone.operators import headings as H
 from siltstone.operators import hybrid as Y
 from siltstone.plans.analysis_queries import MD, markdown
 from siltstone.plans.common import spread, strip_sql, table
-from siltstone.sources import files, html
+from siltstone.sources import files, html, office
 
 
 def pages(s, d):
@@ -63,6 +64,47 @@ def markdown_tables(s, d):
     return x.select("page_id", "chunk_index", "content", "start", "end", "section_title", "context_before", "context_after", "row_count", "column_count", F.array_join("headers", "|").alias("headers"))
 
 
+RELATIONS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="{}"/></Relationships>'
+OFFICE = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def workbook_parts(rows: str) -> dict[str, str]:
+    return {"xl/workbook.xml": f'<workbook {OFFICE}><sheets><sheet name="orders" r:id="r1"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": RELATIONS.format("worksheets/one.xml"), "xl/worksheets/one.xml": f"<worksheet><sheetData>{rows}</sheetData></worksheet>"}
+
+
+def document_parts(rows: str) -> dict[str, str]:
+    return {"word/document.xml": f"<document><body><p><r><t>Orders.</t></r></p><tbl>{rows}</tbl><p/></body></document>"}
+
+
+def presentation_parts(rows: str) -> dict[str, str]:
+    return {"ppt/presentation.xml": f'<presentation {OFFICE}><sldIdLst><sldId r:id="r1"/></sldIdLst></presentation>', "ppt/_rels/presentation.xml.rels": RELATIONS.format("slides/one.xml"), "ppt/slides/one.xml": f"<sld><cSld><spTree><sp><txBody>{rows}</txBody></sp></spTree></cSld></sld>"}
+
+
+def order_files(s, d, head, row, parts):
+    """An Office file of the orders of each customer (one customer's orders are few)."""
+    rows = table(s, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("l"))
+
+    @F.pandas_udf("binary")
+    def packed(x: pd.Series) -> pd.Series:
+        return x.map(lambda body: office.zipped(parts(body)))
+
+    return rows.select("page_id", packed(F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["r"]), ""))).alias("content"))
+
+
+def xml_row(before, between, after):
+    return F.concat(F.lit(before), F.col("o_orderkey").cast("string"), F.lit(between), F.col("o_orderstatus"), F.lit(after))
+
+
+def read_orders(s, d, fmt):
+    head, row, parts = {
+        "xlsx": ('<row><c t="inlineStr"><is><t>key</t></is></c><c t="inlineStr"><is><t>status</t></is></c></row>', xml_row("<row><c><v>", '</v></c><c t="str"><v>', "</v></c></row>"), workbook_parts),
+        "docx": ("<tr><tc><p><r><t>key</t></r></p></tc><tc><p><r><t>status</t></r></p></tc></tr>", xml_row("<tr><tc><p><r><t>", "</t></r></p></tc><tc><p><r><t>", "</t></r></p></tc></tr>"), document_parts),
+        "pptx": ("<p><r><t>Orders.</t></r></p>", xml_row("<p><r><t>", " </t></r><r><t>", "</t></r></p>"), presentation_parts),
+    }[fmt]
+    out = office.read_office(order_files(s, d, head, row, parts), fmt, path="page_id")
+    return out.select(F.col("path").cast("long").alias("page_id"), "kind", F.col("page_number").cast("long").alias("page_number"), "title", "text", F.array_join("headers", "|").alias("headers"), F.size("rows").cast("long").alias("n_rows"))
+
+
 def tree(s, d):
     return H.heading_parents(H.heading_rows(markdown(s, d)))
 
@@ -77,6 +119,9 @@ QUERIES = {
     "scan_json_props": lambda s, d: files.scan_json_flatten(table(s, d, "events"), "props", ["event_id"]),
     "scan_text": lambda s, d: table(s, d, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("line_count")),
     "scan_xml": xml_text,
+    "scan_docx": lambda s, d: read_orders(s, d, "docx"),
+    "scan_xlsx": lambda s, d: read_orders(s, d, "xlsx"),
+    "scan_pptx": lambda s, d: read_orders(s, d, "pptx"),
     "scan_properties": lambda s, d: files.scan_properties(table(s, d, "documents").filter("text LIKE '%=%' OR text LIKE '%:%'").select("doc_id", "text"), "text", ["doc_id"]),
     "load_with_fallback": loads,
     "extraction_quality": lambda s, d: table(s, d, "documents").select("doc_id", files.extraction_quality(F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("fast"), F.col("text").contains("|"), F.col("doc_id") % 2 == 0, F.length("text") < 50).alias("quality")),
@@ -117,7 +162,17 @@ def closed_sql(done: str, cur: str) -> str:
     return f"CASE WHEN {pure_sql(cur + '.content')} < 100 AND len({done}) > 0 AND {cur}.level > {done}[-1].level THEN list_append({done}[1:len({done}) - 1], {joined_sql(done + '[-1]', cur)}) ELSE list_append({done}, {cur}) END"
 
 
+def office_sql(text: str, page: str, title: str, table: bool) -> str:
+    """SQL of `read_orders`: page, document and table rows from an aggregate `text` of one customer's orders."""
+    return f"""WITH t AS (SELECT o_custkey AS page_id, count(*) AS n, {text} AS text FROM orders GROUP BY 1)
+SELECT page_id, 'page' AS kind, 1::BIGINT AS page_number, {title} AS title, {page} AS text, NULL AS headers, NULL::BIGINT AS n_rows FROM t
+UNION ALL SELECT page_id, 'document', NULL, NULL, text, NULL, NULL FROM t""" + (f" UNION ALL SELECT page_id, 'table', 1, {title}, NULL, 'key|status', n FROM t" if table else "")
+
+
 ORACLE = {
+    "scan_docx": office_sql("'Orders.' || chr(10) || chr(10) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)", "text", "NULL", True),
+    "scan_xlsx": office_sql("'Sheet: orders' || chr(10) || 'key' || chr(9) || 'status' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(10), '' ORDER BY o_orderkey)", "text", "'orders'", True),
+    "scan_pptx": office_sql("'Slide 1:' || chr(10) || 'Orders.' || chr(10) || string_agg(o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey)", "substring(text, 10)", "NULL", False),
     "html_tables": "SELECT o_custkey AS page_id, 'key|status' AS headers, string_agg(o_orderkey || '|' || o_orderstatus, ';' ORDER BY o_orderkey) AS rows, 'Orders' AS caption FROM orders GROUP BY 1",
     "html_images": "SELECT DISTINCT o_custkey AS page_id, 'c' || o_custkey || '.png' AS src, 'Customer' AS alt, 'Portrait' AS caption FROM orders",
     "extract_tables_md": """WITH t AS (SELECT o_custkey AS page_id, count(*) AS n, '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)
@@ -126,7 +181,7 @@ SELECT page_id, 0::BIGINT AS chunk_index, content, 24::BIGINT AS start, (24 + le
     "scan_csv": "SELECT o_orderkey AS line_key, 'o_orderkey: ' || o_orderkey || ' | o_custkey: ' || o_custkey || ' | o_orderstatus: ' || o_orderstatus || ' | o_orderpriority: ' || o_orderpriority AS text FROM orders",
     "scan_text": "SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS line_count FROM documents",
     "extraction_quality": "SELECT doc_id, CASE WHEN length(text) < 50 THEN 0 ELSE round(least(1, CASE doc_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.6 END + CASE WHEN contains(text, '|') THEN 0.05 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0.02 ELSE 0 END), 6) END::DOUBLE AS quality FROM documents",
-    "load_with_fallback": "SELECT 'f' || doc_id AS path, loader, loader <> first AS fallback_used, loader IS NOT NULL AND length(" + strip_sql("text") + ") > 10 AS success FROM (SELECT doc_id, text, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN {repr(next((x for x in ls if x in files.AVAILABLE), None)) if any(x in files.AVAILABLE for x in ls) else 'NULL'}" for i, ls in enumerate(files.FORMATS.values())) + " END AS loader, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN '{ls[0]}'" for i, ls in enumerate(files.FORMATS.values())) + " END AS first FROM documents)",
+    "load_with_fallback": "SELECT 'f' || doc_id AS path, loader, loader <> first AS fallback_used, loader IS NOT NULL AND length(" + strip_sql("text") + ") > 10 AS success FROM (SELECT doc_id, text, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN {repr(next((x for x in ls if files.runs(f, x)), None)) if any(files.runs(f, x) for x in ls) else 'NULL'}" for i, (f, ls) in enumerate(files.FORMATS.items())) + " END AS loader, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN '{ls[0]}'" for i, ls in enumerate(files.FORMATS.values())) + " END AS first FROM documents)",
     "scan_properties": rf"""WITH l AS (SELECT doc_id, i, {strip_sql('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE contains(text, '=') OR contains(text, ':')))
 SELECT doc_id, i AS line_no, {strip_sql("substring(line, 1, p - 1)")} AS key, {strip_sql("substring(line, p + 1)")} AS value, sep FROM (SELECT *, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END AS sep, strpos(line, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END) AS p FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[#!]') AND regexp_matches(line, '[=:]'))""",
     "detect_headings": f"WITH {HR} SELECT doc_id, start, level, title, seq FROM h",

@@ -33,12 +33,17 @@ FORMATS = {
     "doc": ["doc", "unstructured"],
 }
 #: Loaders that run here; the others need libraries or services that are not installed.
-AVAILABLE = ("csv", "json", "text", "xml", "html", "properties")
+AVAILABLE = ("csv", "json", "text", "xml", "html", "properties", "docx", "xlsx", "pptx")
+
+
+def runs(fmt: str, loader: str) -> bool:
+    """Whether a loader takes a format here: old binary workbooks need a library."""
+    return loader in AVAILABLE and fmt != "xls"
 
 
 def loader_registry(spark: SparkSession) -> DataFrame:
     """(format, turn, loader, available), one row a choice."""
-    rows = [(f, i, x, x in AVAILABLE) for f, ls in FORMATS.items() for i, x in enumerate(ls)]
+    rows = [(f, i, x, runs(f, x)) for f, ls in FORMATS.items() for i, x in enumerate(ls)]
     return spark.createDataFrame(rows, "format string, turn long, loader string, available boolean")
 
 
@@ -46,7 +51,7 @@ def first_available(fmt: Column) -> Column:
     """The first loader of a format that runs here; null where there is none."""
     out = F.lit(None).cast("string")
     for f, ls in FORMATS.items():
-        use = next((x for x in ls if x in AVAILABLE), None)
+        use = next((x for x in ls if runs(f, x)), None)
         out = F.when(F.lower(fmt) == f, F.lit(use)).otherwise(out)
     return out
 

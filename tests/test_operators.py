@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import analysis, chunking, dense, headings, metadata, retrieval, sparse
-from siltstone.sources import files, html
+from siltstone.sources import files, html, office
 
 
 @pytest.mark.parametrize(("n", "spans"), [(500, [(0, 500)]), (501, [(0, 500), (450, 501)]), (950, [(0, 500), (450, 950)]), (1200, [(0, 500), (450, 950), (900, 1200)]), (0, [])])
@@ -236,3 +236,30 @@ def test_hybrid_elements():
     assert (got[1]["rows"], got[1]["columns"], got[1]["headers"], got[1]["section_title"]) == (1, 2, ["a", "b"], "# T")
     assert (got[2]["language"], got[2]["content"]) == ("py", "x = 1\ny = 2\nz = 3")
     assert all(text[c["start"] : c["end"]].strip() for c in got) and hybrid.hybrid_chunks("") == []
+
+
+def test_office_files_with_merged_cells_pictures_and_damage(spark):
+    w = "<document><body><p><r><t>One</t><tab/><t>two</t><br/><t>x</t></r><hyperlink><r><t> link</t></r></hyperlink></p><p><r><drawing><docPr descr='A cat'/><blip/></drawing></r></p><p/>"
+    w += "<tbl><tr><tc><tcPr><gridSpan val='2'/></tcPr><p><r><t>H</t></r></p></tc></tr><tr><tc><tcPr><vMerge val='restart'/></tcPr><p><r><t>a</t></r></p></tc><tc><p/></tc></tr><tr><tc><tcPr><vMerge/></tcPr><p/></tc></tr></tbl></body></document>"
+    bomb = "<!DOCTYPE d [<!ENTITY a 'b'>]><document><body/></document>"
+    files_ = [("good", office.zipped({"word/document.xml": w})), ("bomb", office.zipped({"word/document.xml": bomb})), ("none", None), ("empty", b""), ("other", office.zipped({"x": "y"}))]
+    got = office.read_office(spark.createDataFrame(files_, "path string, content binary"), "docx").collect()
+    text = "One\ttwo\nx link\n\n[IMAGE_1: A cat]\n\n| H | H |\n| --- | --- |\n| a |  |\n| a |  |"
+    assert [(r["kind"], r["text"]) for r in got if r["path"] == "good" and r["kind"] != "table"] == [("page", text), ("document", text)]
+    assert {r["path"] for r in got if r["kind"] == "error"} == {"bomb", "none", "empty", "other"}
+
+
+def test_sheets_keep_gaps_and_types(spark, tmp_path):
+    rel = '<Relationships><Relationship Id="r1" Target="/xl/worksheets/a.xml"/><Relationship Id="r2" Target="worksheets/b.xml"/></Relationships>'
+    ns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    a = '<worksheet><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="b"><v>1</v></c></row><row r="3"><c r="B3"><v>2.50</v></c><c r="C3"><v>7</v></c></row></sheetData></worksheet>'
+    book = office.zipped({"xl/workbook.xml": f'<workbook {ns}><sheets><sheet name="A" r:id="r1"/><sheet name="B" r:id="r2"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rel,
+                          "xl/sharedStrings.xml": "<sst><si><r><t>ri</t></r><r><t>ch</t></r><rPh><t>no</t></rPh></si></sst>", "xl/worksheets/a.xml": a, "xl/worksheets/b.xml": "<worksheet><sheetData/></worksheet>"})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xlsx").write_bytes(book)
+    (tmp_path / "in" / "note.txt").write_text("x")
+    got = {r["kind"]: r for r in office.scan_office(spark, str(tmp_path), "xlsx").collect()}
+    assert set(got) == {"page", "table", "document"}
+    assert got["page"]["text"] == "Sheet: A\nrich\t\tTrue\n\t\t\n\t2.5\t7\n"
+    assert got["table"]["rows"] == [["", "", ""], ["", "2.5", "7"]]
+    assert office.read_office(spark.createDataFrame([], "path string, content binary"), "xlsx").count() == 0
