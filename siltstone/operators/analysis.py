@@ -121,6 +121,24 @@ def is_slide_like(text: Column, fmt: Column, slides: Column) -> Column:
     return F.lower(fmt).isin("pptx", "ppt") | (F.coalesce(slides, F.lit(0)) > 0) | F.coalesce(plain, F.lit(False))
 
 
+def recommend_text_strategy(fmt: Column, table_layout: Column, flattened: Column, log_like: Column, slide_like: Column, clear_structure: Column, headings: Column) -> Column:
+    """struct(strategy, rule) for the plain text of a mixed document: the first rule that holds; a null input does not hold (a null layout counts as kept)."""
+    f = F.lower(F.coalesce(fmt, F.lit("")))
+    rules = [
+        ("flattened table", "paragraph", flattened),
+        ("sheet without layout", "paragraph", f.isin("xlsx", "xls", "csv") & ~F.coalesce(table_layout, F.lit(True))),
+        ("log", "paragraph", log_like),
+        ("slides", "paragraph", F.coalesce(slide_like, F.lit(False)) | f.isin("pptx", "ppt")),
+        ("records", "paragraph", f == "json"),
+        ("headings", "heading", clear_structure & (headings >= 5)),
+    ]
+    pair = lambda strategy, rule: F.struct(F.lit(strategy).alias("strategy"), F.lit(rule).alias("rule"))
+    out = pair("semantic", "default")
+    for rule, strategy, holds in reversed(rules):
+        out = F.when(F.coalesce(holds, F.lit(False)), pair(strategy, rule)).otherwise(out)
+    return out
+
+
 def feature_distances(features: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, distance): Euclidean distance of two documents' vectors, to 6 places. features: (doc_id, i, x) long form; pairs: (a, b)."""
     one = features.select(F.col("doc_id").alias("a"), "i", "x")

@@ -12,6 +12,20 @@ RRF_K = 60
 SINGLE_TOPIC_MAX = 40
 
 
+def validate_query(text: Column, most: int = 2000) -> Column:
+    """struct(query, error): the stripped text, or null with the error `empty` or `too long` (over `most` characters). Null is empty."""
+    t = T.strip(F.coalesce(text, F.lit("")))
+    error = F.when(t == "", "empty").when(F.length(t) > most, "too long")
+    return F.struct(F.when(error.isNull(), t).alias("query"), error.alias("error"))
+
+
+def search_modes(requests: DataFrame, statistics: DataFrame, key: str = "index_id", requested: str = "mode") -> DataFrame:
+    """Adds search_mode to requests: dense_only where it was asked for, or where an index has no row in `statistics`; else hybrid. A null index has none."""
+    known = statistics.select(F.col(key).alias("_known")).distinct()
+    mode = F.when((F.coalesce(F.col(requested), F.lit("auto")) != "dense_only") & F.col("_known").isNotNull(), "hybrid").otherwise("dense_only")
+    return requests.join(known, F.col(key) == F.col("_known"), "left").withColumn("search_mode", mode).drop("_known")
+
+
 def rrf_fuse(lists: list[DataFrame], key: str, n: int, by: str = "query_id", k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (by, key, rank from 1): sum of 1 / (k + rank), to 9 places; the n best of each query."""
     if k <= 0:

@@ -80,6 +80,15 @@ def formatted(s, d):
     return x.withColumn("format", A.document_format(F.col("file_format"), F.col("file_name"), F.col("metadata_format"), F.col("loader")))
 
 
+def text_strategies(s, d):
+    x = A.flags(A.document_features(formatted(s, d)))
+    flat, log = A.is_flattened_tabular(F.col("text"), F.col("format")), A.is_log_like(F.col("text"))
+    slides = A.is_slide_like(F.col("text"), F.col("format"), F.when(F.col("doc_id") % 11 == 0, 3))
+    x = x.select("doc_id", "format", "clear_structure", "heading_count", (F.col("doc_id") % 2 == 0).alias("layout"), flat.alias("flat"), log.alias("log"), slides.alias("slides"))
+    chosen = A.recommend_text_strategy(F.col("format"), F.col("layout"), F.col("flat"), F.col("log"), F.col("slides"), F.col("clear_structure"), F.col("heading_count"))
+    return x.withColumn("chosen", chosen).select("doc_id", "format", F.col("chosen.strategy").alias("strategy"), F.col("chosen.rule").alias("rule"))
+
+
 def neighbour_distances(s, d):
     v = vector(s, d).withColumn("x", F.round("x", 6))
     ids = documents(s, d).select("doc_id")
@@ -107,6 +116,7 @@ QUERIES = {
     "document_format": lambda s, d: formatted(s, d).select("doc_id", "format"),
     "is_flattened_tabular": lambda s, d: formatted(s, d).select("doc_id", A.is_flattened_tabular(F.col("text"), F.col("format")).alias("flattened")),
     "is_slide_like": lambda s, d: formatted(s, d).select("doc_id", A.is_slide_like(F.col("text"), F.col("format"), F.when(F.col("doc_id") % 11 == 0, 3)).alias("slides")),
+    "recommend_text_strategy": text_strategies,
     "feature_distance": neighbour_distances,
     "detect_language": languages,
     "detect_language_aggregate": chunk_language,
@@ -228,3 +238,9 @@ ORACLE = {
     "recommend_batch": f"""WITH {AN}, a AS (SELECT language, count(*) AS k FROM an GROUP BY 1 ORDER BY k DESC, language DESC LIMIT 1), b AS (SELECT domain, count(*) AS k FROM an GROUP BY 1 ORDER BY k DESC, domain DESC LIMIT 1)
 SELECT language, domain, round(a.k / (SELECT count(*) FROM an), 6) AS language_share, round(b.k / (SELECT count(*) FROM an), 6) AS domain_share FROM a, b""",
 }
+
+ORACLE["recommend_text_strategy"] = f"""WITH {feat('documents')}, a AS ({ORACLE['document_format']}), b AS ({ORACLE['is_flattened_tabular']}), c AS ({ORACLE['is_log_like']}), e AS ({ORACLE['is_slide_like']}),
+r AS (SELECT doc_id, format, CASE WHEN flattened THEN 'flattened table' WHEN format IN ('xlsx', 'xls', 'csv') AND doc_id % 2 <> 0 THEN 'sheet without layout' WHEN log_like THEN 'log'
+  WHEN slides OR format IN ('pptx', 'ppt') THEN 'slides' WHEN format = 'json' THEN 'records' WHEN clear_structure AND heading_count >= 5 THEN 'headings' ELSE 'default' END AS rule
+  FROM f JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN c USING (doc_id) JOIN e USING (doc_id))
+SELECT doc_id, format, CASE rule WHEN 'default' THEN 'semantic' WHEN 'headings' THEN 'heading' ELSE 'paragraph' END AS strategy, rule FROM r"""

@@ -159,7 +159,22 @@ def ab(f, *more):
     return f(F.col("embedding"), F.col("other"), *more)
 
 
+def valid_queries(s, d):
+    """Every document's text as a query."""
+    x = documents(s, d).select("doc_id", R.validate_query(F.col("text")).alias("v"))
+    return x.select("doc_id", F.length("v.query").cast("long").alias("length"), F.col("v.error").alias("error"))
+
+
+def modes(s, d):
+    """Events as requests to the index of a user; documents with an even id as indexes that have term statistics."""
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("hybrid"), F.lit("dense_only")), (F.col("event_id") % 3 + 1).cast("int"))
+    requests = table(s, d, "events").select("event_id", F.col("user_id").alias("index_id"), mode.alias("mode"))
+    return R.search_modes(requests, table(s, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("index_id")))
+
+
 QUERIES = {
+    "validate_query": valid_queries,
+    "search_mode": modes,
     "tokenize": lambda s, d: S.term_rows(documents(s, d), "doc_id", stop=False).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")),
     "stopwords": lambda s, d: S.term_rows(documents(s, d), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("n")),
     "bm25_fit": lambda s, d: S.with_term_ids(fitted(s, d)[0]).select("term", "term_id", "df", r6("idf").alias("idf")),
@@ -254,6 +269,8 @@ def thresholded(source: str, score: str = "score") -> str:
 
 
 ORACLE = {
+    "validate_query": f"SELECT doc_id, CASE WHEN length(t) BETWEEN 1 AND 2000 THEN length(t) END::BIGINT AS length, CASE WHEN t = '' THEN 'empty' WHEN length(t) > 2000 THEN 'too long' END AS error FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents)",
+    "search_mode": "SELECT event_id, user_id AS index_id, CASE event_id % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'hybrid' ELSE 'dense_only' END AS mode, CASE WHEN event_id % 3 <> 2 AND user_id IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) THEN 'hybrid' ELSE 'dense_only' END AS search_mode FROM events",
     "tokenize": f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL",
     "stopwords": f"SELECT term, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS term FROM documents) WHERE NOT list_contains({STOP}, term) GROUP BY ALL",
     "bm25_fit": f"WITH {FIT} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, round(idf, 6) AS idf FROM vocab",

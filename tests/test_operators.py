@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import analysis, chunking, dense, headings, metadata, retrieval, sparse
+from siltstone.operators import analysis, chunking, dense, headings, index_maintenance, metadata, retrieval, sparse
 from siltstone.sources import files, html, office
 
 
@@ -263,3 +263,34 @@ def test_sheets_keep_gaps_and_types(spark, tmp_path):
     assert got["page"]["text"] == "Sheet: A\nrich\t\tTrue\n\t\t\n\t2.5\t7\n"
     assert got["table"]["rows"] == [["", "", ""], ["", "2.5", "7"]]
     assert office.read_office(spark.createDataFrame([], "path string, content binary"), "xlsx").count() == 0
+
+
+def test_first_rule_of_a_text_strategy_wins(spark):
+    df = spark.createDataFrame(
+        [(1, "XLSX", True, True, True, False, False, 0), (2, "csv", False, False, True, False, False, 0), (3, "csv", None, None, None, None, None, None), (4, "txt", True, False, True, True, True, 9),
+         (5, "PPT", True, False, False, False, True, 9), (6, "json", True, False, False, False, True, 9), (7, None, True, False, False, False, True, 5), (8, "md", True, False, False, False, True, 4)],
+        "i int, fmt string, layout boolean, flat boolean, log boolean, slides boolean, clear boolean, n int",
+    )
+    got = df.select("i", analysis.recommend_text_strategy(*[F.col(c) for c in df.columns[1:]]).alias("r")).orderBy("i").collect()
+    assert [(r["r"]["strategy"], r["r"]["rule"]) for r in got] == [
+        ("paragraph", "flattened table"), ("paragraph", "sheet without layout"), ("semantic", "default"), ("paragraph", "log"), ("paragraph", "slides"), ("paragraph", "records"), ("heading", "headings"), ("semantic", "default")]
+
+
+def test_queries_are_stripped_and_bounded(spark):
+    df = spark.createDataFrame([(0, None), (1, " \t"), (2, " a b "), (3, " " + "x" * 2000), (4, "x" * 2001)], "i int, q string")
+    got = [tuple(r["v"]) for r in df.select("i", retrieval.validate_query(F.col("q")).alias("v")).orderBy("i").collect()]
+    assert got == [(None, "empty"), (None, "empty"), ("a b", None), ("x" * 2000, None), (None, "too long")]
+
+
+def test_search_falls_back_to_dense_without_statistics(spark):
+    asked = spark.createDataFrame([(1, 7, "auto"), (2, 7, "dense_only"), (3, 8, "hybrid"), (4, None, None), (5, 7, None)], "i int, index_id int, mode string")
+    got = retrieval.search_modes(asked, spark.createDataFrame([(7,), (7,), (None,)], "index_id int")).orderBy("i").collect()
+    assert [r["search_mode"] for r in got] == ["hybrid", "dense_only", "dense_only", "dense_only", "hybrid"]
+
+
+def test_chunk_text_of_pictures(spark):
+    rows = [(0, "text", "c", "a", "t", "b", "f", True, True), (1, "image", "c", "Image", None, None, "", True, True), (2, "image", "c", "a", "t", "b" * 201 + "!", "f" * 300, True, True),
+            (3, "image", "c", "a", "t", "b" * 201 + "!", "f" * 300, True, False), (4, "image", "c", "a", "t", "b", "f", None, True)]
+    df = spark.createDataFrame(rows, "i int, kind string, content string, alt string, caption string, before string, after string, path boolean, loaded boolean")
+    got = [r["t"] for r in df.select("i", index_maintenance.prepare_chunk_text(*[F.col(c) for c in df.columns[1:]]).alias("t")).orderBy("i").collect()]
+    assert got == ["c", "c", "图片标题: t\n图片描述: a\n前文: " + "b" * 199 + "!\n后文: " + "f" * 200, "t a " + "b" * 149 + "! " + "f" * 150, "c"]
