@@ -119,6 +119,7 @@ QUERIES = {
     "scan_json_props": lambda s, d: files.scan_json_flatten(table(s, d, "events"), "props", ["event_id"]),
     "scan_text": lambda s, d: table(s, d, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("line_count")),
     "scan_xml": xml_text,
+    "images_to_placeholders": lambda s, d: files.images_to_placeholders(table(s, d, "documents").select("doc_id", F.concat(F.lit("![no "), F.col("doc_id").cast("string"), F.lit("](a(b)/c.png) "), "text", F.lit("![](d.png)")).alias("text"))),
     "scan_docx": lambda s, d: read_orders(s, d, "docx"),
     "scan_xlsx": lambda s, d: read_orders(s, d, "xlsx"),
     "scan_pptx": lambda s, d: read_orders(s, d, "pptx"),
@@ -170,6 +171,7 @@ UNION ALL SELECT page_id, 'document', NULL, NULL, text, NULL, NULL FROM t""" + (
 
 
 ORACLE = {
+    "images_to_placeholders": "SELECT doc_id, '[IMAGE_1: no ' || doc_id || '] ' || text || '[IMAGE_2: 图片]' AS text FROM documents",
     "scan_docx": office_sql("'Orders.' || chr(10) || chr(10) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)", "text", "NULL", True),
     "scan_xlsx": office_sql("'Sheet: orders' || chr(10) || 'key' || chr(9) || 'status' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(10), '' ORDER BY o_orderkey)", "text", "'orders'", True),
     "scan_pptx": office_sql("'Slide 1:' || chr(10) || 'Orders.' || chr(10) || string_agg(o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey)", "substring(text, 10)", "NULL", False),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -108,6 +109,48 @@ def scan_xml(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, run(column).alias("r")).select(*keep, "r.*")
 
 
+#: Fixed value: how a converter marks a picture that it could not take over.
+BROKEN_IMAGE = "<!-- 🖼️❌ Image not available"
+
+
+def placeholders(text: str, alt_chars: int = 500) -> str:
+    """Pictures `![alt](source)` as `[IMAGE_n: alt]`, brackets in the source balanced; then every line up to the end of a broken picture's mark, which goes
+    on in the numbering and takes the line's text as its alt. Pictures in such a line go with it; an empty alt reads 图片."""
+    close, opened = {}, []
+    for m in re.finditer("[()]", text):
+        if m[0] == "(":
+            opened.append(m.start())
+        elif opened:
+            close[opened.pop()] = m.end()
+    found, at = [], 0
+    while (at := text.find("![", at)) >= 0:
+        middle = text.find("](", at, at + alt_chars + 2)
+        end = close.get(middle + 1) if middle >= 0 else None
+        if end:
+            found.append((at, end, text[at + 2 : middle]))
+        at = end or (middle if middle >= 0 else at) + 2
+    at = 0
+    while (at := text.find(BROKEN_IMAGE, at)) >= 0 and (stop := text.find("-->", at)) >= 0:
+        begin = text.rfind("\n", 0, at) + 1
+        found.append((begin, stop + 3, text[begin:at].strip()))
+        at = stop + 3
+    out, done = [], 0
+    for n, (begin, end, alt) in sorted(enumerate(found, 1), key=lambda x: (x[1][0], -x[1][1])):
+        if begin >= done:
+            out += [text[done:begin], f"[IMAGE_{n}: {alt or '图片'}]"]
+            done = end
+    return "".join(out) + text[done:]
+
+
+def images_to_placeholders(df: DataFrame, column: str = "text") -> DataFrame:
+    """`df` with the pictures of a Markdown column as placeholders (see `placeholders`); null stays null."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(placeholders, na_action="ignore")
+
+    return df.withColumn(column, run(column))
+
+
 def scan_properties(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """(key, value) of `k=v` or `k:v` lines; the equals sign wins; lines of # or ! are comments."""
     line = df.select(*keep, F.posexplode(F.split(column, "\n")).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))

@@ -294,3 +294,11 @@ def test_chunk_text_of_pictures(spark):
     df = spark.createDataFrame(rows, "i int, kind string, content string, alt string, caption string, before string, after string, path boolean, loaded boolean")
     got = [r["t"] for r in df.select("i", index_maintenance.prepare_chunk_text(*[F.col(c) for c in df.columns[1:]]).alias("t")).orderBy("i").collect()]
     assert got == ["c", "c", "图片标题: t\n图片描述: a\n前文: " + "b" * 199 + "!\n后文: " + "f" * 200, "t a " + "b" * 149 + "! " + "f" * 150, "c"]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("", ""), ("plain (x)", "plain (x)"), ("a ![b](c(d)e) f", "a [IMAGE_1: b] f"), ("![](x)![y](z)", "[IMAGE_1: 图片][IMAGE_2: y]"), ("![a](b(c) ![d](e)", "![a](b(c) [IMAGE_1: d]"),
+    ("![" + "x" * 501 + "](y)", "![" + "x" * 501 + "](y)"), (f"one\ncat {files.BROKEN_IMAGE} now -->\n![p](q)", "one\n[IMAGE_2: cat]\n[IMAGE_1: p]"), (f"{files.BROKEN_IMAGE} open", f"{files.BROKEN_IMAGE} open"),
+])
+def test_pictures_become_placeholders(text, want):
+    assert files.placeholders(text) == want
