@@ -168,6 +168,11 @@ def word_document(p: Package) -> Iterator[tuple]:
     yield "document", None, None, text, None, None
 
 
+def framed(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["path", "kind", "page_number", "title", "text", "headers", "rows"])
+    return out.assign(page_number=out["page_number"].astype("Int32"))
+
+
 READERS = {"docx": word_document, "xlsx": workbook, "pptx": presentation}
 
 
@@ -180,14 +185,19 @@ def read_office(files: DataFrame, fmt: str, path: str = "path", content: str = "
     reader = READERS[fmt]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, size = [], 0
         for q in parts:
             for name, body in zip(q["path"], q["content"], strict=True):
                 try:
                     rows = list(reader(Package(bytes(body or b""))))
                 except (zipfile.BadZipFile, ET.ParseError, KeyError, ValueError, IndexError, OSError, EOFError, NotImplementedError, RuntimeError) as e:
                     rows = [("error", None, None, f"{type(e).__name__}: {e}", None, None)]
-                out = pd.DataFrame([(name, *r) for r in rows], columns=["path", "kind", "page_number", "title", "text", "headers", "rows"])
-                yield out.assign(page_number=out["page_number"].astype("Int32"))
+                done += [(name, *r) for r in rows]
+                size += len(body or b"")
+                if len(done) >= 256 or size > 1 << 20:
+                    yield framed(done)
+                    done, size = [], 0
+        yield framed(done)
 
     return files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("content")).mapInPandas(run, SCHEMA)
 
