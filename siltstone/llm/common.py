@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,11 +47,27 @@ def share_of(h: Column, rate: float) -> Column:
     return F.shiftrightunsigned(h, 11) < F.lit(int(min(1.0, rate) * 2**53))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small (the setting is the session's; a smaller one of the user's stays)."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Keep Arrow batches of whole texts small, in rows and in bytes (the settings are the session's; a smaller number of rows of the user's stays, and any size)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, size)
+
+
+#: What this Python worker keeps from one task to the next.
+_kept: dict[str, object] = {}
+
+
+def kept(operator: str, make: Callable[[], object] = dict):
+    """What an operator keeps in a reused Python worker from one task to the next, made by `make` where absent. A worker keeps the state of one operator
+    at a time, so that those of a pipeline's stages do not add up."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = make()
+    return _kept[operator]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import held_out, set_aside, share_of, small_batches
+from siltstone.llm.common import held_out, kept, set_aside, share_of, small_batches
 from siltstone.llm.textvec import code_points, mix
 
 #: Buckets of n-gram hashes; characters in an n-gram; training texts of a language (expected: drawn by a hash at a fixed rate);
@@ -146,6 +146,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf(out)
     def decide(x: pd.Series) -> pd.DataFrame:
+        kept("language")
         return pd.DataFrame([shared.value.decide(t) for t in x], columns=RESULTS)
 
     rows = set_aside(docs, [*RESULTS, "_lang"])

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, small_batches, staged
+from siltstone.llm.common import discard, kept, small_batches, staged
 from siltstone.llm.textvec import mix, shingles
 
 WORDS, SIMILARITY = 5, 0.8
@@ -57,14 +57,9 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
     return np.stack([1 / r, beta, r, np.log(c)], 2).astype(np.float32), odd
 
 
-_tables: list = []
-
-
 def samples(h: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Consistent weighted samples (32 bits each) of sets of weighted shingles laid end to end; `first` has each set's start."""
-    if not _tables:
-        _tables.extend(_draws())
-    table, odd = _tables
+    table, odd = kept("neardup", _draws)
     lnw = np.log(w).astype(np.float32)
     out = np.empty((len(first), SAMPLES), dtype=np.uint32)
     for k in range(SAMPLES):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import numbered, small_batches, staged
+from siltstone.llm.common import kept, numbered, small_batches, staged
 
 CAPACITY = 2048
 #: Words that a worker remembers before it forgets the older half.
@@ -41,7 +41,8 @@ class WordEncoder:
     #: Plain words that the library gets as one text.
     JOINED = 512
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
+        self.words = words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,7 +91,7 @@ class WordEncoder:
         new = set().union(*[w for w in words if w is not None])
         new.difference_update(self.young)
         if new:
-            if len(self.young) + len(new) > WORDS and self.young:
+            if len(self.young) + len(new) > self.words and self.young:
                 self.old, self.young = self.young, {}
                 new = set().union(*[w for w in words if w is not None])
             self.learn(new)
@@ -98,21 +99,17 @@ class WordEncoder:
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
-_encoders: dict[str, WordEncoder] = {}
+def encoder(path: str, words: int = WORDS) -> WordEncoder:
+    """The worker's encoder for a vocabulary."""
+    return kept(f"packing {words} {path}", lambda: WordEncoder(path, words))
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text: str = "text", keep_ids: bool = False, words: int = WORDS) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document: its ids, then id 0, cut at `capacity`. Null text is empty: one piece of id 0.
 
     Repeated rows each give their pieces; an empty table gives none; other columns of `docs` are left out, whatever their names."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(path, words)
         for p in parts:
             for at in range(0, len(p), 256):
                 q = p.iloc[at : at + 256]
@@ -239,10 +236,10 @@ def packed(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> Dat
     return rows.select(*pieces.columns, "_number").mapInPandas(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, words: int = WORDS) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document. words: how many a worker remembers (memory, not results)."""
     small_batches(docs.sparkSession)
-    pieces = staged(token_pieces(docs, path, capacity), "packing-pieces")
+    pieces = staged(token_pieces(docs, path, capacity, words=words), "packing-pieces")
     return packed(pieces, ["doc_id", "piece", "ids_crc32", "start"], capacity)
 
 

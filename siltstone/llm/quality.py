@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bounded_ids, held_out, set_aside, small_batches
+from siltstone.llm.common import bounded_ids, held_out, kept, set_aside, small_batches
 from siltstone.llm.textvec import code_points, word_hashes
 
 #: Code points of a passage; labelled documents to learn from, at most; hidden and attention units; training rounds.
@@ -139,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS) -> Mod
     chosen = bounded_ids(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", documents)
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept("quality")
         for p in parts:
             out = []
             for t in p["text"]:
@@ -168,6 +169,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", threshold: float
 
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
+        kept("quality")
         return pd.Series(shared.value.score(x.tolist()))
 
     rows = set_aside(docs, ["score", "predicted"])
