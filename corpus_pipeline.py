@@ -14,6 +14,10 @@ from siltstone.llm import language, neardup, packing, quality, secrets
 from siltstone.llm.common import discard, held_out, staged, workdir
 
 
+#: Words that a worker remembers while it packs: fewer than by default, as its memory has served the stages before.
+WORDS = 100_000
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """Columns _row (the row but its text), doc_id and text."""
     return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), "doc_id", "text")
@@ -59,7 +63,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Token pieces of all documents, packed into sequences. Null texts are one piece of id 0; repeated rows each give their pieces."""
     import public_tokenizers as vocab
 
-    return packing.pack_documents(docs.select("doc_id", "text"), vocab.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs.select("doc_id", "text"), vocab.path("word_bpe_49k.json"), words=WORDS)
 
 
 STAGES = [
