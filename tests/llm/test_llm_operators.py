@@ -733,3 +733,24 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd, tmp_path):
 def _parts(spark, sf):
     out = held_out(F.col("doc_id"))
     return spark.read.parquet(f"{sf}/documents.parquet").filter(~out).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").filter(~out)
+
+
+def test_a_worker_keeps_one_operator_at_a_time():
+    from siltstone.llm.common import kept
+
+    first = kept("one", lambda: [1])
+    assert kept("one", lambda: [2]) is first
+    assert kept("two", lambda: [3]) == [3]
+    assert kept("one", lambda: [4]) == [4]
+
+
+def test_fewer_remembered_words_give_the_same_ids():
+    import public_tokenizers as vocab
+
+    from siltstone.llm.packing import WordEncoder
+
+    path = vocab.path("word_bpe_49k.json")
+    batches = [[f"word{i} number{j}, again and again word{i}." for i in range(20)] for j in range(5)]
+    few, many = WordEncoder(path, 10), WordEncoder(path)
+    for texts in batches:
+        assert few.encode_many(texts) == many.encode_many(texts) == [many.whole(t) for t in texts]
