@@ -70,6 +70,11 @@ def kept(operator: str, make: Callable[[], object] = dict):
     return _kept[operator]
 
 
+def broadcast_if(df: DataFrame, most: int, rows: int | None = None) -> DataFrame:
+    """`df` marked for broadcast if it has at most `most` rows (counted, if `rows` isn't given); else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, fingerprint, language, neardup, packing, quality, secrets, sharding, topk, warc
+from siltstone.llm import bpe, fingerprint, language, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_ecoc_language": language.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_icws_neardup": neardup.op8,
     "op9_pivot_topk": topk.op9,
     "op10_secret_ledger": secrets.op10,
+    "op12_kneser_ney_toxicity": toxicity.op12,
 }
 
 ORACLE = {
