@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, fingerprint, language, neardup, packing, quality, secrets, sharding, topk, toxicity, warc
+from siltstone.llm import bpe, fingerprint, language, neardup, negatives, packing, quality, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_ecoc_language": language.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_icws_neardup": neardup.op8,
     "op9_pivot_topk": topk.op9,
     "op10_secret_ledger": secrets.op10,
+    "op11_kronecker_negatives": negatives.op11,
     "op12_kneser_ney_toxicity": toxicity.op12,
 }
 
@@ -22,4 +23,5 @@ ORACLE = {
     "op7_warc_salvage": warc.ORACLE,
     "op9_pivot_topk": topk.ORACLE,
     "op10_secret_ledger": secrets.ORACLE,
+    "op11_kronecker_negatives": negatives.ORACLE,
 }
