@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bpe, fingerprint, language, neardup, negatives, packing, quality, secrets, sharding, topk, toxicity, warc
+from siltstone.llm import bpe, collocations, fingerprint, language, neardup, negatives, packing, quality, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_ecoc_language": language.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_ledger": secrets.op10,
     "op11_kronecker_negatives": negatives.op11,
     "op12_kneser_ney_toxicity": toxicity.op12,
+    "op13_era_collocations": collocations.op13,
 }
 
 ORACLE = {
@@ -24,4 +25,5 @@ ORACLE = {
     "op9_pivot_topk": topk.ORACLE,
     "op10_secret_ledger": secrets.ORACLE,
     "op11_kronecker_negatives": negatives.ORACLE,
+    "op13_era_collocations": collocations.ORACLE,
 }
