@@ -277,8 +277,8 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     One row for each row, repeated ones included; whole texts. A null text, or one without a word, has the ratio of a text without kept expressions. Columns
     of `docs` that have a result's name go on as name_own."""
     small_batches(docs.sparkSession)
-    rows = set_aside(docs.withColumnRenamed(text, "_text"), [*RESULTS, "_seen", "_uid", "_sum"])
-    got = _ratios(rows, model.weights, model.bits, model.base, "_text")
+    rows = set_aside(docs, [*RESULTS, "_seen", "_uid", "_sum"])
+    got = _ratios(rows, model.weights, model.bits, model.base, rows.columns[docs.columns.index(text)])
     score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -model.slope * (F.col("ratio") - model.middle)))))
     return got.withColumns({"score": score, "predicted": (score >= THRESHOLD).cast("int")})
 
