@@ -14,6 +14,7 @@ candidates, in whole numbers and decimals.
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,8 +31,8 @@ from siltstone.llm.textvec import mix
 DEPTH, LEAST, SHOWN = 4, 30, 2000
 #: Suffixes of a group at most (but for one suffix that is repeated more often), words held in a task before they are combined, words that a task remembers.
 BUDGET, HELD, WORDS = 2_000_000, 2_000_000, 500_000
-#: Counters of the filter of rare words; least slots of prefixes at a level.
-FILTER, SLOTS = 22, 1 << 12
+#: Counters of the filter of rare words; least slots of prefixes at a level; shares of a language's candidates.
+FILTER, SLOTS, SHARES = 22, 1 << 12, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: `.` for all marks that end a piece (no word holds one), a space for a tab.
@@ -221,6 +222,22 @@ def plan(docs: DataFrame, counters: DataFrame, budget: int) -> Plan:
     return Plan(bits, hot, group)
 
 
+def _packed(suffixes: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted suffixes in 16-bit numbers, and their counts, column by column: steps of the first number, the others' low and high bytes, counts in a byte (255: in full at the end)."""
+    columns = [np.diff(suffixes[:, 0], prepend=0), *(suffixes[:, d] for d in range(1, DEPTH))]
+    planes = [c.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes() for c in columns]
+    return zlib.compress(b"".join([*planes, np.minimum(times, 255).astype(np.uint8).tobytes(), times[times >= 255].astype("<i8").tobytes()]), 1)
+
+
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+    columns = [raw[2 * n * d : 2 * n * (d + 1)].reshape(2, n).T.copy().view("<u2").reshape(n).astype(np.int64) for d in range(DEPTH)]
+    columns[0] = columns[0].cumsum()
+    times = raw[2 * n * DEPTH : (2 * DEPTH + 1) * n].astype(np.int64)
+    times[times == 255] = np.frombuffer(raw[(2 * DEPTH + 1) * n :].tobytes(), dtype="<i8")
+    return np.stack(columns, 1), times
+
+
 def _blocks(shared):
     """Combined suffixes as one row for each group and level: the block's words and its suffixes in numbers of those words."""
 
@@ -231,15 +248,15 @@ def _blocks(shared):
             order = np.lexsort((level, group))
             key = group[order] * 8 + level[order]
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, dtype=int)
-            out: dict[str, list] = {c: [] for c in ("group", "level", "lang", "words", "suffixes", "times")}
+            out: dict[str, list] = {c: [] for c in ("group", "level", "lang", "words", "suffixes", "n")}
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 at = order[a:b]
                 used, own = np.unique(rows[at], return_inverse=True)
                 if used[0]:  # 0 keeps its number
                     used, own = np.concatenate([[0], used]), own + 1
-                for c, v in zip(out, (key[a] // 8, key[a] % 8, vocabulary.lang, b" ".join(words[used[1:]]), own.astype("<u2").tobytes(), n[at].astype("<i4").tobytes()), strict=True):
+                for c, v in zip(out, (key[a] // 8, key[a] % 8, vocabulary.lang, zlib.compress(b" ".join(words[used[1:]]), 1), _packed(own.reshape(-1, DEPTH), n[at]), len(at)), strict=True):
                     out[c].append(v)
-            yield pd.DataFrame(out).astype({"group": "int32", "level": "int32"})
+            yield pd.DataFrame(out).astype({"group": "int32", "level": "int32", "n": "int32"})
 
     return run
 
@@ -267,12 +284,13 @@ def _count_group(p: pd.DataFrame) -> pd.DataFrame:
     out = []
     for lang, blocks in p.groupby("lang", sort=False):
         numbers: dict[bytes, int] = {}
-        rows = []
-        for words, suffixes in zip(blocks["words"], blocks["suffixes"], strict=True):
-            to = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in words.split(b" "))], dtype=np.int64)
-            rows.append(to[np.frombuffer(suffixes, dtype="<u2").reshape(-1, DEPTH)].astype(np.int32))
-        times = [np.frombuffer(t, dtype="<i4").astype(np.int64) for t in blocks["times"]]
-        level = np.repeat(blocks["level"].to_numpy(), [len(t) for t in times])
+        rows, times = [], []
+        for words, suffixes, n in zip(blocks["words"], blocks["suffixes"], blocks["n"], strict=True):
+            to = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in zlib.decompress(words).split(b" "))], dtype=np.int32)
+            own, total = _unpacked(suffixes, n)
+            rows.append(to[own])
+            times.append(total)
+        level = np.repeat(blocks["level"].to_numpy(), blocks["n"])
         text = [b"", *numbers]
         for k, nodes, n, whole in subtree(np.concatenate(rows), np.concatenate(times), level):
             keep = (n >= LEAST) | ~whole
@@ -286,7 +304,7 @@ def frequencies(docs: DataFrame, budget: int = BUDGET) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     counters = staged(docs.mapInPandas(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "collocations-counters")
     shared = spark.sparkContext.broadcast(plan(docs, counters, budget))
-    blocks = docs.mapInPandas(_blocks(shared), "group int, level int, lang string, words binary, suffixes binary, times binary")
+    blocks = docs.mapInPandas(_blocks(shared), "group int, level int, lang string, words binary, suffixes binary, n int")
     nodes = staged(blocks.groupBy("group").applyInPandas(_count_group, "lang string, phrase string, k int, a long, whole boolean"), "collocations-nodes")
     parted = nodes.filter("NOT whole").groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).filter(F.col("a") >= LEAST)
     whole = nodes.filter("whole").select("lang", "phrase", "k", "a")
@@ -316,8 +334,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", shown:
     inner = F.expr("flatten(transform(sequence(2, k - 1), m -> transform(sequence(1, k - m + 1), i -> array_join(slice(split(phrase, ' '), i, m), ' '))))")
     held = phrases.filter("k > 2").select("lang", F.explode(inner).alias("phrase"), F.col("a").alias("_longer")).groupBy("lang", "phrase").agg(F.max("_longer").alias("_longer"))
     left = best.join(held, ["lang", "phrase"], "left").filter("_longer IS NULL OR CAST(_longer AS decimal(19,0)) * 100 < CAST(a AS decimal(19,0)) * 80")
-    w = W.partitionBy("lang").orderBy(F.desc("_cut.score"), F.desc("a"), "phrase")
-    top = left.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= shown)
+    # each share of a language's candidates gives its first ones, so that no task meets more than SHARES * shown of a language
+    order = [F.desc("_cut.score"), F.desc("a"), "phrase"]
+    dealt = left.withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    first = dealt.withColumn("_r", F.row_number().over(W.partitionBy("lang", "_share").orderBy(*order))).filter(F.col("_r") <= shown)
+    top = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= shown)
     return top.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("_cut.l").alias("l"), F.col("_cut.r").alias("r"), "n", F.col("_cut.score").alias("score"))
 
 
@@ -329,7 +350,8 @@ ORACLE = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
     unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents
 ), words AS MATERIALIZED (
   SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces

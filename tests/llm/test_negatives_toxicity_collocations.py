@@ -237,12 +237,12 @@ def test_collocations_against_brute_force(spark, budget):
     """Few words that repeat much: overlaps, prefixes over the budget at every level, ties, marks, tabs, letters beyond ASCII, null texts and languages, repeated rows."""
     rng = random.Random(7)
     docs = [(None, "en"), ("", None), ("same same same same same " * 40, "en"), (". , ;\n\t", "en")]
-    for i in range(300):
+    for i in range(1200):
         w = [rng.choice(["the", "The", "of", "É", "é", "ﬁx", "a|b", "zwölf", "of the", "x y z u", "rare%d" % i]) for _ in range(rng.randrange(40))]
         docs.append(("".join(x + rng.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\x0b", "\r\n"]) for x in w), rng.choice(["en", "de", None, "und"])))
     docs += [docs[5]] * 9
     want = brute_collocations(docs)
-    assert len(want) > 60 and {r[0] for r in want} == {"en", "de", "und"}
+    assert len(want) > 25 and {r[0] for r in want} == {"en", "de", "und"}
     assert collocations_of(spark, docs, budget=budget) == want
     assert collocations_of(spark, docs, budget=budget, shown=5) == [r for r in want if r[1] <= 5]
 
