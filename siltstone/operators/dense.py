@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ def hash_embedding(df: DataFrame, key: str, text: str = "text", dim: int = DIM)
     return each.groupBy(key, slot.alias("slot")).agg(F.sum(sign).alias("value"))
 
 
-def hash_vectors(df: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
-    """(key, embedding): the same embedding as an array, made inside the row (no shuffle); texts without tokens are left out."""
+def hashed(text: Column, dim: int = DIM) -> Column:
+    """The same embedding as an array, inside the row; null for a text whose vector is zero or that has no token."""
     @F.pandas_udf("array<double>")
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, tuple[int, float]] = {}
@@ -44,10 +44,15 @@ def hash_vectors(df: DataFrame, key: str, text: str = "text", dim: int = DIM) ->
                         h = hashlib.md5(w.encode()).hexdigest()
                         x = known[w] = (int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0)
                     v[x[0]] += x[1]
-                out.append(v if terms else None)
+                out.append(v if v.any() else None)
             yield pd.Series(out)
 
-    return df.select(key, embed(text).alias("embedding")).filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
+    return embed(text)
+
+
+def hash_vectors(df: DataFrame, key: str, text: str = "text", dim: int = DIM) -> DataFrame:
+    """(key, embedding): the same embedding for each row (no shuffle); rows without one are left out."""
+    return df.select(key, hashed(F.col(text), dim).alias("embedding")).filter(F.col("embedding").isNotNull())
 
 
 def sparse_cosine(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str) -> DataFrame:

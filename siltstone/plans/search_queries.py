@@ -12,6 +12,7 @@ from siltstone.operators import dense as D
 from siltstone.operators import retrieval as R
 from siltstone.operators import sparse as S
 from siltstone.plans.common import CHUNKS, chunks, documents, questions, strip_sql, table, tokens_sql
+from siltstone.plans.stored import dense_top, sparse_top
 
 # ---- projections
 
@@ -35,27 +36,6 @@ def query_weights(s, d):
     return S.encode_queries(questions(s, d), fitted(s, d)[0], "query_id", "query")
 
 
-def bm25_scores(s, d):
-    """Only the queries' terms are counted and weighed; their document frequencies come from the same counts (one exchange, reused)."""
-    asked = S.term_rows(questions(s, d), "query_id", "query").select("term").distinct()
-    counts = S.term_counts(texts(s, d), "chunk_id", only=asked)
-    corpus = S.corpus_statistics(texts(s, d))
-    vocab = S.vocabulary(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), corpus)
-    docs = S.encode_documents(counts, vocab, corpus, "chunk_id")
-    return S.score(docs, S.encode_queries(questions(s, d), vocab, "query_id", "query"), "chunk_id", "query_id")
-
-
-def sparse_top(s, d, n=20):
-    return S.top(bm25_scores(s, d), "query_id", n, "chunk_id")
-
-
-def dense_top(s, d, n=20):
-    """Exact top n by matrix products against the queries' block, with a partial top n in every task."""
-    c = D.hash_vectors(texts(s, d), "chunk_id").withColumnRenamed("chunk_id", "vec_id")
-    q = D.hash_vectors(questions(s, d), "query_id", "query").withColumnRenamed("embedding", "q")
-    return D.search(c, q, n, "RAW_COSINE").withColumnRenamed("vec_id", "chunk_id")
-
-
 def hybrid(s, d, n=10):
     """Sparse and dense top 20 of every benchmark item over all chunks, fused; the flagship."""
     return R.rrf_fuse([sparse_top(s, d), dense_top(s, d)], "chunk_id", n)
