@@ -142,7 +142,6 @@ QUERIES = {
     "recommend_stats": lambda s, d: runs(s, d).groupBy("model").agg(F.round(F.count_if(F.col("status") == "SUCCESS") / F.count(F.lit(1)), 6).alias("adopted"), F.round(F.count_if(F.col("status") == "PARTIAL_SUCCESS") / F.count(F.lit(1)), 6).alias("modified"), F.round(F.count_if(F.col("status") == "FAILED") / F.count(F.lit(1)), 6).alias("fallback")),
     "history_trim": lambda s, d: M.newest(table(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], 3, "turn", "role"),
     "search_history_cap": lambda s, d: M.newest(runs(s, d), ["document_id"], 5, "created_at", "result_id").select("document_id", "result_id"),
-    "sink_dual_write": lambda s, d: M.latest_per(runs(s, d), ["document_id", "model"]).select("document_id", "model", "result_id"),
     "merge_results": lambda s, d: M.merge_results(runs(s, d).select("document_id", "model", F.col("result_id").alias("source_order"), "status"), ["document_id", "model"]),
     "scan_json_flatten": props,
     "group_by_type": lambda s, d: docs(s, d).groupBy(F.coalesce("lang", F.lit("text")).alias("chunk_type")).agg(count()),
@@ -216,7 +215,6 @@ ORACLE = {
     "recommend_stats": w(f"SELECT model, {share('SUCCESS')} AS adopted, {share('PARTIAL_SUCCESS')} AS modified, {share('FAILED')} AS fallback FROM runs GROUP BY model"),
     "history_trim": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS r FROM conversations) WHERE r <= 3",
     "search_history_cap": w("SELECT document_id, result_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, result_id DESC) AS r FROM runs) WHERE r <= 5"),
-    "sink_dual_write": w(f"SELECT document_id, model, result_id FROM ({LATEST}) WHERE r = 1"),
     "merge_results": w("SELECT document_id, model, result_id AS source_order, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id, model ORDER BY result_id) AS r FROM runs) WHERE r = 1"),
     "scan_json_flatten": "SELECT array_to_string(json_keys(props), ',') AS keys, count(*) AS n FROM events GROUP BY 1",
     "group_by_type": "SELECT coalesce(lang, 'text') AS chunk_type, count(*) AS n FROM documents GROUP BY 1",

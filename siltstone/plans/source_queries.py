@@ -21,11 +21,6 @@ def md(s, d):
     return html.html_to_markdown(pages(s, d)).withColumnRenamed("markdown", "text")
 
 
-def loads(s, d):
-    x = table(s, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), F.element_at(F.array(*[F.lit(k) for k in files.FORMATS]), (F.col("doc_id") % len(files.FORMATS) + 1).cast("int")).alias("format"), "text")
-    return files.load_with_fallback(x)
-
-
 def xml_text(s, d):
     x = table(s, d, "documents").select("doc_id", F.concat(F.lit("<r><a>"), F.translate("text", "<>&", ""), F.lit("</a><b> t </b>u</r>")).alias("xml"))
     return files.scan_xml(x, "xml", ["doc_id"])
@@ -117,14 +112,12 @@ QUERIES = {
     "chunk_heading_pages": lambda s, d: H.sections_or_paragraphs(md(s, d), "page_id"),
     "scan_csv": csv_rows,
     "scan_json_props": lambda s, d: files.scan_json_flatten(table(s, d, "events"), "props", ["event_id"]),
-    "scan_text": lambda s, d: table(s, d, "documents").select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("line_count")),
     "scan_xml": xml_text,
     "images_to_placeholders": lambda s, d: files.images_to_placeholders(table(s, d, "documents").select("doc_id", F.concat(F.lit("![no "), F.col("doc_id").cast("string"), F.lit("](a(b)/c.png) "), "text", F.lit("![](d.png)")).alias("text"))),
     "scan_docx": lambda s, d: read_orders(s, d, "docx"),
     "scan_xlsx": lambda s, d: read_orders(s, d, "xlsx"),
     "scan_pptx": lambda s, d: read_orders(s, d, "pptx"),
     "scan_properties": lambda s, d: files.scan_properties(table(s, d, "documents").filter("text LIKE '%=%' OR text LIKE '%:%'").select("doc_id", "text"), "text", ["doc_id"]),
-    "load_with_fallback": loads,
     "extraction_quality": lambda s, d: table(s, d, "documents").select("doc_id", files.extraction_quality(F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("fast"), F.col("text").contains("|"), F.col("doc_id") % 2 == 0, F.length("text") < 50).alias("quality")),
     "detect_headings": lambda s, d: H.heading_rows(markdown(s, d)),
     "heading_sections": lambda s, d: H.sections(markdown(s, d)),
@@ -181,9 +174,7 @@ ORACLE = {
 SELECT page_id, 0::BIGINT AS chunk_index, content, 24::BIGINT AS start, (24 + length(content))::BIGINT AS "end", '# Orders' AS section_title, '' AS context_before, 'End.' AS context_after, n AS row_count, 2::BIGINT AS column_count, 'key|status' AS headers FROM t""",
     "html_h1": "SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]'))::BIGINT AS n FROM pages",
     "scan_csv": "SELECT o_orderkey AS line_key, 'o_orderkey: ' || o_orderkey || ' | o_custkey: ' || o_custkey || ' | o_orderstatus: ' || o_orderstatus || ' | o_orderpriority: ' || o_orderpriority AS text FROM orders",
-    "scan_text": "SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS line_count FROM documents",
     "extraction_quality": "SELECT doc_id, CASE WHEN length(text) < 50 THEN 0 ELSE round(least(1, CASE doc_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.6 END + CASE WHEN contains(text, '|') THEN 0.05 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0.02 ELSE 0 END), 6) END::DOUBLE AS quality FROM documents",
-    "load_with_fallback": "SELECT 'f' || doc_id AS path, loader, loader <> first AS fallback_used, loader IS NOT NULL AND length(" + strip_sql("text") + ") > 10 AS success FROM (SELECT doc_id, text, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN {repr(next((x for x in ls if files.runs(f, x)), None)) if any(files.runs(f, x) for x in ls) else 'NULL'}" for i, (f, ls) in enumerate(files.FORMATS.items())) + " END AS loader, CASE doc_id % " + str(len(files.FORMATS)) + " " + " ".join(f"WHEN {i} THEN '{ls[0]}'" for i, ls in enumerate(files.FORMATS.values())) + " END AS first FROM documents)",
     "scan_properties": rf"""WITH l AS (SELECT doc_id, i, {strip_sql('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE contains(text, '=') OR contains(text, ':')))
 SELECT doc_id, i AS line_no, {strip_sql("substring(line, 1, p - 1)")} AS key, {strip_sql("substring(line, p + 1)")} AS value, sep FROM (SELECT *, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END AS sep, strpos(line, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END) AS p FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[#!]') AND regexp_matches(line, '[=:]'))""",
     "detect_headings": f"WITH {HR} SELECT doc_id, start, level, title, seq FROM h",

@@ -160,21 +160,6 @@ def scan_properties(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
     return line.select(*keep, F.col("line_no").cast("long").alias("line_no"), T.strip(F.substring("line", F.lit(1), at - 1)).alias("key"), T.strip(F.substring("line", at + 1, F.length("line"))).alias("value"), sep.alias("sep"))
 
 
-def scan_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, line_count) of whole text files in UTF-8."""
-    df = spark.read.text(path, wholetext=True)
-    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), (F.regexp_count("value", F.lit("\n")) + 1).cast("long").alias("line_count"))
-
-
-def load_with_fallback(files: DataFrame) -> DataFrame:
-    """files: (path, format, text). The loader that would take each file, whether it is a fallback, and whether the result is valid (over 10 characters)."""
-    first = F.lit(None).cast("string")
-    for f, ls in FORMATS.items():
-        first = F.when(F.lower("format") == f, F.lit(ls[0])).otherwise(first)
-    use = first_available(F.col("format"))
-    return files.select("path", use.alias("loader"), (use != first).alias("fallback_used"), (use.isNotNull() & (F.length(T.strip(F.col("text"))) > 10)).alias("success"))
-
-
 def extraction_quality(level: Column, has_tables: Column, has_images: Column, empty: Column) -> Column:
     base = F.when(level == "high", 0.9).when(level == "medium", 0.75).when(level == "fast", 0.6).otherwise(0.4)
     return F.when(empty, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), base + F.when(has_tables, 0.05).otherwise(0.0) + F.when(has_images, 0.02).otherwise(0.0)), 6))
