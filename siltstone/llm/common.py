@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -57,13 +60,27 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
         spark.conf.set(key, size)
 
 
-#: What this Python worker keeps from one task to the next.
+#: What this Python worker keeps from one task to the next, and when it last gave memory back.
 _kept: dict[str, object] = {}
+_gave_back = [0.0]
+
+
+def give_back(every: float = 0.5) -> None:
+    """Returns freed memory of a reused Python worker to the system, at most once in `every` seconds: else what one batch or stage needed stays with the worker."""
+    if time.monotonic() - _gave_back[0] < every:
+        return
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _gave_back[0] = time.monotonic()
 
 
 def kept(operator: str, make: Callable[[], object] = dict):
     """What an operator keeps in a reused Python worker from one task to the next, made by `make` where absent. A worker keeps the state of one operator
     at a time, so that those of a pipeline's stages do not add up."""
+    give_back()
     if operator not in _kept:
         _kept.clear()
         _kept[operator] = make()

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import discard, kept, small_batches, staged
+from siltstone.llm.common import broadcast_if, discard, kept, small_batches, staged
 from siltstone.llm.textvec import mix, shingles
 
 WORDS, SIMILARITY = 5, 0.8
@@ -205,17 +205,33 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int = AGREE) -> DataFram
 
 
 def text_vectors(docs: DataFrame, texts: DataFrame, needed: DataFrame, name: str, text: str = "text", most_broadcast: int = 1 << 19) -> DataFrame:
-    """(node, vector) of the nodes of `needed`, sorted 32-bit shingles. One document of every node is read again; docs: (_uid, text); texts: (node, _uid), one row a node."""
+    """(node, vector), one row for each node of `needed`, sorted 32-bit shingles. A document of every node is read again; docs: (_uid, text); texts: (node, _uid), one row a node.
+
+    A _uid can name many rows: repeated ids, and all copies of a text without an id. A task makes one vector of a node; of several tasks' vectors that of the first stays."""
     def vectors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: set[str] = set()
+        at = TaskContext.get().partitionId() << 24
         for p in parts:
             for i in range(0, len(p), 256):
                 q = p.iloc[i : i + 256]
-                q = q[[node_key(t) == k for t, k in zip(q[text], q["node"], strict=True)]]  # a repeated id can stand for another text
-                yield pd.DataFrame({"node": q["node"], "vector": [np.sort(shingles(t, WORDS).astype(np.uint32)).astype("<u4").tobytes() for t in q[text]]})
+                if len(made) > 200_000:
+                    made.clear()
+                    at += 1  # what is made again counts as another task's
+                keep = []
+                for t, k in zip(q[text], q["node"], strict=True):
+                    new = k not in made and node_key(t) == k  # a repeated id can stand for another text
+                    keep.append(new)
+                    if new:
+                        made.add(k)
+                q = q[keep]
+                yield pd.DataFrame({"node": q["node"], "place": np.full(len(q), at), "vector": [np.sort(shingles(t, WORDS).astype(np.uint32)).astype("<u4").tobytes() for t in q[text]]})
 
     needed = staged(texts.join(needed.select("node"), "node", "left_semi").select("node", "_uid"), f"{name}-needed")
     texts = docs.select("_uid", text).join(F.broadcast(needed) if needed.count() <= most_broadcast else needed, "_uid")
-    return staged(texts.mapInPandas(vectors, "node string, vector binary"), f"{name}-vectors")
+    made = staged(texts.mapInPandas(vectors, "node string, place long, vector binary"), f"{name}-vectors")
+    several = made.groupBy("node").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("node", "_first")
+    several = staged(several, f"{name}-several")
+    return made.join(broadcast_if(several, most_broadcast // 4), "node", "left").filter("_first IS NULL OR place = _first").select("node", "vector")
 
 
 def _weighted(b: bytes, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -754,3 +754,19 @@ def test_fewer_remembered_words_give_the_same_ids():
     few, many = WordEncoder(path, 10), WordEncoder(path)
     for texts in batches:
         assert few.encode_many(texts) == many.encode_many(texts) == [many.whole(t) for t in texts]
+
+
+def test_neardup_of_many_repeated_rows_and_copies_without_ids(spark):
+    """A thousand rows of one id and a thousand copies without ids on either side of a pair: one vector a text, and one pair."""
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words), " ".join(words[:190] + ["x"] * 3 + words[193:])
+    far = " ".join(f"y{i}" for i in range(100))
+    rows = [(1, a)] * 1000 + [(2, b)] * 1000 + [(None, a + " w200")] * 1000 + [(None, b + " w200")] * 1000 + [(3, far)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    by = {r["node"]: (r["class_id"], r["class_size"], r["n_links"]) for r in got}
+    assert sorted(by.values()) == [(1, 4000, 3)] * 4 + [(3, 3, 0)]
+    keyed = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("_uid"), "text").withColumn("node", F.udf(neardup.node_key)("text"))
+    texts = keyed.groupBy("node").agg(F.min("_uid").alias("_uid"))
+    assert neardup.text_vectors(keyed.drop("node"), texts, texts, "test").count() == 5
