@@ -55,11 +55,48 @@ def next_version(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
 
 
-def parameter_change(old: Column, new: Column, critical: tuple[str, ...] = ("chunk_size", "overlap"), minor: float = 0.2) -> Column:
-    """"none", "minor" or "major" for two maps of numbers: added or removed keys, or a critical value moved by over `minor`, are major."""
-    both = F.map_zip_with(old, new, lambda k, a, b: F.when(a.isNull() | b.isNull(), 2).when(a == b, 0).when(k.isin(*critical) & ((a == 0) | (F.abs(b - a) / F.abs(a) > minor)), 2).otherwise(1))
-    worst = F.array_max(F.map_values(both))
-    return F.when(worst == 2, "major").when(worst == 1, "minor").otherwise("none")
+# Fixed value: the parameters whose numbers may move a little.
+CRITICAL = ("chunk_size", "overlap", "separator", "min_chunk_size", "max_chunk_size")
+
+
+def parameter_change(old: Column, new: Column, critical: tuple[str, ...] = CRITICAL, minor: float = 0.2) -> Column:
+    """"none", "minor" or "major" for two maps of numbers or texts. Added or removed keys are major; so is a critical number that moved by over `minor` of itself (from 0: at all), a critical
+    value that is no number and another now, and any change of another key. No old map, or an empty one, is major."""
+    def change(k: Column, a: Column, b: Column) -> Column:
+        x, y = a.try_cast("double"), b.try_cast("double")
+        far = F.coalesce((x == 0) | (F.abs(y - x) / F.abs(x) > minor), F.lit(True))
+        return F.when(a.isNull() | b.isNull(), 2).when((a == b) | F.coalesce(x == y, F.lit(False)), 0).when(k.isin(*critical) & ~far, 1).otherwise(2)
+
+    worst = F.array_max(F.map_values(F.map_zip_with(old, new, change)))
+    return F.when(F.coalesce(F.size(old), F.lit(0)) <= 0, "major").when(worst == 2, "major").when(worst == 1, "minor").otherwise("none")
+
+
+def activate(rows: DataFrame, asked: DataFrame, by: tuple[str, ...] = ("document_id", "strategy"), key: str = "result_id") -> DataFrame:
+    """Makes versions active, each instead of the others of its group. rows: (by, key, is_active, ...); asked: (key, turn): of several for one group the last turn wins, then the greater key.
+
+    Ids that are not there change nothing; groups that nobody asked for keep their flags. One merge on the group's key."""
+    now = rows.withColumn("_g", F.to_json(F.struct(*by)))
+    chosen = now.select("_g", key).join(asked.select(key, "turn"), key).groupBy("_g").agg(F.max(F.struct("turn", key)).alias("_on"))
+    out = now.join(chosen, "_g", "left").withColumn("is_active", F.when(F.col("_on").isNotNull(), F.col(key) == F.col(f"_on.{key}")).otherwise(F.col("is_active")))
+    return out.select(*rows.columns)
+
+
+def save_versions(rows: DataFrame, new: DataFrame, by: tuple[str, ...] = ("document_id", "strategy"), key: str = "result_id") -> DataFrame:
+    """Versions after new results were saved. rows: (by, key, params, version, previous_id, is_active); new: (by, key, params), one row a group.
+
+    A result whose parameters changed none or a little against the group's active version takes its place, with its number and what came before it. Any other becomes the next version and
+    the active one, and the version before it is the one that was active. One full merge on the group's key; null group keys are groups too."""
+    group = F.to_json(F.struct(*by))
+    now, come = rows.withColumn("_g", group), new.select(group.alias("_g"), *[F.col(c).alias(f"_{c}") for c in (*by, key, "params")])
+    state = now.groupBy("_g").agg(F.max("version").alias("_last"), F.max_by(F.struct("version", key, "params", "previous_id"), F.when(F.col("is_active"), F.col("version"))).alias("_was"))
+    merged = come.join(state, "_g", "left").withColumn("_small", F.coalesce(parameter_change(F.col("_was.params"), F.col("_params")) != "major", F.lit(False)))
+    kept = now.join(merged.select("_g", "_small", F.col(f"_was.{key}").alias("_old"), F.lit(True).alias("_met")), "_g", "left")
+    kept = kept.filter(~(F.coalesce("_small", F.lit(False)) & F.col(key).eqNullSafe(F.col("_old"))))
+    kept = kept.withColumn("is_active", F.col("is_active") & F.col("_met").isNull()).select(*rows.columns)
+    version = F.when(F.col("_small"), F.col("_was.version")).otherwise(F.coalesce("_last", F.lit(0)) + 1)
+    before = F.when(F.col("_small"), F.col("_was.previous_id")).otherwise(F.col(f"_was.{key}"))
+    added = merged.select(*[F.col(f"_{c}").alias(c) for c in by], F.col(f"_{key}").alias(key), F.col("_params").alias("params"), version.cast("long").alias("version"), before.alias("previous_id"), F.lit(True).alias("is_active"))
+    return kept.unionByName(added.select(*rows.columns))
 
 
 def duplicates_to_drop(rows: DataFrame, by: list[str], when: str = "created_at", tie: str = "result_id") -> DataFrame:

@@ -19,6 +19,31 @@ def validate_query(text: Column, most: int = 2000) -> Column:
     return F.struct(F.when(error.isNull(), t).alias("query"), error.alias("error"))
 
 
+def parse_enhancement(answer: Column, query: Column) -> Column:
+    """struct(rewritten, is_complex, sub_queries, all_queries, parsed) of what a model answered on a query: a JSON object with rewritten_query, is_complex and sub_queries, possibly in a code fence.
+
+    Any failure (no JSON, no object, a rewritten query that is no text) leaves the query alone, and so does an empty one. A query that is not complex has no sub-queries; of a list only texts
+    count, stripped, and not empty ones. is_complex is true unless it is missing, null, false, 0 or empty. A repeated key counts as a failure."""
+    lines = F.split(T.strip(answer), "\n")
+    fenced = T.strip(F.element_at(lines, -1)) == "```"
+    inner = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1 - F.when(fenced & (F.size(lines) > 1), 1).otherwise(0), F.lit(0))), "\n")
+    v = F.try_parse_json(F.when(T.strip(answer).startswith("```"), inner).otherwise(T.strip(answer)))
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    part = lambda name: F.try_variant_get(v, f"$.{name}", "variant")
+    said = part("rewritten_query")
+    good = kind(v).startswith("OBJECT") & (said.isNull() | (kind(said) == "STRING"))
+    text = T.strip(F.coalesce(F.try_variant_get(said, "$", "string"), F.lit("")))
+    rewritten = F.when(F.coalesce(good, F.lit(False)) & (text != ""), text).otherwise(query)
+    flag = part("is_complex")
+    plain = F.coalesce(F.try_variant_get(flag, "$", "string"), F.lit(""))
+    empty = F.when(kind(flag) == "BOOLEAN", plain == "false").when(kind(flag) == "STRING", plain == "").when(kind(flag).rlike("^(ARRAY|OBJECT)"), F.to_json(flag).isin("[]", "{}")).otherwise(F.coalesce(plain.try_cast("double"), F.lit(0.0)) == 0)
+    is_complex = F.coalesce(good, F.lit(False)) & ~empty
+    listed = F.transform(F.filter(F.try_variant_get(part("sub_queries"), "$", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "STRING"), lambda x: T.strip(F.variant_get(x, "$", "string")))
+    none = F.array().cast("array<string>")
+    subs = F.when(is_complex, F.coalesce(F.filter(listed, lambda x: x != ""), none)).otherwise(none)
+    return F.struct(rewritten.alias("rewritten"), is_complex.alias("is_complex"), subs.alias("sub_queries"), F.concat(F.array(rewritten), subs).alias("all_queries"), F.coalesce(good, F.lit(False)).alias("parsed"))
+
+
 def search_modes(requests: DataFrame, statistics: DataFrame, key: str = "index_id", requested: str = "mode") -> DataFrame:
     """Adds search_mode to requests: dense_only where it was asked for, or where an index has no row in `statistics`; else hybrid. A null index has none."""
     known = statistics.select(F.col(key).alias("_known")).distinct()
