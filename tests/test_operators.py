@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import analysis, chunking, dense, headings, index_maintenance, metadata, retrieval, sparse
-from siltstone.sources import files, html, office
+from siltstone.sources import files, html, loading, office
 
 
 @pytest.mark.parametrize(("n", "spans"), [(500, [(0, 500)]), (501, [(0, 500), (450, 501)]), (950, [(0, 500), (450, 950)]), (1200, [(0, 500), (450, 950), (900, 1200)]), (0, [])])
@@ -170,7 +170,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("h,i\n1,\n2,b\n")
     assert sorted(r["text"] for r in files.scan_csv(spark, str(tmp_path / "a.csv")).collect()) == ["h: 1 | i: ", "h: 2 | i: b"]
     (tmp_path / "a.txt").write_text("one\ntwo\nthree")
-    assert files.scan_text(spark, str(tmp_path / "a.txt")).first()["line_count"] == 3
+    assert loading.scan_text(loading.binary_files(spark, str(tmp_path / "a.txt"))).first()["line_count"] == 3
 
 
 def test_content_hash(spark):
