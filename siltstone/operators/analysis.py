@@ -7,17 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.domains import CHINESE, DOMAINS, ENGLISH
 
-# Domains in order, with their English keywords. Other languages' keywords are a parameter of `keyword_table`.
-DOMAINS = ("technical", "legal", "medical", "financial", "academic", "news")
-KEYWORDS = {
-    "technical": "code, function, variable, class, interface, api, database, server, algorithm, programming, development, software, system, architecture, deploy, test, config, parameter, module, component, framework, library, dependency, version, debug, log, error, exception, performance, optimize, cache, concurrent",
-    "legal": "contract, clause, agreement, legal, law, regulation, right, obligation, liability, breach, compensation, arbitration, litigation, judgment, evidence, party, execute, effective, terminate, confidential, intellectual property, copyright",
-    "medical": "patient, diagnosis, treatment, symptom, drug, surgery, medical record, examination, test, doctor, nurse, hospital, outpatient, inpatient, prescription, dosage, side effect, contraindication, pathology, clinical, recovery, care, disease",
-    "financial": "stock, fund, bond, investment, return, risk, asset, liability, profit, loss, financial, statement, audit, tax, loan, interest rate, exchange rate, transaction, account, settlement, financing, valuation, market cap, dividend",
-    "academic": "research, paper, experiment, data, analysis, conclusion, hypothesis, method, theory, model, sample, variable, statistic, significant, correlation, citation, reference, abstract, keyword, result, discussion, review, academic",
-    "news": "report, reporter, news, press, release, statement, interview, scene, event, happen, according, source, said, noted, revealed, announced, expected, analyst, insider, today, yesterday, breaking",
-}
 # Base chunk size and overlap by format, and multipliers and bounds by length.
 FORMATS = {"csv": (500, 0), "xlsx": (500, 0), "xls": (500, 0), "json": (600, 0), "pdf": (800, 150), "docx": (800, 150), "doc": (800, 150), "txt": (600, 100), "md": (600, 100), "html": (700, 100), "htm": (700, 100), "pptx": (400, 50), "ppt": (400, 50), "default": (600, 100)}
 LENGTHS = {"short": (0.6, 0.5, 150, 500), "medium": (1.0, 1.0, 200, 1500), "long": (1.5, 1.5, 300, 2000)}
@@ -161,20 +152,34 @@ def language_shares(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keyword_table(extra: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
-    """(domain, keyword); `extra` adds keywords, for instance of other languages."""
-    rows = [(d, k.strip()) for d in DOMAINS for k in KEYWORDS[d].split(",")] + [(d, k.lower()) for d, ks in (extra or {}).items() for k in ks]
+    """(domain, keyword), Chinese before English; `extra` adds keywords, for instance of other languages."""
+    rows = [(d, k) for d in DOMAINS for k in CHINESE[d] + ENGLISH[d]] + [(d, k.lower()) for d, ks in (extra or {}).items() for k in ks]
     return list(dict.fromkeys(rows))
 
 
-def classify_domain(df: DataFrame, text: str = "text", extra: dict[str, list[str]] | None = None) -> DataFrame:
-    """Adds domain, confidence and hits. A domain's score is the number of its keywords that occur in the text; p = score / all; fewer than two hits lower the
-    confidence by 0.7; at most 0.95; ties by domain order; without a hit general, 0.5. Counted in the row: no join."""
-    low = F.lower(F.col(text))
+def keyword_hits(low: Column, extra: dict[str, list[str]] | None = None) -> dict[str, Column]:
+    """For each domain, how many of its keywords a lower-case text has."""
     by: dict[str, list[str]] = {}
     for d, k in keyword_table(extra):
         by.setdefault(d, []).append(k)
-    count = lambda ks: F.aggregate(F.array(*[F.lit(k) for k in ks]), F.lit(0), lambda s, k: s + F.col("_low").contains(k).cast("int"))
-    out = df.withColumn("_low", low).select("*", *[count(ks).alias(f"_{d}") for d, ks in by.items()]).drop("_low")
+    return {d: F.aggregate(F.array(*[F.lit(k) for k in ks]), F.lit(0), lambda s, k: s + low.contains(k).cast("int")) for d, ks in by.items()}
+
+
+def domain_shares(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep, domain, share): the domains with a keyword in the text by their share of the hits, and general, which counts a tenth of all beside them; a text without hits is half general."""
+    hits = keyword_hits(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    x = df.select(*keep, F.map_from_arrays(F.array(*[F.lit(d) for d in hits]), F.array(*hits.values())).alias("_n"))
+    total = F.aggregate(F.map_values("_n"), F.lit(0), lambda s, n: s + n)
+    named = F.transform(F.filter(F.map_entries("_n"), lambda e: e["value"] > 0), lambda e: F.struct(e["key"].alias("domain"), F.round(e["value"] / F.col("_total") / 1.1, 6).alias("share")))
+    other = F.struct(F.lit("general").alias("domain"), F.when(F.col("_total") == 0, 0.5).otherwise(F.round(F.lit(0.1) / 1.1, 6)).alias("share"))
+    return x.withColumn("_total", total).select(*keep, F.inline(F.concat(named, F.array(other))))
+
+
+def classify_domain(df: DataFrame, text: str = "text", extra: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds domain, confidence and hits. A domain's score is the number of its keywords that occur in the text; p = score / all; fewer than two hits lower the
+    confidence by 0.7; at most 0.95; ties by domain order; without a hit general, 0.5. Counted in the row: no join."""
+    by = keyword_hits(F.col("_low"), extra)
+    out = df.withColumn("_low", F.lower(F.col(text))).select("*", *[n.alias(f"_{d}") for d, n in by.items()]).drop("_low")
     total, best = sum((F.col(f"_{d}") for d in by), F.lit(0)), F.greatest(*[F.col(f"_{d}") for d in by])
     pick = F.when(total == 0, "general")
     for d in by:

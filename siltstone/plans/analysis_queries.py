@@ -120,6 +120,7 @@ QUERIES = {
     "feature_distance": neighbour_distances,
     "detect_language": languages,
     "detect_language_aggregate": chunk_language,
+    "domain_shares": lambda s, d: A.domain_shares(documents(s, d)),
     "classify_domain": domains,
     "document_analysis": lambda s, d: analysed(s, d).drop("char_count"),
     "feature_vector": lambda s, d: vector(s, d).select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x")),
@@ -227,6 +228,8 @@ ORACLE = {
     "line_uniformity": f"SELECT doc_id, CASE WHEN len(n) < 3 OR m < 10 THEN 0 ELSE round(greatest(0, least(1, 1 - sqrt(list_sum(list_transform(n, lambda x: (x - m) * (x - m))) / len(n)) / m)), 3) END::DOUBLE AS uniformity FROM (SELECT doc_id, n, list_sum(n) / len(n) AS m FROM (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: {strip_sql('x')} <> '')[1:50], lambda x: length(x)) AS n FROM documents))",
     "detect_language": f"WITH {lang('documents')} SELECT doc_id, language, round(confidence, 6) AS confidence, round(zh, 6) AS zh, round(ja, 6) AS ja, round(ko, 6) AS ko, round(en, 6) AS en FROM l",
     "detect_language_aggregate": f"WITH {CHUNKS}, {lang('(SELECT doc_id, content AS text FROM chunks)')}, s AS (SELECT doc_id, 'zh' AS lang, sum(zh) AS p FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'ja', sum(ja) FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'ko', sum(ko) FROM l GROUP BY 1 UNION ALL SELECT doc_id, 'en', sum(en) FROM l GROUP BY 1) SELECT doc_id, lang AS language, round(p / t, 6) AS confidence FROM (SELECT *, sum(p) OVER (PARTITION BY doc_id) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, lang DESC) AS r FROM s WHERE p > 0) WHERE r = 1",
+    "domain_shares": f"""WITH h AS ({' UNION ALL '.join(f"SELECT doc_id, '{x}' AS domain, " + ' + '.join(f"contains(lower(coalesce(text, '')), '{k}')::INTEGER" for y, k in A.keyword_table() if y == x) + ' AS n FROM documents' for x in A.DOMAINS)}), t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id) AS total FROM h)
+SELECT doc_id, domain, round(n / total / 1.1::DOUBLE, 6) AS share FROM t WHERE n > 0 UNION ALL SELECT DISTINCT doc_id, 'general', CASE WHEN total = 0 THEN 0.5 ELSE round(0.1::DOUBLE / 1.1::DOUBLE, 6) END FROM t""",
     "classify_domain": f"WITH {domain_sql()} SELECT doc_id, domain, confidence, hits FROM dm",
     "document_analysis": f"WITH {AN} SELECT * FROM an",
     "feature_vector": f"WITH {FV} SELECT doc_id, i, round(x, 6) AS x FROM fv",
