@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm.common import small_batches
+
 #: Transitions that a worker keeps before it starts afresh; pieces and words that it remembers.
 TRANSITIONS, PIECES, WORDS = 500_000, 100_000, 1_000_000
 #: Bytes from which a piece makes no states; its certain tokens are let go that often.
@@ -446,6 +448,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text:
             yield pd.DataFrame({id_col: p[id_col], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b} | ({"token_ids": t} if keep_ids else {}))
 
     kind = df.schema[id_col].dataType.simpleString()
+    small_batches(df.sparkSession)
     return df.select(id_col, text).mapInPandas(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{ids_type}")
 
 

@@ -21,7 +21,7 @@ from siltstone.llm.textvec import code_points, word_hashes
 
 #: Code points of a passage; labelled documents to learn from, at most; hidden and attention units; training rounds.
 WIDTH, DOCUMENTS, HIDDEN, GATES, EPOCHS = 512, 4000, 24, 12, 40
-#: Passages of one document to learn from, at most: evenly spaced over its whole text. Scores use all passages.
+#: Rows of one document to learn from, at most: a longer text's passages are averaged in so many even runs, so that each of them counts. Scores use the passages themselves.
 PASSAGES = 64
 THRESHOLD = 0.7
 LAGS = (1, 2, 3, 5, 8)
@@ -64,6 +64,14 @@ def passages(text: str | None) -> np.ndarray:
     return np.hstack([np.sqrt(ones), np.sqrt(twos), again]).astype(np.float32)
 
 
+def pooled(x: np.ndarray, most: int = PASSAGES) -> np.ndarray:
+    """At most `most` rows: the means of even runs of the rows of `x`, none of which is left out."""
+    if len(x) <= most:
+        return x
+    edges = np.linspace(0, len(x), most + 1).astype(int)
+    return (np.add.reduceat(x.astype(np.float64), edges[:-1]) / np.diff(edges)[:, None]).astype(np.float32)
+
+
 @dataclass
 class Model:
     mean: np.ndarray
@@ -131,10 +139,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS) -> Model:
     """Learn from at most `documents` documents that have a label (labels: doc_id, quality 0 or 1; of several labels of a document the least
-    counts; others are ignored). Of several rows of a document that with the least text hash counts. Only PASSAGES encoded passages of each reach the driver.
+    counts; others are ignored). Of several rows of a document that with the least text hash counts. At most PASSAGES encoded rows of each reach the driver (see `pooled`).
 
     Null texts are empty; null ids and labels teach nothing; without a label every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = bounded_ids(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", documents)
 
@@ -143,10 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENTS) -> Mod
         for p in parts:
             out = []
             for t in p["text"]:
-                x = passages(t)
-                if len(x) > PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, PASSAGES).astype(int)]
-                out.append(x.astype(np.float16).tobytes())
+                out.append(pooled(passages(t)).astype(np.float16).tobytes())
             yield pd.DataFrame({"doc_id": p["doc_id"], "quality": p["quality"], "rows": out})
 
     # at most `documents` rows of ids and labels are broadcast

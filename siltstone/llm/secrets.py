@@ -11,6 +11,7 @@ Positions are code points, ends exclusive. They come from the pieces between mat
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from siltstone.llm.common import set_aside, workdir
 
 @dataclass(frozen=True)
 class Rule:
-    """kind: its name in spans. pattern: a regular expression, read alike by Java and RE2. probe: a cheap pattern that every text with
+    """kind: its name in spans. pattern: a regular expression; (?i) folds ASCII letters alone, as in Java. probe: a cheap pattern that every text with
     a match has. group, least: the group whose length must reach `least`, else the match is dropped (it still consumes text)."""
 
     kind: str
@@ -162,8 +163,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[n(k) for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def _spelled(pattern: str) -> str:
+    """A pattern that begins with (?i), with each of its ASCII letters outside classes and escapes as a class of both cases: SQL's engine would fold letters beyond ASCII too."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    return re.sub(r"\\x[0-9a-f]{2}|\\.|\[[^\]]*\]|[a-z]", lambda m: m[0] if len(m[0]) > 1 else f"[{m[0].upper()}{m[0]}]", pattern[4:])
+
+
 def _sql() -> str:
-    q = lambda s: s.replace("'", "''")
+    q = lambda s: _spelled(s).replace("'", "''")
     parts = []
     for i, r in enumerate(RULES):
         parts.append(f"""
