@@ -132,6 +132,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE
     return got.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def _nearest(ids: np.ndarray, c: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The ids of the n nearest rows of `c` by cosine (to 6 places; ties to the smaller id) for each row of `v`."""
+    norm = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
+    raw = v @ c.T
+    s = np.round(np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0), 6)
+    return ids[np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n]]
+
+
+#: Lists of an inverted index at most: their centroids go to every task.
+LISTS = 4096
+
+
+def in_lists(vectors: DataFrame, centroids: DataFrame, n: int = 1, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """`vectors` (key, vector) with the lists they belong to: a row for each of the n nearest centroids (list, c), at most LISTS of them. Nothing is shuffled."""
+    rows = centroids.select(F.col("list").cast("long").alias("list"), "c").limit(LISTS + 1).collect()
+    if len(rows) > LISTS:
+        raise ValueError(f"more than {LISTS} lists")
+    ids, c = np.array([r["list"] for r in rows], dtype=np.int64), np.array([r["c"] for r in rows], dtype=np.float64)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p) and len(ids):
+                near = _nearest(ids, c, np.array(p[vector].tolist(), dtype=np.float64), n)
+                yield pd.DataFrame({key: np.repeat(p[key].to_numpy(), near.shape[1]), "list": near.ravel(), vector: p[vector].repeat(near.shape[1]).to_numpy()})
+
+    return vectors.select(key, vector).mapInPandas(run, f"{key} long, list long, {vector} array<double>")
+
+
+def inverted_search(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, probes: int = 16, metric: str = "COSINE", part: int = PIECE) -> DataFrame:
+    """(query_id, vec_id, score, rank): approximate top k by an inverted index: vectors lie in the list of their nearest centroid, and a query reads the `probes` lists nearest to it.
+
+    Scores of what is read are exact. Lists with more than about `part` vectors are dealt to parts, each of which meets the list's queries, so no list is one task."""
+    held = in_lists(vectors, centroids)
+    sizes = held.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
+    sizes = F.broadcast(sizes)  # a row for each list, at most LISTS
+    held = held.join(sizes, "list").withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.col("_parts")).cast("int")).drop("_parts")
+    asked = in_lists(queries.select("query_id", F.col("q").alias("embedding")), centroids, probes, "query_id").withColumnRenamed("embedding", "q")
+    asked = asked.join(sizes, "list").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
+        q = np.array(left["q"].tolist(), dtype=np.float64)
+        return pd.concat(list(_best(left["query_id"].to_numpy(), q, right, k, metric, [])), ignore_index=True)
+
+    got = asked.groupBy("list", "_part").cogroup(held.groupBy("list", "_part")).applyInPandas(meet, "query_id long, vec_id long, score double")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return got.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+
+
 def validate(vectors: DataFrame, dims: tuple[int, ...] = (DIM,), least: float = 1e-8) -> DataFrame:
     """(vec_id, dim, problem): null where a vector has an allowed length, finite components and is not zero."""
     e = F.col("embedding")

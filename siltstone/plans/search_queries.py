@@ -107,10 +107,10 @@ def neighbours(s, d):
 
 
 def recall(s, d):
-    """Exact search against search over components cut to steps of 1/16 (a scalar-quantised index)."""
+    """Share of the exact top 10 that an inverted index finds: a list for every 25th vector (its centroid), a query reads the 4 nearest."""
+    centroids = vecs(s, d).filter("vec_id % 25 = 0 AND vec_id < 25 * 4096").select(F.col("vec_id").alias("list"), F.col("embedding").alias("c"))
     exact = D.search(vecs(s, d), vec_queries(s, d), 10).select("query_id", "vec_id")
-    coarse = vecs(s, d).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x.cast("double") * 16) / 16))
-    approx = D.search(coarse, vec_queries(s, d), 10).select("query_id", "vec_id")
+    approx = D.inverted_search(vecs(s, d), vec_queries(s, d), centroids, 10, 4).select("query_id", "vec_id")
     hit = exact.join(approx, ["query_id", "vec_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return vec_queries(s, d).select("query_id").join(hit, "query_id", "left").select("query_id", F.round(F.coalesce("n", F.lit(0)) / 10.0, 6).alias("recall"))
 
@@ -278,7 +278,11 @@ ORACLE = {
     "multi_collection_merge_score": f"WITH {PER} SELECT query_id, label AS collection, vec_id, score, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS merged_rank FROM per) WHERE merged_rank <= 10",
     "multi_collection_round_robin": f"WITH {PER} SELECT query_id, label AS collection, vec_id, score, merged_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, label) AS merged_rank FROM per) WHERE merged_rank <= 10",
     "list_collections": "SELECT 'c' || label AS collection, count(*) AS vectors, count(DISTINCT vec_id % 37) AS documents, bool_or(vec_id % 2 = 0) AS has_sparse, min(len(embedding))::BIGINT AS dim, max(vec_id) AS created FROM embeddings GROUP BY label",
-    "recall_at_k": f"WITH e AS ({searched(10)}), a AS ({searched(10, candidate='list_transform(embedding, lambda x: floor(x::DOUBLE * 16) / 16)::DOUBLE[]')}) SELECT q.vec_id AS query_id, round(count(a.vec_id) / 10.0::DOUBLE, 6) AS recall FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id LEFT JOIN a ON a.query_id = e.query_id AND a.vec_id = e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1",
+    "recall_at_k": f"""WITH e AS ({searched(10)}), c AS (SELECT vec_id AS list, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id % 25 = 0 AND vec_id < 102400),
+n AS (SELECT vec_id, list, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 6) DESC, list) AS turn FROM embeddings, c),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, x.vec_id, round((list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]) + 1) / 2, 6) AS score
+  FROM embeddings q JOIN n p ON p.vec_id = q.vec_id AND p.turn <= 4 AND q.vec_id % 50 = 0 JOIN n h ON h.list = p.list AND h.turn = 1 JOIN embeddings x ON x.vec_id = h.vec_id)) WHERE rank <= 10)
+SELECT q.vec_id AS query_id, round(count(a.vec_id) / 10.0::DOUBLE, 6) AS recall FROM embeddings q LEFT JOIN e ON e.query_id = q.vec_id LEFT JOIN a ON a.query_id = e.query_id AND a.vec_id = e.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""",
     "rrf_fuse": f"WITH {RRF} SELECT query_id, chunk_id, rrf_score, rank FROM fused WHERE rank <= 20",
     "hybrid_search": f"WITH {RRF} SELECT query_id, chunk_id, rrf_score, rank FROM fused WHERE rank <= 10",
     "search_simple": f"WITH {RRF} SELECT query_id, chunk_id, rank, substring(text, 1, 200) AS summary, format('{{:.2f}}', rrf_score * 100) || '%' AS percent FROM fused JOIN texts USING (chunk_id) WHERE rank <= 10",

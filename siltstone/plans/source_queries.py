@@ -106,6 +106,8 @@ def tree(s, d):
 
 QUERIES = {
     "html_to_markdown": lambda s, d: html.html_to_markdown(pages(s, d)),
+    "html_structured_text": lambda s, d: html.html_structured_text(order_pages(s, d)),
+    "html_table_to_markdown": lambda s, d: html.html_to_markdown(order_pages(s, d)),
     "html_plain_text": lambda s, d: html.html_plain_text(pages(s, d)),
     "html_headings": lambda s, d: html.html_headings(pages(s, d)),
     "html_h1": lambda s, d: pages(s, d).select("page_id", F.regexp_count("html", F.lit("(?i)<h1[ >]")).cast("long").alias("n")),
@@ -168,6 +170,8 @@ ORACLE = {
     "scan_docx": office_sql("'Orders.' || chr(10) || chr(10) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)", "text", "NULL", True),
     "scan_xlsx": office_sql("'Sheet: orders' || chr(10) || 'key' || chr(9) || 'status' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(10), '' ORDER BY o_orderkey)", "text", "'orders'", True),
     "scan_pptx": office_sql("'Slide 1:' || chr(10) || 'Orders.' || chr(10) || string_agg(o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey)", "substring(text, 10)", "NULL", False),
+    "html_structured_text": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '', '[IMAGE_1: Portrait]', '', 'Portrait', 'Orders', 'key', 'status', string_agg(o_orderkey || chr(10) || o_orderstatus, chr(10) ORDER BY o_orderkey), 'End.', '') AS text FROM orders GROUP BY 1""",
+    "html_table_to_markdown": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '[IMAGE_1: Portrait]', '', 'Portrait', '', '| key | status |', '| --- | --- |', string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey), '', 'End.') AS markdown FROM orders GROUP BY 1""",
     "html_tables": "SELECT o_custkey AS page_id, 'key|status' AS headers, string_agg(o_orderkey || '|' || o_orderstatus, ';' ORDER BY o_orderkey) AS rows, 'Orders' AS caption FROM orders GROUP BY 1",
     "html_images": "SELECT DISTINCT o_custkey AS page_id, 'c' || o_custkey || '.png' AS src, 'Customer' AS alt, 'Portrait' AS caption FROM orders",
     "extract_tables_md": """WITH t AS (SELECT o_custkey AS page_id, count(*) AS n, '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)

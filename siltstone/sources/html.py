@@ -94,65 +94,87 @@ def title(root: Node) -> str:
     return next((n.text() for n in root.walk() if n.tag == "title"), "")
 
 
-def to_markdown(root: Node) -> str:
-    """Title first, then the body: headings, paragraphs, lists, links (anchors within the page as text), emphasis, code, rules, image placeholders."""
-    out: list[str] = []
-    image = 0
+class Page:
+    """A parsed page whose pictures are numbered in order, to be rendered line by line. A form says what the lines of a tag are; tags without one give those of what they hold."""
 
-    def inline(n: Node) -> str:
-        nonlocal image
-        parts = []
-        for c in n.children:
-            if isinstance(c, str):
-                parts.append(re.sub(r"\s+", " ", c))
-            elif c.tag == "a":
-                label, href = inline(c).strip(), c.attrs.get("href") or ""
-                parts.append(f"[{label}]({href})" if label and href and not href.startswith("#") else label)
-            elif c.tag in ("b", "strong"):
-                parts.append(f"**{inline(c).strip()}**" if inline(c).strip() else "")
-            elif c.tag in ("i", "em"):
-                parts.append(f"*{inline(c).strip()}*" if inline(c).strip() else "")
-            elif c.tag == "code":
-                parts.append(f"`{c.text()}`")
-            elif c.tag == "br":
-                parts.append("\n")
-            elif c.tag == "img":
-                image += 1
-                parts.append(f"[IMAGE_{image}: {c.attrs.get('alt') or f'图片{image}'}]")
-            else:
-                parts.append(inline(c))
-        return "".join(parts)
+    def __init__(self, root: Node):
+        self.root = root
+        self.number = {id(n): i for i, n in enumerate(n for n in root.walk() if n.tag == "img")}
+        self.pictures = images(root)
 
-    def block(n: Node) -> None:
+    def mark(self, img: Node) -> str:
+        """Placeholder of a picture: what its caption says, else its alternative text, else its number."""
+        i = self.number[id(img)]
+        said = self.pictures[i]
+        return f"[IMAGE_{i + 1}: {said['caption'] or said['alt'] or f'图片{i + 1}'}]"
+
+    def lines(self, n: Node, forms: dict[str, Callable[[Page, Node], list[str] | None]]) -> Iterator[str]:
         for c in n.children:
             if isinstance(c, str):
                 if c.strip():
-                    out.append(c.strip())
-            elif re.fullmatch("h[1-6]", c.tag):
-                if c.text():
-                    out.extend(["", "#" * int(c.tag[1]) + " " + c.text(), ""])
-            elif c.tag in ("ul", "ol"):
-                items = [x for x in c.children if isinstance(x, Node) and x.tag == "li"]
-                out.extend(f"{f'{i}. ' if c.tag == 'ol' else '- '}{inline(x).strip()}" for i, x in enumerate(items, 1) if inline(x).strip())
-                out.append("")
-            elif c.tag == "pre":
-                out.extend(["", "```", "".join(c.strings()).strip("\n"), "```", ""])
-            elif c.tag == "hr":
-                out.extend(["", "---", ""])
-            elif c.tag == "table":
-                out.extend(["", table_markdown(*table(c)[:2]), ""])
-            elif c.tag in ("p", "a", "b", "strong", "i", "em", "code", "span", "img", "br"):
-                holder = Node("", {})
-                holder.children = [c] if c.tag != "p" else c.children
-                if text := inline(holder).strip():
-                    out.extend([text, ""] if c.tag == "p" else [text])
-            elif c.tag not in ("title", "head"):
-                block(c)
-
-    if t := title(root):
-        out.extend([f"# {t}", ""])
-    block(root)
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+                    yield c.strip()
+            elif c.tag not in ("head", "title"):
+                made = forms[c.tag](self, c) if c.tag in forms else None
+                yield from self.lines(c, forms) if made is None else made
+
+
+def _heading(_: Page, n: Node) -> list[str]:
+    return ["", f"{'#' * int(n.tag[1])} {n.text()}", ""] if n.text() else []
+
+
+def _items(n: Node) -> list[tuple[int, str]]:
+    """Places and texts of a list's own items; empty ones only count."""
+    own = [c.text() for c in n.children if isinstance(c, Node) and c.tag == "li"]
+    return [(i, t) for i, t in enumerate(own, 1) if t]
+
+
+def _paragraph(_: Page, n: Node) -> list[str] | None:
+    """A paragraph's plain text. One that holds pictures and no text gives their placeholders; one with neither gives nothing."""
+    if n.text():
+        return [n.text(), ""]
+    return None if any(c.tag == "img" for c in n.walk()) else []
+
+
+def _link(_: Page, n: Node) -> list[str]:
+    text, href = n.text(), n.attrs.get("href") or ""
+    return [f"[{text}]({href})" if href and not href.startswith("#") else text] if text else []
+
+
+def _marked(sign: str) -> Callable[[Page, Node], list[str]]:
+    return lambda _, n: [f"{sign}{n.text()}{sign}"] if n.text() else []
+
+
+def _code_block(_: Page, n: Node) -> list[str]:
+    code = next((c for c in n.walk() if c.tag == "code"), None)
+    return ["", "```", "".join(code.strings()), "```", ""] if code else []
+
+
+_HEADINGS = {f"h{i}": _heading for i in range(1, 7)}
+#: A table goes as a Markdown table, so that the chunkers find it.
+MARKDOWN = _HEADINGS | {
+    "img": lambda page, n: ["", page.mark(n), ""], "p": _paragraph, "a": _link, "b": _marked("**"), "strong": _marked("**"), "i": _marked("*"), "em": _marked("*"), "code": _marked("`"), "pre": _code_block,
+    "ul": lambda _, n: ["", *(f"- {t}" for _, t in _items(n)), ""], "ol": lambda _, n: ["", *(f"{i}. {t}" for i, t in _items(n)), ""],
+    "br": lambda *_: [""], "hr": lambda *_: ["", "---", ""], "table": lambda _, n: ["", table_markdown(*table(n)[:2]), ""],
+}
+STRUCTURED = _HEADINGS | {
+    "img": lambda page, n: ["", page.mark(n), ""], "p": lambda _, n: [n.text(), ""] if n.text() else [],
+    "ul": lambda _, n: ["", *(f"- {t}" for _, t in _items(n)), ""], "ol": lambda _, n: ["", *(f"1. {t}" for _, t in _items(n)), ""],
+}
+
+
+def _body(root: Node) -> Node:
+    return next((n for n in root.walk() if n.tag == "body"), root)
+
+
+def to_markdown(root: Node) -> str:
+    """Title first, then the body: headings, plain paragraphs and items, links (anchors within the page as text), emphasis, code, rules, tables, and placeholders for pictures. At most one empty line in a row."""
+    head = [f"# {t}", ""] if (t := title(root)) else []
+    return re.sub(r"\n{3,}", "\n\n", "\n".join([*head, *Page(root).lines(_body(root), MARKDOWN)])).strip()
+
+
+def structured_text(root: Node) -> str:
+    """The body's text with headings and lists marked and a placeholder at each picture's place; pictures inside paragraphs and items are left out."""
+    return "\n".join(Page(root).lines(_body(root), STRUCTURED))
 
 
 def headings(root: Node) -> list[dict]:
@@ -211,6 +233,10 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
     return _apply(pages, to_markdown, "string", "markdown").drop("html")
 
 
+def html_structured_text(pages: DataFrame) -> DataFrame:
+    return _apply(pages, structured_text, "string", "text").drop("html")
+
+
 def html_plain_text(pages: DataFrame) -> DataFrame:
     return _apply(pages, plain_text, "string", "text").drop("html")
 
