@@ -333,6 +333,22 @@ def index_level_hybrid(
     return S.top(x, "query_id", top_k, "chunk_id", "final_score").select("query_id", "rank", "chunk_id", "doc_id", "chunk_index", "text", "rrf_score", "reranker_score", "final_score", "search_mode")
 
 
+def list_indexes(store: Store) -> DataFrame:
+    """The store's collections with their place: most vectors first, then by name. A row a collection, so one task orders them."""
+    w = W.orderBy(F.desc("vectors"), "collection")
+    return store.collections().withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def find_matching_index(store: Store, requests: DataFrame, key: str = "event_id") -> DataFrame:
+    """requests (key, dimension, metric) with the collection that fits: of that dimension and metric (null: any), with most vectors, then first by name; null where none fits."""
+    known = store.collections().select("collection", "index_name", "vectors", F.col("dimension").alias("_d"), F.col("metric").alias("_m"))
+    # few collections: a row for each dimension and metric, and for each dimension alone
+    best = lambda *by: known.groupBy(*by).agg(F.min(F.struct((-F.col("vectors")).alias("n"), "collection", "index_name")).alias("_b"))
+    table = best("_d", "_m").unionByName(best("_d").withColumn("_m", F.lit("*")))
+    met = requests.join(table, (F.col("dimension") == F.col("_d")) & (F.coalesce("metric", F.lit("*")) == F.col("_m")), "left")
+    return met.select(*requests.columns, F.col("_b.collection").alias("collection"), F.col("_b.index_name").alias("index_name"))
+
+
 #: Limits of the layers for queries on a single topic: the cap of the score bound, and rows of a document.
 SINGLE_CAP, SINGLE_ROWS = 0.45, 3
 

@@ -196,6 +196,25 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.round(F.size(F.array_intersect(q, T.tokens(text))) / F.size(q), 6))
 
 
+def context_items(found: DataFrame, least: float = 0.3, text: str = "text", name: str = "name", by: str = "query_id", score: str = "score", place: str = "place") -> DataFrame:
+    """Search results as the context of an answer: rows of at least `least` in order, numbered anew from 1, with content, similarity and source_file (来源 and the number where a row has no name).
+
+    A null text is empty and a null score 0."""
+    # Fixed value: the name of a nameless source.
+    x = found.withColumn("similarity", F.coalesce(score, F.lit(0.0))).filter(F.col("similarity") >= least)
+    x = x.withColumn("index", F.row_number().over(W.partitionBy(by).orderBy(place)).cast("long"))
+    named = F.coalesce(F.when(F.col(name) != "", F.col(name)), F.concat(F.lit("来源 "), F.col("index").cast("string")))
+    return x.select(by, "index", named.alias("source_file"), "similarity", F.coalesce(text, F.lit("")).alias("content"), "chunk_id")
+
+
+def prompt_of(items: DataFrame, by: str = "query_id", query: str = "query") -> DataFrame:
+    """(by, prompt, sources, files) of context items with their query: numbered contents with their sources, and the question after them. A query's items are bounded by its search."""
+    # The labels.
+    line = F.concat(F.lit("["), F.col("index").cast("string"), F.lit("] "), F.col("content"), F.lit("\n来源："), F.col("source_file"))
+    g = items.groupBy(by, query).agg(F.sort_array(F.collect_list(F.struct("index", line.alias("line"), "source_file"))).alias("_l"), F.count(F.lit(1)).alias("sources"))
+    return g.select(by, F.concat(F.array_join("_l.line", "\n\n"), F.lit("\n\n问题："), F.col(query)).alias("prompt"), "sources", F.col("_l.source_file").alias("files"))
+
+
 def pack_context(items: DataFrame, budget: Column, by: str = "query_id", order: str = "rank", tokens: str = "tokens") -> DataFrame:
     """The longest prefix of each ranked list that fits the token budget: packing stops at the first item that does not."""
     w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)

@@ -43,7 +43,6 @@ QUERIES = {
     "contextual_prefix": lambda s, d: I.contextual_prefix(chunks(s, d).select("chunk_id", "content"), contexts(s, d)),
     "multimodal_text": kinds,
     "sanitize_stats": lambda s, d: table(s, d, "events").select("event_id", F.round(I.finite(F.col("value") / F.nullif(F.col("value") - F.floor("value"), F.lit(0.0))), 3).alias("ratio")),
-    "find_matching_index": lambda s, d: index(s, d).groupBy("label").agg(F.count(F.lit(1)).alias("vectors")).filter("vectors >= 40").select("label", "vectors"),
 }
 
 IX = "ix AS (SELECT vec_id, label::BIGINT AS label, vec_id % 37 AS doc_id FROM embeddings), nw AS (SELECT vec_id + 250 AS vec_id, label + 100 AS label, doc_id FROM ix WHERE vec_id % 5 = 0)"
@@ -59,5 +58,4 @@ SELECT n AS chunk_id, CASE WHEN chunk_index % 4 <> 3 AND n % 7 <> 0 AND t <> ''
     "contextual_prefix": f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN chunk_index % 2 = 0 THEN 'part ' || chunk_index || chr(10) || content ELSE content END AS content FROM chunks",
     "multimodal_text": f"WITH {CHUNKS} SELECT chunk_id, CASE chunk_index % 4 WHEN 0 THEN '[图片] ' || substring(content, 1, 150) WHEN 1 THEN '[表格] ' || content WHEN 2 THEN '[代码] ' || content ELSE content END AS text FROM chunks",
     "sanitize_stats": "SELECT event_id, round(coalesce(value / nullif(value - floor(value), 0), 0), 3) AS ratio FROM events",
-    "find_matching_index": f"WITH {IX} SELECT label, count(*) AS vectors FROM ix GROUP BY label HAVING count(*) >= 40",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import index_store as X
+from siltstone.operators import retrieval as R
 from siltstone.operators import sparse as S
 from siltstone.operators.storage import shared_folder
 from siltstone.plans.common import questions, table, tokens_sql
@@ -25,14 +26,45 @@ def posted(s, d):
     return p.groupBy("term").agg(F.sum("n").alias("postings"), F.max("n").cast("long").alias("fullest_block"), F.max("most").alias("most"))
 
 
+_collections: dict[tuple, X.Store] = {}
+
+
+def two_collections(s, d) -> X.Store:
+    """A store with a collection for the vectors of even labels, as one model's, and one for the others; written once for a session and folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _collections:
+        store = X.Store(s, shared_folder(s, "collections"), buckets=2)
+        v = table(s, d, "embeddings")
+        for model, rest in (("Small-Model.v1", 0), ("Large-Model.v2", 1)):
+            collection = s.range(1).select(X.collection_of_model(F.lit(model)).alias("c")).first()["c"]
+            part = v.filter(F.col("label") % 2 == rest).select((F.col("vec_id") % 37).alias("doc_id"), F.col("vec_id").alias("chunk_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), "embedding")
+            store.build(collection, part, DIM, "cosine" if rest else "ip", model, sparse=False)
+        _collections[key] = store
+    return _collections[key]
+
+
 def created(s, d):
-    """A collection for the vectors of each label; labels are a few models' names here."""
-    store = X.Store(s, shared_folder(s, "collections"), buckets=2)
-    v = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 37).alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), "embedding", F.col("label") % 2 == 0)
-    for model, even in (("Small-Model.v1", True), ("Large-Model.v2", False)):
-        collection = s.range(1).select(X.collection_of_model(F.lit(model)).alias("c")).first()["c"]
-        store.build(collection, v.filter(v[v.columns[-1]] == even).select(*v.columns[:-1]), DIM, "cosine", model, sparse=False)
-    return store.collections().select("collection", "index_name", "dimension", "metric", "vectors", "documents", "has_sparse", "doc_count")
+    return two_collections(s, d).collections().select("collection", "index_name", "dimension", "metric", "vectors", "documents", "has_sparse", "doc_count")
+
+
+def listed(s, d):
+    return X.list_indexes(two_collections(s, d)).select("place", "collection", "index_name", "vectors")
+
+
+def matching(s, d):
+    """Events as requests for an index of some dimension and metric."""
+    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, 128).otherwise(64).alias("dimension"), F.when(F.col("event_id") % 2 == 0, "ip").when(F.col("event_id") % 5 > 0, "cosine").alias("metric"))
+    return X.find_matching_index(two_collections(s, d), e).select("event_id", "collection", "index_name")
+
+
+def answered(s, d):
+    """Context of every benchmark item from the composed search, with its sources, as a generator gets it."""
+    store, name = index(s, d)
+    found = X.composed_search(store, [name], questions(s, d), vectors(s, d), top_k=5)
+    texts = store.read("chunks", name).select("chunk_id", "text")
+    items = R.context_items(found.join(texts, "chunk_id").withColumn("name", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc "), F.col("doc_id").cast("string")))), 0.3, name="name")
+    g = R.prompt_of(items.join(questions(s, d), "query_id"))
+    return g.select("query_id", F.md5(F.encode("prompt", "UTF-8")).alias("prompt_md5"), "sources", F.array_join("files", "|").alias("files"))
 
 
 def rebuilt(s, d):
@@ -61,6 +93,9 @@ def composed(s, d):
 
 QUERIES = {
     "create_collection": created,
+    "list_indexes": listed,
+    "find_matching_index": matching,
+    "retrieve_then_generate": answered,
     "build_index_from_embedding": built,
     "index_postings": posted,
     "index_level_hybrid": lambda s, d: X.index_level_hybrid(*index(s, d), questions(s, d), vectors(s, d)).drop("text"),
@@ -74,20 +109,32 @@ CANDS = f"""{RRF}, cand AS (SELECT f.query_id, f.chunk_id, c.doc_id, c.chunk_ind
   FROM fused f JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = f.query_id WHERE f.rank <= 20)"""
 SINGLE = r"(length(q) <= 40 AND NOT regexp_matches(q, '对比|比较|区别|差异|不同|异同|优劣|哪个好|还是|vs|VS|versus|compare|difference') AND NOT regexp_matches(q, '.+和.+的|.+与.+的|.+以及.+|.+及.+的'))"
 
+LAYERED = f"""s AS (SELECT *, {SINGLE} AS single FROM (SELECT *, regexp_replace(query, '[ \\t\\n\\r\\f\\x0B]', '', 'g') AS q FROM cand)),
+t AS (SELECT *, row_number() OVER w AS final_rank, score < greatest(0.4, least(0.6 * max(score) OVER (PARTITION BY query_id), CASE WHEN single THEN 0.45 ELSE 0.5 END)) AS backfilled FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id)),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final_rank) AS r FROM t WHERE NOT backfilled OR final_rank <= 5),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS place FROM v WHERE r <= CASE WHEN single THEN 3 ELSE 2 END)"""
+TWO = """WITH c AS (SELECT CASE WHEN label % 2 = 0 THEN 'default_kb_small_model_v1_dim64' ELSE 'default_kb_large_model_v2_dim64' END AS collection,
+  CASE WHEN label % 2 = 0 THEN 'Small-Model.v1' ELSE 'Large-Model.v2' END AS index_name, CASE WHEN label % 2 = 0 THEN 'ip' ELSE 'cosine' END AS metric, count(*) AS vectors, count(DISTINCT vec_id % 37) AS documents
+FROM embeddings GROUP BY label % 2 = 0)"""
+
 ORACLE = {
-    "create_collection": """SELECT CASE WHEN label % 2 = 0 THEN 'default_kb_small_model_v1_dim64' ELSE 'default_kb_large_model_v2_dim64' END AS collection,
-  CASE WHEN label % 2 = 0 THEN 'Small-Model.v1' ELSE 'Large-Model.v2' END AS index_name, 64 AS dimension, 'cosine' AS metric, count(*) AS vectors, count(DISTINCT vec_id % 37) AS documents, false AS has_sparse, count(*) AS doc_count
-FROM embeddings GROUP BY label % 2 = 0""",
+    "create_collection": f"""{TWO} SELECT collection, index_name, 64 AS dimension, metric, vectors, documents, false AS has_sparse, vectors AS doc_count FROM c""",
+    "list_indexes": f"{TWO} SELECT row_number() OVER (ORDER BY vectors DESC, collection) AS place, collection, index_name, vectors FROM c",
+    "find_matching_index": f"""{TWO}, e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 128 ELSE 64 END AS dim, CASE WHEN event_id % 2 = 0 THEN 'ip' WHEN event_id % 5 > 0 THEN 'cosine' END AS metric FROM events),
+m AS (SELECT e.event_id, collection, index_name, row_number() OVER (PARTITION BY e.event_id ORDER BY vectors DESC, collection) AS r FROM e LEFT JOIN c ON e.dim = 64 AND (e.metric IS NULL OR e.metric = c.metric))
+SELECT event_id, collection, index_name FROM m WHERE r = 1""",
+    "retrieve_then_generate": f"""WITH {CANDS}, {LAYERED},
+i AS (SELECT p.query_id, p.place, p.doc_id, p.score, c.content, row_number() OVER (PARTITION BY p.query_id ORDER BY p.place) AS n FROM p JOIN chunks c USING (chunk_id) WHERE p.place <= 5 AND p.score >= 0.3),
+f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'doc ' || doc_id ELSE '来源 ' || n END AS name FROM i)
+SELECT f.query_id, md5(string_agg('[' || n || '] ' || content || chr(10) || '来源：' || name, chr(10) || chr(10) ORDER BY n) || chr(10) || chr(10) || '问题：' || b.text) AS prompt_md5, count(*) AS sources, string_agg(name, '|' ORDER BY n) AS files
+FROM f JOIN benchmark b ON b.item_id = f.query_id GROUP BY f.query_id, b.text""",
     "build_index_from_embedding": f"""WITH {FIT}, dh AS ({hashed_sql('texts', 'chunk_id', 'text')}), z AS (SELECT chunk_id FROM dh GROUP BY 1 HAVING bool_or(value <> 0)), w AS (SELECT chunk_id, count(*) AS terms, sum(weight::DECIMAL(18, 6))::DOUBLE AS weight FROM dw GROUP BY 1)
 SELECT c.chunk_id, c.doc_id, c.chunk_index, length(c.content)::BIGINT AS chars, coalesce(w.terms, 0)::BIGINT AS terms, coalesce(w.weight, 0)::DOUBLE AS weight,
   CASE WHEN z.chunk_id IS NULL THEN 0 ELSE 64 END::BIGINT AS dim FROM chunks c LEFT JOIN w USING (chunk_id) LEFT JOIN z ON z.chunk_id = c.chunk_id""",
     "index_postings": f"WITH {FIT} SELECT term, count(*) AS postings, least(count(*), {X.BLOCK})::BIGINT AS fullest_block, max(weight) AS most FROM dw GROUP BY term",
     "index_level_hybrid": f"""WITH {CANDS} SELECT query_id, rank, chunk_id, doc_id, chunk_index, rrf_score, score AS reranker_score, score AS final_score, 'hybrid' AS search_mode
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM cand) WHERE rank <= 5""",
-    "composed_search": f"""WITH {CANDS}, s AS (SELECT *, {SINGLE} AS single FROM (SELECT *, regexp_replace(query, '[ \\t\\n\\r\\f\\x0B]', '', 'g') AS q FROM cand)),
-t AS (SELECT *, row_number() OVER w AS final_rank, score < greatest(0.4, least(0.6 * max(score) OVER (PARTITION BY query_id), CASE WHEN single THEN 0.45 ELSE 0.5 END)) AS backfilled FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id)),
-v AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY final_rank) AS r FROM t WHERE NOT backfilled OR final_rank <= 5)
-SELECT query_id, place, chunk_id, doc_id, rrf_score, score, 'hybrid' AS search_mode, backfilled FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS place FROM v WHERE r <= CASE WHEN single THEN 3 ELSE 2 END) WHERE place <= 10""",
+    "composed_search": f"WITH {CANDS}, {LAYERED} SELECT query_id, place, chunk_id, doc_id, rrf_score, score, 'hybrid' AS search_mode, backfilled FROM p WHERE place <= 10",
     "bm25_rebuild": f"WITH {FIT.replace('FROM texts)', 'FROM texts WHERE doc_id % 3 <> 0)')} SELECT term, df, round(idf, 6) AS idf FROM vocab",
     "bm25_drop_ratio": f"""WITH {BM}, l AS (SELECT chunk_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, term) AS turn, count(*) OVER (PARTITION BY chunk_id) AS n FROM dw) WHERE turn <= n - floor(n * 0.2)),
 lb AS (SELECT query_id, chunk_id, round(sum(l.weight * qw.weight), 6) AS score FROM l JOIN qw USING (term) GROUP BY ALL),
