@@ -182,9 +182,9 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, days: int = 7
 
 
 def cache_evict(cache: DataFrame, most: int = 10_000, share: float = 0.1) -> DataFrame:
-    """What to drop when the cache has `most` entries or more: the `share` least recently used."""
-    n = cache.count()
-    return cache.orderBy("last_accessed", "cache_key").limit(int(n * share) if n >= most else 0)
+    """What to drop when the cache has `most` entries or more: the int(share * most) least recently used. So many rows at most meet in one task, however large the cache is."""
+    n = int(most * share) if cache.count() >= most else 0
+    return cache.orderBy("last_accessed", "cache_key").limit(n)
 
 
 def status_of(ok: Column, failed: Column) -> Column:

@@ -40,7 +40,7 @@ def analysed(s, d):
     f = features(s, d).select("doc_id", "table_count", "image_count", "char_count")
     lang = A.language_shares(documents(s, d)).select("doc_id", "language", F.round("confidence", 6).alias("language_confidence"))
     dom = domains(s, d).select("doc_id", "domain", F.col("confidence").alias("domain_confidence"))
-    return f.join(lang, "doc_id").join(dom, "doc_id").select("*", (F.col("image_count") > 0).alias("has_images"), (F.col("doc_id") % 5 == 0).alias("has_tables"))
+    return f.join(lang, "doc_id").join(dom, "doc_id").select("*", (F.col("image_count") > 0).alias("has_images"), (F.col("table_count") > 0).alias("has_tables"))
 
 
 def vector(s, d):
@@ -174,7 +174,7 @@ def domain_sql() -> str:
   round(CASE WHEN {total} = 0 THEN 0.5 ELSE least(0.95, {best} / ({total}) * CASE WHEN {best} < 2 THEN 0.7 ELSE 1 END) END, 6)::DOUBLE AS confidence, {best}::BIGINT AS hits FROM d0)"""
 
 
-AN = f"""{feat('documents')}, {lang('documents')}, {domain_sql()}, an AS (SELECT f.doc_id, table_count, image_count, language, round(l.confidence, 6) AS language_confidence, domain, dm.confidence AS domain_confidence, image_count > 0 AS has_images, f.doc_id % 5 = 0 AS has_tables
+AN = f"""{feat('documents')}, {lang('documents')}, {domain_sql()}, an AS (SELECT f.doc_id, table_count, image_count, language, round(l.confidence, 6) AS language_confidence, domain, dm.confidence AS domain_confidence, image_count > 0 AS has_images, table_count > 0 AS has_tables
 FROM f JOIN l USING (doc_id) JOIN dm USING (doc_id))"""
 FV = f"""{lang('documents')}, {domain_sql()}, fv AS (SELECT doc_id, unnest(range(0, 13)) AS i, unnest([zh, en, ja, ko, 0, {', '.join(f"CASE WHEN domain = '{n}' THEN dm.confidence ELSE 0 END" for n in ('general', *A.DOMAINS))}, 0]) AS x FROM l JOIN dm USING (doc_id))"""
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.storage import shared_folder
 from siltstone.plans.common import RUNS, documents, runs, spread, table
+from siltstone.sources import files
 from siltstone.sources import loading as L
 from siltstone.sources import sinks as K
 
@@ -68,7 +69,15 @@ def pictures(s, d):
     return out.select("path", "mime", "bytes", "store", F.length("data").cast("long").alias("data_chars"), "file_name")
 
 
+def uploads(s, d):
+    """Documents as files named by their source, the text repeated so that some are too large."""
+    end = F.element_at(F.array(*[F.lit(x) for x in (".PDF", ".md", ".exe", "", ".tar.gz", ".odt")]), (F.col("doc_id") % 6 + 1).cast("int"))
+    x = table(s, d, "documents").select("doc_id", F.concat(F.lit("in/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), end).alias("name"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") * F.when(F.col("doc_id") % 7 == 0, 100_000).when(F.col("doc_id") % 11 == 0, 0).otherwise(1)).alias("size"))
+    return x.select("doc_id", files.validate_upload(F.col("name"), F.col("size")).alias("problem"))
+
+
 QUERIES = {
+    "validate_upload": uploads,
     "sink_json": written,
     "list_result_files": newest,
     "sink_dual_write": dual,
@@ -81,6 +90,8 @@ NAMED = "'embedding_' || result_id || '_' || strftime(created_at, '%Y%m%d_%H%M%S
 UTF8 = "octet_length(encode(t))"
 
 ORACLE = {
+    "validate_upload": """WITH x AS (SELECT doc_id, doc_id % 6 AS k, (octet_length(encode(coalesce(text, ''))) * CASE WHEN doc_id % 7 = 0 THEN 100000 WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END)::BIGINT AS size FROM documents)
+SELECT doc_id, CASE WHEN k IN (2, 3, 4) THEN 'Unsupported file format: ' || CASE k WHEN 2 THEN '.exe' WHEN 3 THEN '' ELSE '.gz' END WHEN size > 52428800 THEN 'File size exceeds limit: ' || size || ' bytes' WHEN size = 0 THEN 'Empty file not allowed' END AS problem FROM x""",
     "sink_json": f"WITH {RUNS} SELECT strftime(created_at, '%Y-%m-%d') AS day, {NAMED} AS file_name, result_id AS request_id, status, model, successful_count FROM runs",
     "list_result_files": f"WITH {RUNS}, f AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, {NAMED} AS file_name, status FROM runs) SELECT day, place, file_name, status FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY file_name DESC) AS place FROM f) WHERE place <= 20",
     "sink_dual_write": f"""WITH {RUNS}, l AS (SELECT *, row_number() OVER (PARTITION BY document_id, model ORDER BY result_id % 2 DESC, created_at DESC, result_id DESC) AS r FROM runs)

@@ -146,7 +146,6 @@ QUERIES = {
     "scan_json_flatten": props,
     "group_by_type": lambda s, d: docs(s, d).groupBy(F.coalesce("lang", F.lit("text")).alias("chunk_type")).agg(count()),
     "group_by_model": lambda s, d: runs(s, d).groupBy("model").agg(count(), F.min("result_id").alias("first_id"), F.max("result_id").alias("last_id"), F.sum("result_id").alias("sum_ids")),
-    "validate_upload": lambda s, d: docs(s, d).select("doc_id", F.when(F.col("n_chars") == 0, "empty").when(F.col("n_chars") > 10_000, "too large").when(~F.col("lang").isin("en", "fr", "de"), "type").otherwise("accepted").alias("verdict")),
 }
 
 HASHES = f"""{CHUNKS}, a AS (SELECT chunk_id, 'sha256:' || sha256(content) AS h FROM chunks WHERE doc_id % 13 <> 0),
@@ -202,7 +201,7 @@ ORACLE = {
     "detect_changes": f"WITH {HASHES} SELECT * FROM ch",
     "incremental_plan": f"WITH {HASHES}, x AS (SELECT count(*) FILTER (WHERE change = 'new') AS new, count(*) FILTER (WHERE change = 'modified') AS modified, count(*) FILTER (WHERE change = 'unchanged') AS unchanged FROM ch) SELECT new, modified, unchanged, new + modified AS to_embed, round(unchanged * 100.0 / (new + modified + unchanged), 1) AS savings_percent FROM x",
     "cache_lookup": f"WITH {CACHE} SELECT input_index, hit FROM lk",
-    "cache_evict_lru": f"WITH {CACHE} SELECT cache_key FROM cache ORDER BY last_accessed, cache_key LIMIT (SELECT CASE WHEN count(*) >= 100 THEN floor(count(*) * 0.1)::BIGINT ELSE 0 END FROM cache)",
+    "cache_evict_lru": f"WITH {CACHE} SELECT cache_key FROM cache ORDER BY last_accessed, cache_key LIMIT (SELECT CASE WHEN count(*) >= 100 THEN 10 ELSE 0 END FROM cache)",
     "cached_batch_or_compute": f"WITH {CACHE} SELECT input_index, coalesce(vector, input_index + 1000000) AS vector, hit FROM lk",
     "embedding_status": w("SELECT document_id, CASE WHEN sum(failed_count) = 0 AND sum(successful_count) > 0 THEN 'SUCCESS' WHEN sum(successful_count) > 0 THEN 'PARTIAL_SUCCESS' ELSE 'FAILED' END AS status FROM runs GROUP BY document_id"),
     "batch_embed": f"WITH {CHUNKS} SELECT doc_id, (chunk_index // 10)::BIGINT AS batch, CASE WHEN count(*) FILTER (WHERE char_count < 200) = 0 THEN 'SUCCESS' WHEN count(*) FILTER (WHERE char_count >= 200) > 0 THEN 'PARTIAL_SUCCESS' ELSE 'FAILED' END AS status FROM chunks GROUP BY 1, 2",
@@ -219,5 +218,4 @@ ORACLE = {
     "scan_json_flatten": "SELECT array_to_string(json_keys(props), ',') AS keys, count(*) AS n FROM events GROUP BY 1",
     "group_by_type": "SELECT coalesce(lang, 'text') AS chunk_type, count(*) AS n FROM documents GROUP BY 1",
     "group_by_model": w("SELECT model, count(*) AS n, min(result_id) AS first_id, max(result_id) AS last_id, sum(result_id)::BIGINT AS sum_ids FROM runs GROUP BY model"),
-    "validate_upload": "SELECT doc_id, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars > 10000 THEN 'too large' WHEN lang NOT IN ('en', 'fr', 'de') THEN 'type' ELSE 'accepted' END AS verdict FROM documents",
 }

@@ -33,6 +33,20 @@ FORMATS = {
     "properties": ["properties"],
     "doc": ["doc", "unstructured"],
 }
+# Endings of files that are taken, and their greatest size.
+UPLOADS = ("pdf", "doc", "docx", "txt", "md", "markdown", "xlsx", "xls", "pptx", "ppt", "html", "htm", "csv", "json", "xml", "rtf", "odt", "ods", "odp")
+UPLOAD_BYTES = 52_428_800
+
+
+def validate_upload(name: Column, size: Column) -> Column:
+    """Why a file is not taken, or null: the ending of its name (of a name that begins with a dot, there is none), then its size, then that it is empty."""
+    end = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"[^/](\.[^./]+)$", 1))
+    return (
+        F.when(~F.substring(end, 2, 100).isin(*UPLOADS), F.concat(F.lit("Unsupported file format: "), end))
+        .when(size > UPLOAD_BYTES, F.concat(F.lit("File size exceeds limit: "), size.cast("string"), F.lit(" bytes"))).when(F.coalesce(size, F.lit(0)) == 0, "Empty file not allowed")
+    )
+
+
 #: Loaders that run here; the others need libraries or services that are not installed.
 AVAILABLE = ("csv", "json", "text", "xml", "html", "properties", "docx", "xlsx", "pptx")
 

@@ -154,3 +154,51 @@ def test_change_of_parameters(spark, old, new, change):
 def test_enhanced_queries(spark, answer, rewritten, is_complex, subs, parsed):
     r = spark.createDataFrame([(answer, "q")], "a string, q string").select(retrieval.parse_enhancement(F.col("a"), F.col("q")).alias("e")).first()["e"]
     assert (r["rewritten"], r["is_complex"], r["sub_queries"], r["all_queries"], r["parsed"]) == (rewritten, is_complex, subs, [rewritten, *subs], parsed)
+
+
+# uploads, inverted index, context
+
+
+def test_uploads(spark):
+    from siltstone.sources import files
+
+    rows = [("a/b.PDF", 1), ("b.tar.gz", 1), (".txt", 1), ("c.md", 0), ("d.md", files.UPLOAD_BYTES), ("e.md", files.UPLOAD_BYTES + 1), (None, 5), ("f.md", None), ("noend", 0)]
+    got = [r[0] for r in spark.createDataFrame(rows, "n string, s long").select(files.validate_upload(F.col("n"), F.col("s"))).collect()]
+    assert got == [None, "Unsupported file format: .gz", "Unsupported file format: ", "Empty file not allowed", None, "File size exceeds limit: 52428801 bytes", "Unsupported file format: ", "Empty file not allowed", "Unsupported file format: "]
+
+
+def test_inverted_search_reads_only_near_lists(spark):
+    import random
+
+    from siltstone.operators import dense
+
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(600)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.filter("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    c = v.filter("vec_id % 40 = 0").select(F.col("vec_id").alias("list"), F.col("embedding").alias("c"))
+    key = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+    exact = key(dense.search(v, q, 5))
+    assert key(dense.inverted_search(v, q, c, 5, probes=15)) == exact and key(dense.inverted_search(v, q, c, 5, probes=99, part=7)) == exact
+    some = key(dense.inverted_search(v, q, c, 5, probes=3))
+    assert {(a, x): s for a, _, x, s in some if (a, x) in {(b, y) for b, _, y, _ in exact}}.items() <= {(a, x): s for a, _, x, s in exact}.items() and some != exact
+    assert dense.inverted_search(v.limit(0), q, c, 5).count() == 0
+
+
+def test_context_of_search_results(spark):
+    rows = [(1, 1, 10, "one", "file", 0.9), (1, 2, 11, None, None, 0.3), (1, 3, 12, "low", "x", 0.29), (1, 4, 13, "last", "", None), (2, 1, 14, "two", "y", 0.5)]
+    found = spark.createDataFrame(rows, "query_id long, place long, chunk_id long, text string, name string, score double")
+    items = retrieval.context_items(found)
+    assert [tuple(r) for r in items.orderBy("query_id", "index").collect()] == [(1, 1, "file", 0.9, "one", 10), (1, 2, "来源 2", 0.3, "", 11), (2, 1, "y", 0.5, "two", 14)]
+    asked = spark.createDataFrame([(1, "why?"), (2, "how?")], "query_id long, query string")
+    got = {r["query_id"]: (r["prompt"], r["sources"], r["files"]) for r in retrieval.prompt_of(items.join(asked, "query_id")).collect()}
+    assert got[1] == ("[1] one\n来源：file\n\n[2] \n来源：来源 2\n\n问题：why?", 2, ["file", "来源 2"])
+
+
+def test_markdown_and_structured_text_of_a_page():
+    from siltstone.sources import html
+
+    page = "<title>T</title><body><p>Hello <b>bold</b> <a href='/x'>link</a></p><ul><li>a <i>b</i><li></ul><figure><img src=s alt=A><figcaption>Cap</figcaption></figure><p><img src=t alt=B></p><p>x<img src=u></p><b>strong</b><pre><code>y = 1\n</code></pre><pre>no</pre><a href='#k'>k</a></body>"
+    root = html.parse(page)
+    assert html.to_markdown(root) == "# T\n\nHelloboldlink\n\n- ab\n\n[IMAGE_1: Cap]\n\nCap\n\n[IMAGE_2: B]\n\nx\n\n**strong**\n\n```\ny = 1\n\n```\n\nk"
+    assert html.structured_text(html.parse("<h2>H</h2><div>d<img alt=q></div><p></p><ol><li>a<li>b</ol>")) == "\n## H\n\nd\n\n[IMAGE_1: q]\n\n\n1. a\n1. b\n"
