@@ -37,6 +37,11 @@ def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding
     return rows.select(F.col(vec_id).alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
+def identified(vectors: DataFrame) -> DataFrame:
+    """Adds uid, a number of each row, to (vec_id, v). The rows are written, so that it stays the same."""
+    return staged(vectors.withColumn("uid", F.monotonically_increasing_id()), "topk-vectors")
+
+
 def matrix(vectors: list, width: int) -> np.ndarray:
     """Rows of whole numbers as float64, zeros after short ones."""
     if all(len(v) == width for v in vectors):
@@ -73,10 +78,10 @@ def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k largest integer inner products, ties to the smaller id, itself excluded.
+    """(query_id, rank, vec_id, score): the k largest integer inner products of each query row with all rows but itself, ties to the smaller id.
 
-    vectors, queries: (vec_id, v) as `quantised` gives them. Fewer candidates than k: all of them. A repeated id counts as
-    several candidates with the same id, and as one query (its smallest vector); the row of the query's own id is never its candidate. Empty input: no rows.
+    vectors: (uid, vec_id, v) as `identified` gives them; queries: some of their rows. Fewer candidates than k: all of them. A repeated id counts as
+    several candidates with the same id and as several queries, each with its own k rows; of a repeated row, the others are candidates of each. Empty input: no rows.
     """
     spark = vectors.sparkSession
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e)
@@ -101,9 +106,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                 continue
             d = far(lift(matrix(p["v"].tolist(), width)))
             near = d.argmin(1)
-            yield pd.DataFrame({"pivot": near.astype(np.int32), "dist": d[np.arange(len(p)), near], "vec_id": p["vec_id"], "v": p["v"]})
+            yield pd.DataFrame({"pivot": near.astype(np.int32), "dist": d[np.arange(len(p)), near], "uid": p["uid"], "vec_id": p["vec_id"], "v": p["v"]})
 
-    keyed_rows = staged(vectors.mapInPandas(index, "pivot int, dist double, vec_id long, v array<double>"), "topk-index")
+    keyed_rows = staged(vectors.mapInPandas(index, "pivot int, dist double, uid long, vec_id long, v array<double>"), "topk-index")
     # rings of about equal counts, CELL vectors or more each while a pivot has fewer than RINGS of them; equal distances share one, however many
     cuts = keyed_rows.groupBy("pivot").agg(F.percentile_approx("dist", [i / RINGS for i in range(1, RINGS)], 1000).alias("cuts"), F.count(F.lit(1)).alias("n")).collect()
     edges = {}
@@ -124,14 +129,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     ringed = keyed_rows.withColumn("ring", ring_of("pivot", "dist"))
     spans = ringed.groupBy("pivot", "ring").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
     rings = pd.DataFrame([(r["pivot"], r["ring"], r["lo"], r["hi"], -(-r["n"] // CELL)) for r in spans], columns=["pivot", "ring", "lo", "hi", "parts"]).sort_values(["pivot", "ring"], ignore_index=True)
-    # a crowded ring is dealt to parts by a hash of the id: equal vectors part too
+    # a crowded ring is dealt to parts by a hash of the row's number: equal rows part too
     parts_of = spark.createDataFrame(rings[["pivot", "ring", "parts"]].values.tolist(), "pivot int, ring int, parts int")
-    indexed = ringed.join(F.broadcast(parts_of), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")).drop("parts")
+    indexed = ringed.join(F.broadcast(parts_of), ["pivot", "ring"]).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")).drop("parts")
 
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     batches = max(1, -(-queries.count() // QUERIES))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int"))
-    pair = "query_id long, q array<double>, batch int, dq double, bound double, pivot int, ring int, part int"
+    asked = queries.select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("batch", F.pmod(F.xxhash64("query"), F.lit(batches)).cast("int"))
+    pair = "query long, query_id long, q array<double>, batch int, dq double, bound double, pivot int, ring int, part int"
     r_pivot, r_ring, r_parts = rings["pivot"].to_numpy(), rings["ring"].to_numpy(), rings["parts"].to_numpy()
     r_lo, r_hi = rings["lo"].to_numpy(), rings["hi"].to_numpy()
     settled = -np.inf
@@ -155,19 +159,19 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                 row, ring, part = np.repeat(row, times), np.repeat(ring, times), np.concatenate([np.arange(t) for t in times]) if len(times) else times
                 for i in range(0, len(row), 4096):
                     a, b = row[i : i + 4096], ring[i : i + 4096]
-                    yield pd.DataFrame({"query_id": p["query_id"].to_numpy()[a], "q": p["q"].to_numpy()[a], "batch": p["batch"].to_numpy()[a], "dq": dq[a, b], "bound": bound[a], "pivot": r_pivot[b], "ring": r_ring[b], "part": part[i : i + 4096]})
+                    yield pd.DataFrame({"query": p["query"].to_numpy()[a], "query_id": p["query_id"].to_numpy()[a], "q": p["q"].to_numpy()[a], "batch": p["batch"].to_numpy()[a], "dq": dq[a, b], "bound": bound[a], "pivot": r_pivot[b], "ring": r_ring[b], "part": part[i : i + 4096]})
 
         return run
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         if not len(left) or not len(right):
             return empty
         right = right.sort_values(["dist", "vec_id"], kind="stable")
-        dist, ids, v = right["dist"].to_numpy(), right["vec_id"].to_numpy(), matrix(right["v"].tolist(), width)
+        dist, ids, uids, v = right["dist"].to_numpy(), right["vec_id"].to_numpy(), right["uid"].to_numpy(), matrix(right["v"].tolist(), width)
         q = matrix(left["q"].tolist(), width)
         qn, dq, kth = np.square(q).sum(1), left["dq"].to_numpy(), left["bound"].to_numpy().astype(np.float64)
-        qid = left["query_id"].to_numpy()
+        query, qid = left["query"].to_numpy(), left["query_id"].to_numpy()
         # annuli of STEP vectors; a block of queries takes each annulus that its bounds don't exclude, nearest first
         edges = list(range(0, len(dist), STEP))
         lo, hi = np.array([dist[e] for e in edges]), np.array([dist[min(e + STEP, len(dist)) - 1] for e in edges])
@@ -186,7 +190,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
                 s, e = edges[b], min(edges[b] + STEP, len(dist))
                 got = _dots(q[rows], v[s:e])
                 cand = np.broadcast_to(ids[s:e], got.shape)
-                got = np.where(cand == qid[rows][:, None], none, got)
+                got = np.where(uids[s:e][None, :] == query[rows][:, None], none, got)
                 alls = np.hstack([best_s[rows], got])
                 alli = np.hstack([best_i[rows], np.where(got == none, np.iinfo(np.int64).max, cand)])
                 order = np.lexsort((alli, np.where(alls == none, np.iinfo(np.int64).max, -np.where(alls == none, 0, alls))), axis=1)[:, :k]
@@ -197,44 +201,44 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
         bound = left["bound"].to_numpy().astype(np.float64)[:, None]
         keep = (best_s != none) & (best_s >= bound - 1e-9 * np.abs(np.where(np.isfinite(bound), bound, 0)))
         r, c = np.nonzero(keep)
-        return pd.DataFrame({"query_id": qid[r], "vec_id": best_i[r, c], "score": best_s[r, c]})
+        return pd.DataFrame({"query": query[r], "query_id": qid[r], "vec_id": best_i[r, c], "score": best_s[r, c]})
 
-    schema = "query_id long, vec_id long, score long"
+    schema = "query long, query_id long, vec_id long, score long"
 
     def run(pairs: DataFrame) -> DataFrame:
         """Each query meets the vectors of each part that it reads."""
         key = ["pivot", "ring", "part", "batch"]
         need = pairs.select(*key).distinct()
-        vecs = indexed.join(need, ["pivot", "ring", "part"]).select(*[F.col(c).alias(f"v_{c}") for c in key], "dist", "vec_id", "v")
+        vecs = indexed.join(need, ["pivot", "ring", "part"]).select(*[F.col(c).alias(f"v_{c}") for c in key], "dist", "uid", "vec_id", "v")
         return pairs.groupBy(*key).cogroup(vecs.groupBy(*[f"v_{c}" for c in key])).applyInPandas(search, schema)
 
     def best(found: DataFrame) -> DataFrame:
-        w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        w = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     # first the nearest pivot: its k-th score bounds all later reading
     near = asked.withColumn("bound", F.lit(None).cast("double")).mapInPandas(wanted(True), pair)
     first = staged(best(run(near)), "topk-first")
-    bound = first.filter(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    rest = asked.join(bound, "query_id", "left").mapInPandas(wanted(False), pair)
+    bound = first.filter(F.col("rank") == k).select("query", F.col("score").cast("double").alias("bound"))
+    rest = asked.join(bound, "query", "left").mapInPandas(wanted(False), pair)
     return best(first.drop("rank").unionByName(run(rest))).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = staged(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")), "topk-vectors")
+    vectors = identified(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")))
     return exact_topk(vectors, vectors.filter(F.pmod(F.col("vec_id"), F.lit(100)) == 0))
 
 
 ORACLE = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.uid AS query, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.uid <> q.uid
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

@@ -587,7 +587,7 @@ def test_topk_against_brute_force(spark, copies):
     rows += [(1000 + i, rows[100][1]) for i in range(copies)]
     rows += [(400, None), (500, [float("nan")] * 8), (600, [1.0, None] * 4), (700, [1.0]), (800, []), (900, [float("inf")] * 8), (None, [0.0] * 8), (1100, [1e5] * 8), (1101, [3e4, -3e4] * 4)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("pivot", F.lit(1)).withColumn("score", F.lit("x"))
-    v = topk.quantised(df)
+    v = topk.identified(topk.quantised(df))
     got: dict = {}
     for r in topk.exact_topk(v, v.filter("vec_id % 100 = 0")).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -599,21 +599,31 @@ def test_topk_against_brute_force(spark, copies):
 
 def test_topk_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
-    v = topk.quantised(df)
+    v = topk.identified(topk.quantised(df))
     assert [tuple(r) for r in topk.exact_topk(v, v.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 2048)]
     assert topk.exact_topk(v.limit(0), v.limit(0)).count() == 0
-    huge = topk.quantised(spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e9, 2.0]), (2, [1e-3, 0.5])], "vec_id long, embedding array<double>"))
+    huge = topk.identified(topk.quantised(spark.createDataFrame([(0, [1e16, 1.0]), (1, [1e9, 2.0]), (2, [1e-3, 0.5])], "vec_id long, embedding array<double>")))
     with pytest.raises(Exception, match="does not fit"):
         topk.exact_topk(huge, huge).collect()
 
 
+def test_topk_of_repeated_query_ids(spark):
+    """Every row of an id is a query of its own, and the other rows of that id are candidates."""
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [1.0, 0.0]), (1, [0.5, 0.25])]
+    v = topk.identified(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    got = sorted(tuple(r) for r in topk.exact_topk(v, v.filter("vec_id = 100")).collect())
+    one, half, quarter = 1024 * 1024, 512 * 1024, 256 * 1024
+    first = [(100, 1, 100, one), (100, 2, 1, half), (100, 3, 100, 0)]
+    assert got == sorted([*first, *first, (100, 1, 1, quarter), (100, 2, 100, 0), (100, 3, 100, 0)])
+
+
 def test_topk_of_many_rings_and_parts(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELL", 40)
     monkeypatch.setattr(topk, "STEP", 16)
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(0, 1, (900, 6)), np.tile(rng.normal(0, 1, 6), (300, 1))])
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
-    v = topk.quantised(df)
+    v = topk.identified(topk.quantised(df))
     got: dict = {}
     for r in topk.exact_topk(v, v.filter("vec_id % 100 = 0")).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
