@@ -23,7 +23,7 @@ from siltstone.llm.common import kept, numbered, small_batches, staged
 
 CAPACITY = 2048
 #: Words that a worker remembers before it forgets the older half.
-WORDS = 400_000
+WORDS = 1_000_000
 
 
 class WordEncoder:
@@ -111,8 +111,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, words)
         for p in parts:
-            for at in range(0, len(p), 256):
-                q = p.iloc[at : at + 256]
+            for at in range(0, len(p), 1000):
+                q = p.iloc[at : at + 1000]
                 rows = []
                 for i, ids in zip(q[id_col], enc.encode_many([x or "" for x in q[text]]), strict=True):
                     ids += b"\0\0\0\0"
