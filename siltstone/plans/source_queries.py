@@ -38,7 +38,7 @@ def order_pages(s, d):
     """A page for each customer: a picture, and a table of the orders (one customer's orders are few)."""
     row = F.concat(F.lit("<tr><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td>"), F.col("o_orderstatus"), F.lit("</td></tr>"))
     rows = table(s, d, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))).alias("l"))
-    head = F.concat(F.lit('<p>Orders.</p><figure><img src="c'), F.col("page_id").cast("string"), F.lit('.png" alt="Customer"><figcaption>Portrait</figcaption></figure><table><caption>Orders</caption><tr><th>key</th><th>status</th></tr>'))
+    head = F.concat(F.lit('<p>Orders.</p><figure><img src="c'), F.col("page_id").cast("string"), F.lit('.png" alt="Customer" srcset="s.png 1x, l.png 2x" width=9 style="width: 8px; HEIGHT : 7px">by <i>us</i><figcaption>Portrait</figcaption></figure><table><caption>Orders</caption><tr><th>key</th><th>status</th></tr>'))
     return rows.select("page_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["r"]), ""), F.lit("</table><p>End.</p>")).alias("html"))
 
 
@@ -127,7 +127,7 @@ QUERIES = {
     "chunk_hybrid": lambda s, d: Y.chunk_hybrid(md(s, d), keep=("page_id",)),
     "extract_tables_md": markdown_tables,
     "html_tables": order_tables,
-    "html_images": lambda s, d: html.html_images(order_pages(s, d)),
+    "html_images": lambda s, d: html.html_images(order_pages(s, d)).withColumn("srcset", F.array_join(F.transform("srcset", lambda x: F.concat_ws(" ", x["url"], x["descriptor"])), ",")),
     "chunk_heading": lambda s, d: H.sections_or_paragraphs(markdown(s, d)),
     "chunk_heading_or_paragraph": lambda s, d: H.sections_or_paragraphs(markdown(s, d), least=0),
     "heading_path": lambda s, d: H.heading_paths(H.heading_rows(markdown(s, d))).select("doc_id", "seq", "path"),
@@ -170,10 +170,10 @@ ORACLE = {
     "scan_docx": office_sql("'Orders.' || chr(10) || chr(10) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)", "text", "NULL", True),
     "scan_xlsx": office_sql("'Sheet: orders' || chr(10) || 'key' || chr(9) || 'status' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(10), '' ORDER BY o_orderkey)", "text", "'orders'", True),
     "scan_pptx": office_sql("'Slide 1:' || chr(10) || 'Orders.' || chr(10) || string_agg(o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey)", "substring(text, 10)", "NULL", False),
-    "html_structured_text": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '', '[IMAGE_1: Portrait]', '', 'Portrait', 'Orders', 'key', 'status', string_agg(o_orderkey || chr(10) || o_orderstatus, chr(10) ORDER BY o_orderkey), 'End.', '') AS text FROM orders GROUP BY 1""",
-    "html_table_to_markdown": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '[IMAGE_1: Portrait]', '', 'Portrait', '', '| key | status |', '| --- | --- |', string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey), '', 'End.') AS markdown FROM orders GROUP BY 1""",
+    "html_structured_text": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '', '[IMAGE_1: Portrait]', '', 'by', 'us', 'Portrait', 'Orders', 'key', 'status', string_agg(o_orderkey || chr(10) || o_orderstatus, chr(10) ORDER BY o_orderkey), 'End.', '') AS text FROM orders GROUP BY 1""",
+    "html_table_to_markdown": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '[IMAGE_1: Portrait]', '', 'by', '*us*', 'Portrait', '', '| key | status |', '| --- | --- |', string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey), '', 'End.') AS markdown FROM orders GROUP BY 1""",
     "html_tables": "SELECT o_custkey AS page_id, 'key|status' AS headers, string_agg(o_orderkey || '|' || o_orderstatus, ';' ORDER BY o_orderkey) AS rows, 'Orders' AS caption FROM orders GROUP BY 1",
-    "html_images": "SELECT DISTINCT o_custkey AS page_id, 'c' || o_custkey || '.png' AS src, 'Customer' AS alt, 'Portrait' AS caption FROM orders",
+    "html_images": "SELECT DISTINCT o_custkey AS page_id, 'c' || o_custkey || '.png' AS src, 'Customer' AS alt, 'Portrait' AS caption, '9' AS width, '7px' AS height, 's.png 1x,l.png 2x' AS srcset, 'image/png' AS mime, false AS is_base64, '' AS before, 'by us Portrait' AS after FROM orders",
     "extract_tables_md": """WITH t AS (SELECT o_custkey AS page_id, count(*) AS n, '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)
 SELECT page_id, 0::BIGINT AS chunk_index, content, 24::BIGINT AS start, (24 + length(content))::BIGINT AS "end", '# Orders' AS section_title, '' AS context_before, 'End.' AS context_after, n AS row_count, 2::BIGINT AS column_count, 'key|status' AS headers FROM t""",
     "html_h1": "SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]'))::BIGINT AS n FROM pages",

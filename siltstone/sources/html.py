@@ -202,19 +202,60 @@ def table_markdown(headers: list[str], rows: list[list[str]]) -> str:
     return "\n".join([line(headers), "|" + " --- |" * wide, *map(line, rows)]) if wide else ""
 
 
+# Types of pictures by the ending of their address.
+TYPES = {
+    ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".gif": "image/gif", ".webp": "image/webp", ".svg": "image/svg+xml", ".ico": "image/x-icon", ".bmp": "image/bmp", ".avif": "image/avif",
+}
+#: Characters of the text on either side of a picture.
+BESIDE = 100
+
+
+def srcset(value: str | None) -> list[dict]:
+    """Addresses of a picture's variants with their descriptors (2x, 800w)."""
+    words = [x.split() for x in (value or "").split(",")]
+    return [{"url": w[0], "descriptor": w[1] if len(w) > 1 else None} for w in words if w]
+
+
+def picture_type(src: str) -> str | None:
+    """What a data address says of itself, else by the ending before a query."""
+    if m := re.match(r"data:([^;,]*);", src):
+        return m[1]
+    end = re.search(r"\.[a-z]+$", src.lower().split("?")[0])
+    return TYPES.get(end[0]) if end else None
+
+
+def _beside(pieces: list[str | Node]) -> list[str]:
+    """Texts of siblings, nearest first, until they pass BESIDE characters."""
+    out: list[str] = []
+    for c in pieces:
+        if len(" ".join(out)) > BESIDE:
+            break
+        if t := c.strip() if isinstance(c, str) else c.text():
+            out.append(t)
+    return out
+
+
 def images(root: Node) -> list[dict]:
-    """Source (lazy ones and the first of srcset too), alternative text, and caption: that of the figure, else title, else aria-label."""
+    """Pictures in order: source (lazy ones and the first of srcset too), alternative text, caption (that of the figure, else title, else aria-label), width and height (attributes, else style),
+    variants, type, whether the source holds the picture, and the text before and after it among its siblings."""
     out = []
 
+    def size(n: Node, name: str) -> str | None:
+        m = re.search(rf"{name}\s*:\s*([^;]+)", n.attrs.get("style") or "", re.IGNORECASE)
+        return n.attrs.get(name) or (m[1].strip() if m else None)
+
     def look(n: Node, figure: Node | None) -> None:
-        for c in n.children:
+        for i, c in enumerate(n.children):
             if not isinstance(c, Node):
                 continue
             if c.tag == "img":
-                a = c.attrs
-                src = a.get("src") or a.get("data-src") or a.get("data-lazy-src") or ((a.get("srcset") or "").split(",")[0].split() or [""])[0]
+                a, variants = c.attrs, srcset(c.attrs.get("srcset"))
+                src = a.get("src") or a.get("data-src") or a.get("data-lazy-src") or (variants[0]["url"] if variants else "")
                 cap = next((x.text() for x in figure.walk() if x.tag == "figcaption"), "") if figure else ""
-                out.append({"src": src, "alt": a.get("alt") or "", "caption": cap or a.get("title") or a.get("aria-label") or ""})
+                out.append({
+                    "src": src, "alt": a.get("alt") or "", "caption": cap or a.get("title") or a.get("aria-label") or "", "width": size(c, "width"), "height": size(c, "height"), "srcset": variants,
+                    "mime": picture_type(src), "is_base64": src.startswith("data:"), "before": " ".join(reversed(_beside(n.children[:i][::-1])))[:BESIDE], "after": " ".join(_beside(n.children[i + 1 :]))[:BESIDE],
+                })
             look(c, c if c.tag == "figure" else figure)
 
     look(root, None)
@@ -253,5 +294,5 @@ def html_tables(pages: DataFrame) -> DataFrame:
 
 
 def html_images(pages: DataFrame) -> DataFrame:
-    x = _apply(pages, images, "array<struct<src:string,alt:string,caption:string>>", "m").drop("html")
+    x = _apply(pages, images, "array<struct<src:string,alt:string,caption:string,width:string,height:string,srcset:array<struct<url:string,descriptor:string>>,mime:string,is_base64:boolean,before:string,after:string>>", "m").drop("html")
     return x.select(*[c for c in x.columns if c != "m"], F.inline("m"))

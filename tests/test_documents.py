@@ -202,3 +202,13 @@ def test_markdown_and_structured_text_of_a_page():
     root = html.parse(page)
     assert html.to_markdown(root) == "# T\n\nHelloboldlink\n\n- ab\n\n[IMAGE_1: Cap]\n\nCap\n\n[IMAGE_2: B]\n\nx\n\n**strong**\n\n```\ny = 1\n\n```\n\nk"
     assert html.structured_text(html.parse("<h2>H</h2><div>d<img alt=q></div><p></p><ol><li>a<li>b</ol>")) == "\n## H\n\nd\n\n[IMAGE_1: q]\n\n\n1. a\n1. b\n"
+
+
+def test_images_of_a_page():
+    from siltstone.sources import html
+
+    got = html.images(html.parse("<p>a<b>b</b> <img src='data:image/png;base64,AA' style='width:3px'>c</p><img srcset='x.JPG?v=1 2x,, y 3w'><img data-lazy-src=z.unknown title=t height=4>" + "<i>" + "w " * 80 + "</i>tail"))
+    assert [(x["src"], x["mime"], x["is_base64"], x["width"], x["height"], x["before"], x["after"][:4]) for x in got] == [
+        ("data:image/png;base64,AA", "image/png", True, "3px", None, "a b", "c"), ("x.JPG?v=1", "image/jpeg", False, None, None, "abc", ("w " * 50)[:4]), ("z.unknown", None, False, None, "4", "abc", "w w "),
+    ]
+    assert got[1]["srcset"] == [{"url": "x.JPG?v=1", "descriptor": "2x"}, {"url": "y", "descriptor": "3w"}] and len(got[2]["after"]) == 100 and got[2]["caption"] == "t"

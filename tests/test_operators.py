@@ -153,7 +153,7 @@ def test_html():
     root = html.parse("<table><caption>c</caption><tr><th>a<th>b<tr><td>1</table><figure><img data-src=p alt=q><figcaption>f</figcaption></figure>")
     assert html.tables(root) == [{"headers": ["a", "b"], "rows": [["1"]], "caption": "c"}]
     assert html.table_markdown(["a", "b"], [["1"]]).split("\n") == ["| a | b |", "| --- | --- |", "| 1 |  |"]
-    assert html.images(root) == [{"src": "p", "alt": "q", "caption": "f"}]
+    assert [{k: x[k] for k in ("src", "alt", "caption", "after")} for x in html.images(root)] == [{"src": "p", "alt": "q", "caption": "f", "after": "f"}]
     assert html.to_markdown(html.parse(None)) == ""
 
 
