@@ -43,15 +43,20 @@ def heading_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.select(key, (F.col("_line") + F.col("h.at")).alias("start"), F.col("h.level").cast("long").alias("level"), F.col("h.title").alias("title")).withColumn("seq", seq)
 
 
-def heading_paths(h: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds path: titles of the enclosing headings and the heading's own. A heading of a level ends the deeper and equal ones before it."""
+def heading_trails(h: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds trail: titles of the enclosing headings and the heading's own. A heading of a level ends the deeper and equal ones before it."""
     w = W.partitionBy(key).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     out = h
     for lv in range(1, 7):
         out = out.withColumn(f"_t{lv}", F.last(F.when(F.col("level") == lv, F.struct("seq", "title")), ignorenulls=True).over(w))
         out = out.withColumn(f"_s{lv}", F.max(F.when(F.col("level") < lv, F.col("seq"))).over(w))
     parts = [F.when((F.col("level") >= lv) & F.col(f"_t{lv}").isNotNull() & (F.col(f"_t{lv}.seq") > F.coalesce(F.col(f"_s{lv}"), F.lit(0))), F.col(f"_t{lv}.title")) for lv in range(1, 7)]
-    return out.withColumn("path", F.concat_ws(" > ", *parts)).select(*h.columns, "path")
+    return out.withColumn("trail", F.array_compact(F.array(*parts))).select(*h.columns, "trail")
+
+
+def heading_paths(h: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds path: the titles of `heading_trails`, joined."""
+    return heading_trails(h, key).withColumn("path", F.array_join("trail", " > ")).drop("trail")
 
 
 def sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,8 +127,10 @@ def heading_parents(h: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def inject_paths(chunks: DataFrame, h: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds the path of the last heading at or before each chunk's start (an as-of join by document: one union and one window)."""
-    path = heading_paths(h, key).select(key, F.col("start").alias("at"), F.lit(0).alias("kind"), "path", F.lit(None).cast("long").alias("chunk_index"))
-    own = chunks.select(key, F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("path"), "chunk_index")
+    """(key, chunk_index, path, section_title, parent_heading): path, title and enclosing title of the last heading at or before each chunk's start; an empty path and nulls before the
+    first (an as-of join by document: one union and one window)."""
+    trail = heading_trails(h, key).select(key, F.col("start").alias("at"), F.lit(0).alias("kind"), "trail", F.lit(None).cast("long").alias("chunk_index"))
+    own = chunks.select(key, F.col("start").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("trail"), "chunk_index")
     w = W.partitionBy(key).orderBy("at", "kind", "chunk_index").rowsBetween(W.unboundedPreceding, 0)
-    return path.unionByName(own).withColumn("path", F.last("path", ignorenulls=True).over(w)).filter("kind = 1").select(key, "chunk_index", F.coalesce("path", F.lit("")).alias("path"))
+    x = trail.unionByName(own).withColumn("trail", F.last("trail", ignorenulls=True).over(w)).filter("kind = 1")
+    return x.select(key, "chunk_index", F.coalesce(F.array_join("trail", " > "), F.lit("")).alias("path"), F.try_element_at("trail", F.lit(-1)).alias("section_title"), F.try_element_at("trail", F.lit(-2)).alias("parent_heading"))

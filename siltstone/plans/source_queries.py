@@ -9,7 +9,7 @@ from siltstone.operators import chunking as C
 from siltstone.operators import headings as H
 from siltstone.operators import hybrid as Y
 from siltstone.plans.analysis_queries import MD, markdown
-from siltstone.plans.common import spread, strip_sql, table
+from siltstone.plans.common import spread, strip_sql, table, windows_sql
 from siltstone.sources import files, html, office
 
 
@@ -193,6 +193,9 @@ r AS (SELECT doc_id, list_reduce(e, lambda a, b: CASE WHEN {pure_sql('a.cur.cont
 c AS (SELECT doc_id, {closed_sql('r.done', 'r.cur')} AS l FROM r),
 u AS (SELECT doc_id, unnest(l) AS c, unnest(range(0, len(l))) AS chunk_index FROM c)
 SELECT doc_id, chunk_index, c.level, c.title, c.path, c.start, c.content, array_to_string(c.merged, ' > ') AS merged_headings FROM u""",
+    "inject_heading_path": f"""WITH {HR}, tr AS (SELECT doc_id, seq, list(atitle ORDER BY alv) AS l FROM up GROUP BY ALL), c AS ({windows_sql(500, 450, source="md")}),
+m AS (SELECT c.doc_id, c.chunk_index, max(h.seq) AS seq FROM c LEFT JOIN h ON h.doc_id = c.doc_id AND h.start <= c.start GROUP BY ALL)
+SELECT m.doc_id, m.chunk_index, coalesce(array_to_string(l, ' > '), '') AS path, l[-1] AS section_title, l[-2] AS parent_heading FROM m LEFT JOIN tr ON tr.doc_id = m.doc_id AND tr.seq = m.seq""",
     "heading_tree": f"WITH {HR} SELECT a.doc_id, a.seq, max(b.seq) AS parent FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.seq < a.seq AND b.level < a.level GROUP BY ALL",
     "group_by_level": f"WITH {HR} SELECT level, count(*) AS n FROM h GROUP BY level",
 }
