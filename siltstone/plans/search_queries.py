@@ -32,6 +32,12 @@ def doc_weights(s, d):
     return S.encode_documents(S.term_counts(texts(s, d), "chunk_id"), vocab, corpus, "chunk_id")
 
 
+def encoded(s, d):
+    """The sparse vector of every chunk as one text: its terms in order, with their weights in millionths."""
+    x = doc_weights(s, d).groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", F.round(F.col("weight") * 1_000_000).cast("long").alias("w")))).alias("l"))
+    return x.select("chunk_id", F.array_join(F.transform("l", lambda e: F.concat(e["term"], F.lit(":"), e["w"].cast("string"))), " ").alias("weights"))
+
+
 def query_weights(s, d):
     return S.encode_queries(questions(s, d), fitted(s, d)[0], "query_id", "query")
 
@@ -159,7 +165,7 @@ QUERIES = {
     "stopwords": lambda s, d: S.term_rows(documents(s, d), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("n")),
     "bm25_fit": lambda s, d: S.with_term_ids(fitted(s, d)[0]).select("term", "term_id", "df", r6("idf").alias("idf")),
     "bm25_corpus": lambda s, d: fitted(s, d)[1].select("doc_count", r6("avgdl").alias("avgdl")),
-    "bm25_encode_document": doc_weights,
+    "bm25_encode_document": encoded,
     "bm25_encode_query": query_weights,
     "bm25_incremental_fit": incremental,
     "bm25_score": sparse_top,
@@ -255,7 +261,7 @@ ORACLE = {
     "stopwords": f"SELECT term, count(*) AS n FROM (SELECT unnest({tokens_sql('text')}) AS term FROM documents) WHERE NOT list_contains({STOP}, term) GROUP BY ALL",
     "bm25_fit": f"WITH {FIT} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, round(idf, 6) AS idf FROM vocab",
     "bm25_corpus": f"WITH {FIT} SELECT doc_count, round(avgdl, 6) AS avgdl FROM corpus",
-    "bm25_encode_document": f"WITH {FIT} SELECT * FROM dw",
+    "bm25_encode_document": f"WITH {FIT} SELECT chunk_id, string_agg(term || ':' || round(weight * 1000000)::BIGINT, ' ' ORDER BY term) AS weights FROM dw GROUP BY chunk_id",
     "bm25_encode_query": f"WITH {FIT}, {QW} SELECT * FROM qw WHERE weight > 0",
     "bm25_incremental_fit": f"WITH {FIT} SELECT term, df, round(idf, 6) AS idf FROM vocab",
     "bm25_score": f"WITH {BM} SELECT query_id, chunk_id, score, rank FROM st",
