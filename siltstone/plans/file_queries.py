@@ -76,7 +76,22 @@ def uploads(s, d):
     return x.select("doc_id", files.validate_upload(F.col("name"), F.col("size")).alias("problem"))
 
 
+def csv_files(s, d):
+    """Orders written as CSV files with a header, and read as text."""
+    path = shared_folder(s, "csv")
+    table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").write.option("header", True).csv(path)
+    return files.scan_csv(s, path)
+
+
+def json_lines(s, d):
+    """Orders as nested JSON texts, flattened to a line for each value."""
+    body = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 2 == 0).alias("even")).alias("state"), F.array(F.struct(F.col("o_orderpriority").alias("p")), F.struct(F.lit("x y").alias("p"))).alias("list")))
+    return files.scan_json_flatten(table(s, d, "orders").select("o_orderkey", body.alias("body")), "body", ["o_orderkey"])
+
+
 QUERIES = {
+    "scan_csv": csv_files,
+    "scan_json_flatten": json_lines,
     "validate_upload": uploads,
     "sink_json": written,
     "list_result_files": newest,
@@ -90,6 +105,9 @@ NAMED = "'embedding_' || result_id || '_' || strftime(created_at, '%Y%m%d_%H%M%S
 UTF8 = "octet_length(encode(t))"
 
 ORACLE = {
+    "scan_csv": "SELECT 'o_orderkey: ' || o_orderkey || ' | o_custkey: ' || o_custkey || ' | o_orderstatus: ' || o_orderstatus || ' | o_orderpriority: ' || o_orderpriority AS text FROM orders",
+    "scan_json_flatten": """SELECT o_orderkey, i::BIGINT AS i, CASE i WHEN 0 THEN 'key: ' || o_orderkey WHEN 1 THEN 'state.status: ' || o_orderstatus WHEN 2 THEN 'state.even: ' || CASE WHEN o_custkey % 2 = 0 THEN 'True' ELSE 'False' END WHEN 3 THEN 'list[0].p: ' || o_orderpriority ELSE 'list[1].p: x y' END AS line
+FROM orders, (SELECT unnest(range(0, 5)) AS i)""",
     "validate_upload": """WITH x AS (SELECT doc_id, doc_id % 6 AS k, (octet_length(encode(coalesce(text, ''))) * CASE WHEN doc_id % 7 = 0 THEN 100000 WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END)::BIGINT AS size FROM documents)
 SELECT doc_id, CASE WHEN k IN (2, 3, 4) THEN 'Unsupported file format: ' || CASE k WHEN 2 THEN '.exe' WHEN 3 THEN '' ELSE '.gz' END WHEN size > 52428800 THEN 'File size exceeds limit: ' || size || ' bytes' WHEN size = 0 THEN 'Empty file not allowed' END AS problem FROM x""",
     "sink_json": f"WITH {RUNS} SELECT strftime(created_at, '%Y-%m-%d') AS day, {NAMED} AS file_name, result_id AS request_id, status, model, successful_count FROM runs",

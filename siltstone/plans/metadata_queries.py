@@ -143,7 +143,7 @@ QUERIES = {
     "history_trim": lambda s, d: M.newest(table(s, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], 3, "turn", "role"),
     "search_history_cap": lambda s, d: M.newest(runs(s, d), ["document_id"], 5, "created_at", "result_id").select("document_id", "result_id"),
     "merge_results": lambda s, d: M.merge_results(runs(s, d).select("document_id", "model", F.col("result_id").alias("source_order"), "status"), ["document_id", "model"]),
-    "scan_json_flatten": props,
+    "json_key_lists": props,
     "group_by_type": lambda s, d: docs(s, d).groupBy(F.coalesce("lang", F.lit("text")).alias("chunk_type")).agg(count()),
     "group_by_model": lambda s, d: runs(s, d).groupBy("model").agg(count(), F.min("result_id").alias("first_id"), F.max("result_id").alias("last_id"), F.sum("result_id").alias("sum_ids")),
 }
@@ -215,7 +215,7 @@ ORACLE = {
     "history_trim": "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS r FROM conversations) WHERE r <= 3",
     "search_history_cap": w("SELECT document_id, result_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, result_id DESC) AS r FROM runs) WHERE r <= 5"),
     "merge_results": w("SELECT document_id, model, result_id AS source_order, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id, model ORDER BY result_id) AS r FROM runs) WHERE r = 1"),
-    "scan_json_flatten": "SELECT array_to_string(json_keys(props), ',') AS keys, count(*) AS n FROM events GROUP BY 1",
+    "json_key_lists": "SELECT array_to_string(json_keys(props), ',') AS keys, count(*) AS n FROM events GROUP BY 1",
     "group_by_type": "SELECT coalesce(lang, 'text') AS chunk_type, count(*) AS n FROM documents GROUP BY 1",
     "group_by_model": w("SELECT model, count(*) AS n, min(result_id) AS first_id, max(result_id) AS last_id, sum(result_id)::BIGINT AS sum_ids FROM runs GROUP BY model"),
 }

@@ -112,7 +112,7 @@ QUERIES = {
     "html_headings": lambda s, d: html.html_headings(pages(s, d)),
     "html_h1": lambda s, d: pages(s, d).select("page_id", F.regexp_count("html", F.lit("(?i)<h1[ >]")).cast("long").alias("n")),
     "chunk_heading_pages": lambda s, d: H.sections_or_paragraphs(md(s, d), "page_id"),
-    "scan_csv": csv_rows,
+    "csv_lines": csv_rows,
     "scan_json_props": lambda s, d: files.scan_json_flatten(table(s, d, "events"), "props", ["event_id"]),
     "scan_xml": xml_text,
     "images_to_placeholders": lambda s, d: files.images_to_placeholders(table(s, d, "documents").select("doc_id", F.concat(F.lit("![no "), F.col("doc_id").cast("string"), F.lit("](a(b)/c.png) "), "text", F.lit("![](d.png)")).alias("text"))),
@@ -177,7 +177,7 @@ ORACLE = {
     "extract_tables_md": """WITH t AS (SELECT o_custkey AS page_id, count(*) AS n, '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS content FROM orders GROUP BY 1)
 SELECT page_id, 0::BIGINT AS chunk_index, content, 24::BIGINT AS start, (24 + length(content))::BIGINT AS "end", '# Orders' AS section_title, '' AS context_before, 'End.' AS context_after, n AS row_count, 2::BIGINT AS column_count, 'key|status' AS headers FROM t""",
     "html_h1": "SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[ >]'))::BIGINT AS n FROM pages",
-    "scan_csv": "SELECT o_orderkey AS line_key, 'o_orderkey: ' || o_orderkey || ' | o_custkey: ' || o_custkey || ' | o_orderstatus: ' || o_orderstatus || ' | o_orderpriority: ' || o_orderpriority AS text FROM orders",
+    "csv_lines": "SELECT o_orderkey AS line_key, 'o_orderkey: ' || o_orderkey || ' | o_custkey: ' || o_custkey || ' | o_orderstatus: ' || o_orderstatus || ' | o_orderpriority: ' || o_orderpriority AS text FROM orders",
     "extraction_quality": "SELECT doc_id, CASE WHEN length(text) < 50 THEN 0 ELSE round(least(1, CASE doc_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.6 END + CASE WHEN contains(text, '|') THEN 0.05 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0.02 ELSE 0 END), 6) END::DOUBLE AS quality FROM documents",
     "scan_properties": rf"""WITH l AS (SELECT doc_id, i, {strip_sql('line')} AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE contains(text, '=') OR contains(text, ':')))
 SELECT doc_id, i AS line_no, {strip_sql("substring(line, 1, p - 1)")} AS key, {strip_sql("substring(line, p + 1)")} AS value, sep FROM (SELECT *, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END AS sep, strpos(line, CASE WHEN contains(line, '=') THEN '=' ELSE ':' END) AS p FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[#!]') AND regexp_matches(line, '[=:]'))""",
