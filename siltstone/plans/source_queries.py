@@ -42,6 +42,12 @@ def order_pages(s, d):
     return rows.select("page_id", F.concat(head, F.array_join(F.transform("l", lambda x: x["r"]), ""), F.lit("</table><p>End.</p>")).alias("html"))
 
 
+def headed_pages(s, d):
+    """A page for each customer with headings of several levels, one of them empty."""
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("page_id")).distinct()
+    return o.select("page_id", F.concat(F.lit("<h2> First </h2><p>x</p><h1>Customer "), F.col("page_id").cast("string"), F.lit("</h1><h6>deep</h6><h3> </h3><h2>Second <b>part</b></h2>")).alias("html"))
+
+
 def order_tables(s, d):
     x = html.html_tables(order_pages(s, d))
     return x.select("page_id", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"), "caption")
@@ -106,6 +112,8 @@ def tree(s, d):
 
 QUERIES = {
     "html_to_markdown": lambda s, d: html.html_to_markdown(pages(s, d)),
+    "html_text_of_orders": lambda s, d: html.html_plain_text(order_pages(s, d)),
+    "html_headings_of_orders": lambda s, d: html.html_headings(headed_pages(s, d)),
     "html_structured_text": lambda s, d: html.html_structured_text(order_pages(s, d)),
     "html_table_to_markdown": lambda s, d: html.html_to_markdown(order_pages(s, d)),
     "html_plain_text": lambda s, d: html.html_plain_text(pages(s, d)),
@@ -170,6 +178,9 @@ ORACLE = {
     "scan_docx": office_sql("'Orders.' || chr(10) || chr(10) || '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey)", "text", "NULL", True),
     "scan_xlsx": office_sql("'Sheet: orders' || chr(10) || 'key' || chr(9) || 'status' || chr(10) || string_agg(o_orderkey || chr(9) || o_orderstatus || chr(10), '' ORDER BY o_orderkey)", "text", "'orders'", True),
     "scan_pptx": office_sql("'Slide 1:' || chr(10) || 'Orders.' || chr(10) || string_agg(o_orderkey || ' ' || o_orderstatus, chr(10) ORDER BY o_orderkey)", "substring(text, 10)", "NULL", False),
+    "scan_xml": f"SELECT doc_id, concat_ws(chr(10), nullif({strip_sql("translate(text, '<>&', '')")}, ''), 't', 'u') AS text, 3::BIGINT AS elements FROM documents",
+    "html_text_of_orders": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', 'by', 'us', 'Portrait', 'Orders', 'key', 'status', string_agg(o_orderkey || chr(10) || o_orderstatus, chr(10) ORDER BY o_orderkey), 'End.') AS text FROM orders GROUP BY 1""",
+    "html_headings_of_orders": """WITH t AS (SELECT DISTINCT o_custkey AS page_id FROM orders) SELECT page_id, 0::BIGINT AS i, 1::BIGINT AS level, 'Customer ' || page_id AS text FROM t UNION ALL SELECT page_id, 1, 2, 'First' FROM t UNION ALL SELECT page_id, 2, 2, 'Secondpart' FROM t UNION ALL SELECT page_id, 3, 6, 'deep' FROM t""",
     "html_structured_text": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '', '[IMAGE_1: Portrait]', '', 'by', 'us', 'Portrait', 'Orders', 'key', 'status', string_agg(o_orderkey || chr(10) || o_orderstatus, chr(10) ORDER BY o_orderkey), 'End.', '') AS text FROM orders GROUP BY 1""",
     "html_table_to_markdown": """SELECT o_custkey AS page_id, concat_ws(chr(10), 'Orders.', '', '[IMAGE_1: Portrait]', '', 'by', '*us*', 'Portrait', '', '| key | status |', '| --- | --- |', string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey), '', 'End.') AS markdown FROM orders GROUP BY 1""",
     "html_tables": "SELECT o_custkey AS page_id, 'key|status' AS headers, string_agg(o_orderkey || '|' || o_orderstatus, ';' ORDER BY o_orderkey) AS rows, 'Orders' AS caption FROM orders GROUP BY 1",
