@@ -75,7 +75,8 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = at[at >= 0]
             np.add.at(sums, at, 1) if len(at) < 1 << 16 else sums.__iadd__(np.bincount(at, minlength=1 << FILTER))
             totals[lang] = totals.get(lang, 0) + len(at)
-    yield pd.DataFrame({"lang": list(totals), "slot": -1, "n": list(totals.values())}).astype({"slot": "int32", "n": "int64"})
+    if totals:
+        yield pd.DataFrame({"lang": list(totals), "slot": -1, "n": list(totals.values())}).astype({"slot": "int32", "n": "int64"})
     at = np.flatnonzero(sums)
     for i in range(0, len(at), 1 << 18):
         yield pd.DataFrame({"lang": None, "slot": at[i : i + (1 << 18)].astype(np.int32), "n": sums[at[i : i + (1 << 18)]]})
@@ -256,7 +257,8 @@ def _blocks(shared):
                     used, own = np.concatenate([[0], used]), own + 1
                 for c, v in zip(out, (key[a] // 8, key[a] % 8, vocabulary.lang, zlib.compress(b" ".join(words[used[1:]]), 1), _packed(own.reshape(-1, DEPTH), n[at]), len(at)), strict=True):
                     out[c].append(v)
-            yield pd.DataFrame(out).astype({"group": "int32", "level": "int32", "n": "int32"})
+            if out["n"]:
+                yield pd.DataFrame(out).astype({"group": "int32", "level": "int32", "n": "int32"})
 
     return run
 
