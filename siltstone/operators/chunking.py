@@ -6,9 +6,12 @@ Windows are arithmetic, so they are generated and cut inside the JVM; only folds
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -329,27 +332,66 @@ def sentence_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     return df.select(*keep, F.posexplode(T.sentences(F.col("text"))).alias("sentence_index", "sentence")).withColumn("sentence_index", F.col("sentence_index").cast("long"))
 
 
+def _word_lists(sents: DataFrame) -> DataFrame:
+    """(doc_id, sentences): a document's sentences as (index, its words joined by blanks), in one row. The only shuffle of what follows: all of it stays within a document."""
+    words = F.array_join(T.tokens(F.col("sentence"), T.WORD), " ")
+    return sents.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("sentence_index").alias("i"), F.coalesce(words, F.lit("")).alias("words"))).alias("sentences"))
+
+
+def _tfidf(sentences: list[dict]) -> dict[int, dict[str, float]]:
+    """Weights of the words of each sentence that has any; rows of one index are one sentence."""
+    tf: dict[int, Counter] = {}
+    for s in sentences:
+        if s["words"]:
+            tf.setdefault(s["i"], Counter()).update(s["words"].split(" "))
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log(len(sentences) / (n + 1)) for t, n in df.items()}
+    return {i: {t: n / total * idf[t] for t, n in c.items()} for i, c in tf.items() for total in (c.total(),)}
+
+
+#: Documents whose weights are made before they are handed on.
+AT_ONCE = 32
+
+
+def _per_document(lists: DataFrame, rows: Callable[[list[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+    """What `rows` yields of each document's sentences, after its doc_id."""
+    kind = lists.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in parts:
+            for at in range(0, p.num_rows, AT_ONCE):
+                q = p.slice(at, AT_ONCE)
+                found, place = [], []
+                for k, s in enumerate(q.column("sentences").to_pylist()):
+                    n = len(found)
+                    found.extend(rows(s))
+                    place.extend([k] * (len(found) - n))
+                if found:
+                    yield pa.RecordBatch.from_arrays([q.column("doc_id").take(pa.array(place, pa.int64())), *[pa.array(c) for c in zip(*found, strict=True)]], ["doc_id", *[f.split()[0] for f in schema.split(", ")]])
+
+    return lists.mapInArrow(run, f"doc_id {kind}, {schema}")
+
+
 def tfidf_sentences(sents: DataFrame) -> DataFrame:
-    """(doc_id, sentence_index, term, weight): tf times ln(N / (df + 1)) with N and df counted in the document; weights can be negative."""
-    terms = sents.select("doc_id", "sentence_index", F.explode(T.tokens(F.col("sentence"), T.WORD)).alias("term"))
-    tf = terms.groupBy("doc_id", "sentence_index", "term").agg(F.count(F.lit(1)).alias("n"))
-    size = terms.groupBy("doc_id", "sentence_index").agg(F.count(F.lit(1)).alias("len"))
-    df = tf.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    total = sents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sents"))
-    out = tf.join(size, ["doc_id", "sentence_index"]).join(df, ["doc_id", "term"]).join(total, "doc_id")
-    return out.select("doc_id", "sentence_index", "term", (F.col("n") / F.col("len") * F.log(F.col("sents") / (F.col("df") + 1))).alias("weight"))
+    """(doc_id, sentence_index, term, weight): tf times ln(N / (df + 1)) with N and df counted in the document; weights can be negative. Rows without a document have none."""
+    def rows(sentences: list[dict]) -> Iterator[tuple]:
+        return ((i, t, x) for i, w in _tfidf(sentences).items() for t, x in w.items())
+
+    return _per_document(_word_lists(sents.filter("doc_id IS NOT NULL")), rows, "sentence_index long, term string, weight double")
 
 
 def adjacent_similarity(sents: DataFrame) -> DataFrame:
-    """Cosine of every sentence (from the second) with the one before; 0 without a common term or with a zero norm."""
-    w = tfidf_sentences(sents)
-    norms = w.groupBy("doc_id", "sentence_index").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    before = w.select("doc_id", (F.col("sentence_index") + 1).alias("sentence_index"), "term", F.col("weight").alias("before"))
-    num = w.join(before, ["doc_id", "sentence_index", "term"]).groupBy("doc_id", "sentence_index").agg(F.sum(F.col("weight") * F.col("before")).alias("num"))
-    last = norms.select("doc_id", (F.col("sentence_index") + 1).alias("sentence_index"), F.col("norm").alias("norm_before"))
-    out = sents.filter("sentence_index > 0").select("doc_id", "sentence_index").join(num, ["doc_id", "sentence_index"], "left").join(norms, ["doc_id", "sentence_index"], "left").join(last, ["doc_id", "sentence_index"], "left")
-    den = F.col("norm") * F.col("norm_before")
-    return out.select("doc_id", "sentence_index", F.round(F.when(den > 0, F.coalesce(F.col("num"), F.lit(0.0)) / den).otherwise(F.lit(0.0)), 6).alias("similarity"))
+    """Cosine of every sentence (from the second) with the one before; 0 without a common term or with a zero norm, and for rows without a document."""
+    def rows(sentences: list[dict]) -> Iterator[tuple]:
+        w = _tfidf(sentences)
+        norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in w.items()}
+        for s in sentences:
+            i, den = s["i"], norm.get(s["i"], 0.0) * norm.get(s["i"] - 1, 0.0)
+            if i > 0:
+                yield i, sum(x * w[i - 1][t] for t, x in w[i].items() if t in w[i - 1]) / den if den > 0 else 0.0
+
+    out = _per_document(_word_lists(sents), rows, "sentence_index long, similarity double")
+    return out.withColumn("similarity", F.when(F.col("doc_id").isNull(), 0.0).otherwise(F.round("similarity", 6)))
 
 
 def chunk_coverage(chunks: DataFrame) -> DataFrame:

@@ -199,6 +199,20 @@ def test_tfidf_of_sentences(spark):
     assert [r["similarity"] for r in chunking.adjacent_similarity(s).orderBy("sentence_index").collect()] == [0.0, 0.0]
 
 
+def test_sentence_weights_shuffle_once_and_keep_odd_rows(spark):
+    """All of it stays within a document, so its sentences are shuffled once; sentences without words, rows without a document."""
+    df = spark.createDataFrame([(1, "alpha beta beta. 12 34. beta gamma. beta gamma. delta"), (2, "one"), (3, None), (None, "a. a b")], "doc_id long, text string")
+    s = chunking.sentence_rows(df)
+    for out in (chunking.tfidf_sentences(s), chunking.adjacent_similarity(s)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {(r["doc_id"], r["sentence_index"]): r["similarity"] for r in chunking.adjacent_similarity(s).collect()}
+    assert got == {(1, 1): 0.0, (1, 2): 0.0, (1, 3): 1.0, (1, 4): 0.0, (None, 1): 0.0}
+    w = {(r["doc_id"], r["sentence_index"], r["term"]): round(r["weight"], 6) for r in chunking.tfidf_sentences(s).collect()}
+    assert w == {(1, 0, "alpha"): round(math.log(5 / 2) / 3, 6), (1, 0, "beta"): round(2 / 3 * math.log(5 / 4), 6), (1, 2, "beta"): round(math.log(5 / 4) / 2, 6), (1, 2, "gamma"): round(math.log(5 / 3) / 2, 6),
+                 (1, 3, "beta"): round(math.log(5 / 4) / 2, 6), (1, 3, "gamma"): round(math.log(5 / 3) / 2, 6), (1, 4, "delta"): round(math.log(5 / 2), 6), (2, 0, "one"): round(math.log(1 / 2), 6)}
+
+
 def test_coverage(spark):
     df = spark.createDataFrame([(1, a, b) for a, b in [(0, 10), (5, 15), (15, 20), (30, 40), (7, 7)]], "doc_id long, start long, end long")
     assert chunking.chunk_coverage(df).first()["covered"] == 30
