@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,11 +64,15 @@ def merged_statistics(old: DataFrame, new: DataFrame, old_corpus: DataFrame, new
     return freq, both
 
 
+def weight(tf: Column, idf: Column, dl: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), to 6 places."""
+    return F.round(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)), 6)
+
+
 def encode_documents(counts: DataFrame, vocab: DataFrame, corpus: DataFrame, key: str, k1: float = K1, b: float = B) -> DataFrame:
     """(key, term, weight) with weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)), to 6 places, above 0. dl counts tokens outside the vocabulary too."""
     x = counts.join(vocab.select("term", "idf"), "term").crossJoin(F.broadcast(corpus.select("avgdl")))
-    tf = F.col("tf")
-    w = F.round(F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))), 6)
+    w = weight(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), k1, b)
     return x.select(key, "term", w.alias("weight")).filter("weight > 0")
 
 
