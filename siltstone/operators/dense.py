@@ -153,9 +153,11 @@ def in_lists(vectors: DataFrame, centroids: DataFrame, n: int = 1, key: str = "v
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            if len(p) and len(ids):
-                near = _nearest(ids, c, np.array(p[vector].tolist(), dtype=np.float64), n)
-                yield pd.DataFrame({key: np.repeat(p[key].to_numpy(), near.shape[1]), "list": near.ravel(), vector: p[vector].repeat(near.shape[1]).to_numpy()})
+            # as many rows at once as RANKED: a task holds no larger matrix of rows by lists
+            for i in range(0, len(p) if len(ids) else 0, RANKED):
+                x = p.iloc[i : i + RANKED]
+                near = _nearest(ids, c, np.array(x[vector].tolist(), dtype=np.float64), n)
+                yield pd.DataFrame({key: np.repeat(x[key].to_numpy(), near.shape[1]), "list": near.ravel(), vector: x[vector].repeat(near.shape[1]).to_numpy()})
 
     return vectors.select(key, vector).mapInPandas(run, f"{key} long, list long, {vector} array<double>")
 

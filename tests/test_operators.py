@@ -213,6 +213,21 @@ def test_sentence_weights_shuffle_once_and_keep_odd_rows(spark):
                  (1, 3, "beta"): round(math.log(5 / 4) / 2, 6), (1, 3, "gamma"): round(math.log(5 / 3) / 2, 6), (1, 4, "delta"): round(math.log(5 / 2), 6), (2, 0, "one"): round(math.log(1 / 2), 6)}
 
 
+def test_lists_are_found_for_few_rows_at_once(spark, monkeypatch):
+    from siltstone.operators import dense
+
+    most, nearest = [], dense._nearest
+    monkeypatch.setattr(dense, "RANKED", 7)
+    monkeypatch.setattr(dense, "_nearest", lambda ids, c, v, n: most.append(len(v)) or nearest(ids, c, v, n))
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "vec_id long, embedding array<double>").coalesce(1)
+    c = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "list long, c array<double>")
+    seen = {}
+    monkeypatch.setattr(type(v), "mapInPandas", lambda self, f, schema: seen.update(run=f) or self)
+    dense.in_lists(v, c)
+    out = list(seen["run"](iter([v.toPandas()])))
+    assert max(most) == 7 and [x for p in out for x in p["list"]] == [i % 5 for i in range(40)]
+
+
 def test_coverage(spark):
     df = spark.createDataFrame([(1, a, b) for a, b in [(0, 10), (5, 15), (15, 20), (30, 40), (7, 7)]], "doc_id long, start long, end long")
     assert chunking.chunk_coverage(df).first()["covered"] == 30
