@@ -212,3 +212,13 @@ def test_images_of_a_page():
         ("data:image/png;base64,AA", "image/png", True, "3px", None, "a b", "c"), ("x.JPG?v=1", "image/jpeg", False, None, None, "abc", ("w " * 50)[:4]), ("z.unknown", None, False, None, "4", "abc", "w w "),
     ]
     assert got[1]["srcset"] == [{"url": "x.JPG?v=1", "descriptor": "2x"}, {"url": "y", "descriptor": "3w"}] and len(got[2]["after"]) == 100 and got[2]["caption"] == "t"
+
+
+def test_hybrid_chunks_of_more_documents_than_are_held_at_once(spark):
+    from siltstone.operators import hybrid
+
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else f"text {i}\n![p{i}](u{i})\nmore") for i in range(3 * hybrid.AT_ONCE + 1)], "doc_id long, text string").coalesce(1)
+    x = hybrid.chunk_hybrid(df)
+    assert "MapInArrow" in x._jdf.queryExecution().executedPlan().toString()
+    got = [(r["doc_id"], r["chunk_index"], r["content"]) for r in x.filter("chunk_type = 'image'").orderBy("doc_id").collect()]
+    assert got == [(i, 1, f"[Image: p{i}]") for i in range(3 * hybrid.AT_ONCE + 1) if i % 7]
