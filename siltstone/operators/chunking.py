@@ -64,12 +64,20 @@ def chunk_stream(df: DataFrame, segment: int = 100_000, size: int = 500, overlap
     return _numbered(df, F.flatten(F.transform(segments, cut)), list(keep))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then(value)` with `value` evaluated once a row, however often `then` names it (inside a lambda Spark evaluates each mention)."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def last_break(window: Column, marks: tuple[str, ...], after: Column) -> Column:
     """Length of `window` up to and with the first character of the last of any of `marks` that begins after position `after` (0-based); null if none does."""
-    n = F.length(window)
-    ends = [n - F.locate(m[::-1], F.reverse(window)) - len(m) + 1 for m in marks]
-    hit = [F.when((F.locate(m[::-1], F.reverse(window)) > 0) & (e > after), e + 1) for m, e in zip(marks, ends, strict=True)]
-    return F.greatest(*hit, F.lit(None).cast("int")) if len(hit) > 1 else hit[0]
+    def hits(back: Column) -> Column:
+        n = F.length(back)
+        end = lambda size: lambda at: F.when((at > 0) & (n - at - size + 1 > after), n - at - size + 2)
+        hit = [once(F.locate(m[::-1], back), end(len(m))) for m in marks]
+        return F.greatest(*hit, F.lit(None).cast("int")) if len(hit) > 1 else hit[0]
+
+    return once(F.reverse(window), hits)
 
 
 def chunk_parent(df: DataFrame, size: int = 2000, overlap: int = 200, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -80,9 +88,10 @@ def chunk_parent(df: DataFrame, size: int = 2000, overlap: int = 200, text: str
     n = F.length(t).cast("long")
 
     def cut(s: Column) -> Column:
-        w = F.substring(t, (s + 1).cast("int"), F.lit(size))
-        e = F.when(s + size < n, F.coalesce(last_break(w, ("。", ". ", "\n\n"), F.lit(int(size * 0.8))).cast("long"), F.lit(size).cast("long"))).otherwise(n - s)
-        return F.struct(F.substring(w, F.lit(1), e.cast("int")).alias("content"), s.alias("start"), (s + e).alias("end"))
+        return once(F.substring(t, (s + 1).cast("int"), F.lit(size)), lambda w: once(end(w, s), lambda e: F.struct(F.substring(w, F.lit(1), e.cast("int")).alias("content"), s.alias("start"), (s + e).alias("end"))))
+
+    def end(w: Column, s: Column) -> Column:
+        return F.when(s + size < n, F.coalesce(last_break(w, ("。", ". ", "\n\n"), F.lit(int(size * 0.8))).cast("long"), F.lit(size).cast("long"))).otherwise(n - s)
 
     out = _numbered(df, F.transform(window_starts(n, size, size - overlap), cut), list(keep))
     return out.withColumn("parent_id", F.concat_ws("-", *keep, "chunk_index"))
@@ -96,9 +105,10 @@ def chunk_child(parents: DataFrame, size: int = 500, overlap: int = 50, keep: tu
     n = F.length(t).cast("long")
 
     def cut(s: Column) -> Column:
-        w = F.substring(t, (s + 1).cast("int"), F.lit(size))
-        e = F.when(s + size < n, F.coalesce(last_break(w, (" ", "\n"), F.lit(int(size * 0.8))).cast("long"), F.lit(size).cast("long"))).otherwise(n - s)
-        return F.struct(F.substring(w, F.lit(1), e.cast("int")).alias("content"), s.alias("start"), (s + e).alias("end"))
+        return once(F.substring(t, (s + 1).cast("int"), F.lit(size)), lambda w: once(end(w, s), lambda e: F.struct(F.substring(w, F.lit(1), e.cast("int")).alias("content"), s.alias("start"), (s + e).alias("end"))))
+
+    def end(w: Column, s: Column) -> Column:
+        return F.when(s + size < n, F.coalesce(last_break(w, (" ", "\n"), F.lit(int(size * 0.8))).cast("long"), F.lit(size).cast("long"))).otherwise(n - s)
 
     src = parents.select(*keep, "parent_id", F.col("start").alias("parent_start"), "content")
     out = _numbered(src, F.transform(window_starts(n, size, size - overlap), cut), [*keep, "parent_id", "parent_start"])

@@ -213,6 +213,15 @@ def test_sentence_weights_shuffle_once_and_keep_odd_rows(spark):
                  (1, 3, "beta"): round(math.log(5 / 4) / 2, 6), (1, 3, "gamma"): round(math.log(5 / 3) / 2, 6), (1, 4, "delta"): round(math.log(5 / 2), 6), (2, 0, "one"): round(math.log(1 / 2), 6)}
 
 
+def test_windows_are_cut_and_reversed_once(spark):
+    """A window that moves back to a mark is one expression, however many marks are looked for."""
+    df = spark.createDataFrame([(1, "a. " * 900 + "x" * 300)], "doc_id long, text string")
+    x = chunking.chunk_parent(df)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(") == 1 and plan.count("substring(") == 2
+    assert [(r["start"], r["end"]) for r in x.orderBy("start").collect()] == [(0, 1997), (1800, 3000)]
+
+
 def test_lists_are_found_for_few_rows_at_once(spark, monkeypatch):
     from siltstone.operators import dense
 
