@@ -10,7 +10,8 @@
 4. Pairs whose samples agree often enough are verified by the exact weighted Jaccard similarity of their whole texts.
 5. Verified links are joined to classes by large-star and small-star rounds, each written to the shared folder.
 6. The members of large buckets that still hold several classes are joined exactly: two texts of the least similarity share a shingle among
-   the rarest of each, and what follows that shingle in both leaves room for it. Their links complete the classes.
+   the rarest of each, and what follows that shingle in both leaves room for it. At first each text meets some members of the class that has most of such
+   a shingle's list, and classes that are linked so become one; then all pairs of different classes are compared. Their links complete the classes.
 Texts with the same words in the same order are one node from the start; copies are never expanded into pairs.
 """
 
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import broadcast_if, discard, kept, small_batches, staged
@@ -37,8 +38,8 @@ AGREE = 10
 SKETCH, BLOCKS = 1 << 20, 64
 #: Buckets up to this size give all pairs; larger ones pairs with representatives.
 SMALL, RANDOM = 8, 1
-#: Members of one shingle's list that one part of it holds.
-PART = 2048
+#: Members of one shingle's list that one part of it holds; members of a list's largest class that all others of the list are compared with first.
+PART, CENTRAL = 2048, 8
 TABLE = 1 << 16
 RARITY = 0.25
 
@@ -275,14 +276,14 @@ def unsettled(met: DataFrame, classes: DataFrame) -> DataFrame:
     return large.join(several, "bucket").groupBy("node").agg(F.first("root").alias("root"))
 
 
-def prefix_pairs(vector: DataFrame, nodes: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of different roots, among them all whose similarity is at least `similarity`; nodes: (node, root).
+def prefixes(vector: DataFrame, nodes: DataFrame, idf, similarity: float = SIMILARITY) -> DataFrame:
+    """(token, node, root, weight, rest, short): the rarest shingles of each text, the weight of the text and of what is left of it from there on; nodes: (node, root).
 
     Shingles go from the rarest to the commonest. Two texts of weights u <= v at `similarity` have at least need = similarity / (1 + similarity) * (u + v)
-    in common, which is 2 * similarity / (1 + similarity) of u and `similarity` of v or more. So their first common shingle has at least that much of each
-    text from it onwards, and at least `need` of both.
+    in common, which is 2 * similarity / (1 + similarity) of u (`short`) and `similarity` of v or more. So their first common shingle has at least that much of each
+    text from it onwards, and at least `need` of both (`_room`).
     """
-    share = similarity / (1 + similarity) * (1 - 1e-6)
+    share = _share(similarity)
 
     def prefix(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = idf.value
@@ -300,7 +301,35 @@ def prefix_pairs(vector: DataFrame, nodes: DataFrame, idf, similarity: float = S
                     token, rest, weight, short = (np.concatenate(c) for c in zip(*out, strict=True))
                     yield pd.DataFrame({"token": token, "node": np.repeat(q["node"].to_numpy(), times), "root": np.repeat(q["root"].to_numpy(), times), "weight": weight, "rest": rest, "short": short})
 
-    each = staged(vector.join(nodes, "node").mapInPandas(prefix, "token long, node string, root string, weight double, rest double, short boolean"), "neardup-prefixes")
+    return vector.join(nodes, "node").mapInPandas(prefix, "token long, node string, root string, weight double, rest double, short boolean")
+
+
+def _share(similarity: float) -> float:
+    return similarity / (1 + similarity) * (1 - 1e-6)
+
+
+def _room(similarity: float, weights: tuple[Column, Column], rests: tuple[Column, Column]) -> Column:
+    return _share(similarity) * (weights[0] + weights[1]) <= F.least(*rests)
+
+
+def central_pairs(each: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Rows of `prefixes` whose shingle texts of several roots share, and distinct pairs (a, b): each text with CENTRAL random ones of the root that has most of a shingle's list.
+
+    Most texts outside a large class are near one of these, so that a class and its neighbours are not met in all their pairs: pairs grow with the rows."""
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(s), F.col("token"), F.col("node")).alias("h"), "node", "weight", "rest")).alias(f"c{s}") for s in range(CENTRAL)]
+    by_root = each.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), *drawn)
+    members = F.array_distinct(F.transform(F.array(*[f"c{s}" for s in range(CENTRAL)]), lambda c: F.struct(c["node"].alias("node"), c["weight"].alias("weight"), c["rest"].alias("rest"))))
+    most = F.max_by(F.struct("root", members.alias("central")), F.struct("n", "root"))
+    lists = staged(by_root.groupBy("token").agg(F.count(F.lit(1)).alias("roots"), most.alias("most")).filter("roots > 1").select("token", "most.*"), "neardup-lists")
+    shared = staged(each.join(lists.select("token"), "token", "left_semi"), "neardup-shared")
+    met = shared.join(lists.withColumnRenamed("root", "_most"), "token").filter("root <> _most")
+    near = F.filter("central", lambda c: _room(similarity, (F.col("weight"), c["weight"]), (F.col("rest"), c["rest"])))
+    pairs = met.select("node", F.explode(F.transform(near, lambda c: c["node"])).alias("other"))
+    return shared, pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def prefix_pairs(each: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of different roots, among them all whose similarity is at least `similarity`; each: rows of `prefixes`."""
     lists = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi")
     lists = staged(lists.select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "neardup-lists")
     rows = each.join(lists, "token")
@@ -308,11 +337,24 @@ def prefix_pairs(vector: DataFrame, nodes: DataFrame, idf, similarity: float = S
     left = rows.filter("short").select("token", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"a_{c}") for c in cols])
     right = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in cols])
     later = F.struct("a_weight", "a_node") < F.struct("b_weight", "b_node")
-    room = share * (F.col("a_weight") + F.col("b_weight")) <= F.least("a_rest", "b_rest")
+    room = _room(similarity, (F.col("a_weight"), F.col("b_weight")), (F.col("a_rest"), F.col("b_rest")))
     pairs = left.join(right, ["token", "part"]).filter((F.col("a_root") != F.col("b_root")) & later & room)
     return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
+def joined(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, to): roots of `nodes` (node, root) that links (a, b) join to another, with the least root of their new class. So only roots go through `components`."""
+    a, b = (nodes.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    between = links.select("a", "b").join(a, "a").join(b, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    return components(between).select(F.col("node").alias("root"), F.col("root").alias("to")).filter("root <> to")
+
+
+def rerooted(nodes: DataFrame, moved: DataFrame, most_broadcast: int = 1 << 17) -> DataFrame:
+    """Rows with a column root, each with the root that `moved` (of `joined`) gives its own."""
+    cols = [F.coalesce("to", "root").alias("root") if c == "root" else F.col(c) for c in nodes.columns]
+    return nodes.join(broadcast_if(moved, most_broadcast), "root", "left").select(*cols)
+
+
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root): every linked node and the least node of its class. links: (a, b). Nodes without a link are absent."""
     edges, before = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars"), None
@@ -365,11 +407,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rest = staged(unsettled(met, classes), "neardup-unsettled")
     if not rest.isEmpty():
         vector = text_vectors(docs, texts, rest, "neardup-unsettled", text)
-        found = staged(verified(staged(prefix_pairs(vector, rest, idf, similarity), "neardup-pairs"), vector, idf, similarity), "neardup-links")
+        each = staged(prefixes(vector, rest, idf, similarity), "neardup-prefixes")
+        shared, central = central_pairs(each, similarity)
+        discard(each)
+        for turn in ("central", "all"):
+            pairs = staged(central if turn == "central" else prefix_pairs(shared, similarity), "neardup-pairs")
+            found = staged(verified(pairs, vector, idf, similarity), "neardup-links")
+            discard(pairs)
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                moved = staged(joined(rest, found), "neardup-moved")
+                # texts without a link are absent from `classes`
+                alone = rest.join(classes, "node", "left_anti").select("node", "root")
+                classes = rerooted(classes.unionByName(alone), moved)
+                rest, shared = rerooted(rest, moved), rerooted(shared, moved)
         discard(vector)
-        if not found.isEmpty():
-            links = links.unionByName(found).dropDuplicates(["a", "b"])
-            classes = components(links)
+        links = links.dropDuplicates(["a", "b"])
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     # one row a distinct text first, so that large classes meet as few rows
     each = texts.join(classes, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))

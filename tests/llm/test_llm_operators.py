@@ -571,6 +571,22 @@ def test_neardup_pairs_below_a_very_frequent_passage(spark):
     assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in got} == {i: (i - i % 2, 2) for i, _ in rows}
 
 
+def test_neardup_members_of_a_large_class_meet_its_neighbours_in_few_pairs(spark):
+    rows = [(7, f"n{i:03d}", "n000" if i < 200 else f"n{i:03d}", 1.0, 1.0, True) for i in range(300)] + [(8, "n299", "n299", 1.0, 1.0, True), (8, "z", "z", 1.0, 0.1, True)]
+    each = spark.createDataFrame(rows, "token long, node string, root string, weight double, rest double, short boolean")
+    all_pairs = neardup.prefix_pairs(each).count()
+    shared, pairs = neardup.central_pairs(each)
+    few = {(r["a"], r["b"]) for r in pairs.collect()}
+    assert all_pairs == 100 * 200 + 100 * 99 // 2 and 100 <= len(few) <= 100 * neardup.CENTRAL and shared.count() == len(rows)
+    # all but n250 are near some of the members; what is left are its pairs with others
+    links = spark.createDataFrame([p for p in few if "n250" not in p], "a string, b string")
+    nodes = each.select("node", "root").distinct()
+    moved = neardup.joined(nodes, links)
+    assert {r["node"]: r["root"] for r in neardup.rerooted(nodes, moved).collect()} == {r[1]: r[1] if r[1] in ("n250", "z") else "n000" for r in rows}
+    left = {(r["a"], r["b"]) for r in neardup.prefix_pairs(neardup.rerooted(shared, moved)).collect()}
+    assert left == {tuple(sorted(("n250", f"n{i:03d}"))) for i in range(300) if i != 250}
+
+
 def test_components(spark):
     chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(40)] + [("a", "b"), ("b", "a"), ("c", "c")]
     got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(chain, "a string, b string")).collect()}
