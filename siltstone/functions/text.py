@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ WORD = r"[\x{4e00}-\x{9fff}]|[a-zA-Z]+"
 SENTENCE_END = r"[。！？.!?][ \t\n\r\f\x0B]*"
 
 
+def with_value(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with `value` evaluated once a row: a column named in the function of an array is else evaluated anew at each of its elements."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (`trim` alone takes only blanks)."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")

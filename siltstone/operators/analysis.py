@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,24 +67,30 @@ def flags(f: DataFrame) -> DataFrame:
 
 def is_log_like(text: Column) -> Column:
     """Over 0.4 of the first 30 lines (of 5 or more) begin with a time stamp or a level."""
-    first = F.slice(lines(text), 1, 30)
-    hits = F.aggregate(first, F.lit(0), lambda s, x: s + x.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}[ \tT]\d{2}:\d{2}").cast("int") + x.rlike(r"(?i)^(INFO|DEBUG|WARN|ERROR|FATAL|WARNING|TRACE)[ \t]").cast("int"))
-    return (F.size(first) >= 5) & (hits / F.size(first) > 0.4)
+    def logged(first: Column) -> Column:
+        hits = F.aggregate(first, F.lit(0), lambda s, x: s + x.rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}[ \tT]\d{2}:\d{2}").cast("int") + x.rlike(r"(?i)^(INFO|DEBUG|WARN|ERROR|FATAL|WARNING|TRACE)[ \t]").cast("int"))
+        return (F.size(first) >= 5) & (hits / F.size(first) > 0.4)
+
+    return T.with_value(F.slice(lines(text), 1, 30), logged)
 
 
 def is_structured(text: Column) -> Column:
     """At least 3 lines, over 0.6 of them `key: value`."""
-    ls = lines(text)
-    return (F.size(ls) >= 3) & (F.size(F.filter(ls, lambda s: s.rlike(r"^.{2,50}:[ \t]+.+$"))) / F.size(ls) > 0.6)
+    return T.with_value(lines(text), lambda ls: (F.size(ls) >= 3) & (F.size(F.filter(ls, lambda s: s.rlike(r"^.{2,50}:[ \t]+.+$"))) / F.size(ls) > 0.6))
+
+
+def spread_of(n: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
+    """f(n, mean, variance) of an array of numbers; both null for an empty one."""
+    total = lambda each: F.try_divide(F.aggregate(n, F.lit(0.0), each), F.size(n))
+    return T.with_value(total(lambda s, x: s + x), lambda mean: T.with_value(total(lambda s, x: s + (x - mean) * (x - mean)), lambda var: f(n, mean, var)))
 
 
 def line_uniformity(text: Column) -> Column:
     """1 minus the coefficient of variation of the lengths of the first 50 lines that aren't blank, as they stand, from 0 to 1, to 3 places; 0 for fewer than
     3 lines or a mean under 10."""
     n = F.transform(F.slice(F.filter(F.split(text, "\n"), lambda s: T.strip(s) != ""), 1, 50), F.length)
-    mean = F.aggregate(n, F.lit(0.0), lambda s, x: s + x) / F.size(n)
-    var = F.aggregate(n, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(n)
-    return F.when((F.size(n) < 3) | (mean < 10), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(var) / mean)), 3))
+    even = lambda n, mean, var: F.when((F.size(n) < 3) | (mean < 10), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.sqrt(var) / mean)), 3))
+    return T.with_value(n, lambda n: spread_of(n, even))
 
 
 def document_format(file_format: Column, file_name: Column, metadata_format: Column, loader: Column) -> Column:
@@ -96,20 +104,21 @@ def document_format(file_format: Column, file_name: Column, metadata_format: Col
 def is_flattened_tabular(text: Column, fmt: Column) -> Column:
     """Spreadsheet texts without a Markdown table whose first 30 lines (3 or more, 20 characters and more in the mean) vary in length by under half the mean."""
     n = F.transform(F.slice(lines(text), 1, 30), F.length)
-    mean = F.aggregate(n, F.lit(0.0), lambda s, x: s + x) / F.size(n)
-    var = F.aggregate(n, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(n)
-    return fmt.isin("xlsx", "xls", "csv") & (F.regexp_count(text, F.lit(MARKDOWN_TABLE)) == 0) & (F.size(n) >= 3) & F.coalesce((mean >= 20) & (F.sqrt(var) / mean < 0.5), F.lit(False))
+    even = lambda n, mean, var: (F.size(n) >= 3) & F.coalesce((mean >= 20) & (F.sqrt(var) / mean < 0.5), F.lit(False))
+    return fmt.isin("xlsx", "xls", "csv") & (F.regexp_count(text, F.lit(MARKDOWN_TABLE)) == 0) & T.with_value(n, lambda n: spread_of(n, even))
 
 
 def is_slide_like(text: Column, fmt: Column, slides: Column) -> Column:
     """Slides by format or number; else 3 or more paragraphs, short in the mean, with many lines that begin with a bullet (stricter for Word documents)."""
-    para = paragraphs(text)
-    mean = F.aggregate(F.transform(para, F.length), F.lit(0.0), lambda s, x: s + x) / F.size(para)
-    line = F.flatten(F.transform(para, lambda p: F.split(p, "\n")))
-    share = F.size(F.filter(line, lambda x: x.rlike(r"^[ \t\n\r\f\x0B]*[-•*▪▸►][ \t\n\r\f\x0B]"))) / F.size(line)
     word = F.lower(fmt).isin("docx", "doc")
-    plain = (F.size(para) >= 3) & F.when(word, (mean < 100) & (share > 0.6)).otherwise((mean < 300) & (share > 0.3))
-    return F.lower(fmt).isin("pptx", "ppt") | (F.coalesce(slides, F.lit(0)) > 0) | F.coalesce(plain, F.lit(False))
+
+    def bulleted(para: Column) -> Column:
+        mean = F.aggregate(F.transform(para, F.length), F.lit(0.0), lambda s, x: s + x) / F.size(para)
+        line = F.flatten(F.transform(para, lambda p: F.split(p, "\n")))
+        share = T.with_value(line, lambda line: F.size(F.filter(line, lambda x: x.rlike(r"^[ \t\n\r\f\x0B]*[-•*▪▸►][ \t\n\r\f\x0B]"))) / F.size(line))
+        return (F.size(para) >= 3) & F.when(word, (mean < 100) & (share > 0.6)).otherwise((mean < 300) & (share > 0.3))
+
+    return F.lower(fmt).isin("pptx", "ppt") | (F.coalesce(slides, F.lit(0)) > 0) | F.coalesce(T.with_value(paragraphs(text), bulleted), F.lit(False))
 
 
 def recommend_text_strategy(fmt: Column, table_layout: Column, flattened: Column, log_like: Column, slide_like: Column, clear_structure: Column, headings: Column) -> Column:

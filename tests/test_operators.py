@@ -340,3 +340,13 @@ def test_chunk_text_of_pictures(spark):
 ])
 def test_pictures_become_placeholders(text, want):
     assert files.placeholders(text) == want
+
+
+def test_lines_of_a_text_are_taken_once(spark):
+    df = spark.createDataFrame([("a,b\n" * 40, "csv"), ("a line of 20 characters\nanother of 20 characters\n\n third of 20 characters", "xlsx"), ("", "csv"), (None, "csv")], "text string, fmt string")
+    t, f = F.col("text"), F.col("fmt")
+    exprs = [analysis.is_flattened_tabular(t, f), analysis.line_uniformity(t), analysis.is_log_like(t), analysis.is_structured(t)]
+    for e in exprs:
+        assert df.select(e.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = df.select(*[e.alias(str(i)) for i, e in enumerate(exprs)]).collect()
+    assert [tuple(r) for r in got[:3]] == [(False, 0.0, False, False), (True, 0.98, False, False), (False, 0.0, False, False)]
