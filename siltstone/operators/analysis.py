@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,20 +167,33 @@ def keyword_table(extra: dict[str, list[str]] | None = None) -> list[tuple[str,
     return list(dict.fromkeys(rows))
 
 
-def keyword_hits(low: Column, extra: dict[str, list[str]] | None = None) -> dict[str, Column]:
-    """For each domain, how many of its keywords a lower-case text has."""
-    by: dict[str, list[str]] = {}
+def keyword_hits(low: Column, extra: dict[str, list[str]] | None = None) -> Column:
+    """An array: for each domain, in order, how many of its keywords a lower-case text has; null for a null text."""
+    by: dict[str, list[str]] = {d: [] for d in domains_of(extra)}
     for d, k in keyword_table(extra):
-        by.setdefault(d, []).append(k)
-    return {d: F.aggregate(F.array(*[F.lit(k) for k in ks]), F.lit(0), lambda s, k: s + low.contains(k).cast("int")) for d, ks in by.items()}
+        by[d].append(k)
+    every = list(by.values())
+    plain = [[k for k in ks if k.isascii()] for ks in every]
+
+    @F.arrow_udf("array<int>")
+    def hits(texts: pa.Array) -> pa.Array:
+        # a text of ASCII characters has no other keywords
+        count = lambda t: None if t is None else [sum(k in t for k in ks) for ks in (plain if t.isascii() else every)]
+        return pa.array([count(t.as_py()) for t in texts], pa.list_(pa.int32()))
+
+    return hits(low)
+
+
+def domains_of(extra: dict[str, list[str]] | None = None) -> list[str]:
+    return list(dict.fromkeys(d for d, _ in keyword_table(extra)))
 
 
 def domain_shares(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep, domain, share): the domains with a keyword in the text by their share of the hits, and general, which counts a tenth of all beside them; a text without hits is half general."""
-    hits = keyword_hits(F.lower(F.coalesce(F.col(text), F.lit(""))))
-    x = df.select(*keep, F.map_from_arrays(F.array(*[F.lit(d) for d in hits]), F.array(*hits.values())).alias("_n"))
-    total = F.aggregate(F.map_values("_n"), F.lit(0), lambda s, n: s + n)
-    named = F.transform(F.filter(F.map_entries("_n"), lambda e: e["value"] > 0), lambda e: F.struct(e["key"].alias("domain"), F.round(e["value"] / F.col("_total") / 1.1, 6).alias("share")))
+    x = df.select(*keep, keyword_hits(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("_n"))
+    total = F.aggregate("_n", F.lit(0), lambda s, n: s + n)
+    each = F.arrays_zip(F.array(*[F.lit(d) for d in domains_of()]).alias("key"), F.col("_n").alias("value"))
+    named = F.transform(F.filter(each, lambda e: e["value"] > 0), lambda e: F.struct(e["key"].alias("domain"), F.round(e["value"] / F.col("_total") / 1.1, 6).alias("share")))
     other = F.struct(F.lit("general").alias("domain"), F.when(F.col("_total") == 0, 0.5).otherwise(F.round(F.lit(0.1) / 1.1, 6)).alias("share"))
     return x.withColumn("_total", total).select(*keep, F.inline(F.concat(named, F.array(other))))
 
@@ -187,8 +201,9 @@ def domain_shares(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
 def classify_domain(df: DataFrame, text: str = "text", extra: dict[str, list[str]] | None = None) -> DataFrame:
     """Adds domain, confidence and hits. A domain's score is the number of its keywords that occur in the text; p = score / all; fewer than two hits lower the
     confidence by 0.7; at most 0.95; ties by domain order; without a hit general, 0.5. Counted in the row: no join."""
-    by = keyword_hits(F.col("_low"), extra)
-    out = df.withColumn("_low", F.lower(F.col(text))).select("*", *[n.alias(f"_{d}") for d, n in by.items()]).drop("_low")
+    by = domains_of(extra)
+    out = df.withColumn("_hits", keyword_hits(F.lower(F.col(text)), extra))
+    out = out.select(*df.columns, *[F.col("_hits")[i].alias(f"_{d}") for i, d in enumerate(by)])
     total, best = sum((F.col(f"_{d}") for d in by), F.lit(0)), F.greatest(*[F.col(f"_{d}") for d in by])
     pick = F.when(total == 0, "general")
     for d in by:

@@ -350,3 +350,13 @@ def test_lines_of_a_text_are_taken_once(spark):
         assert df.select(e.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     got = df.select(*[e.alias(str(i)) for i, e in enumerate(exprs)]).collect()
     assert [tuple(r) for r in got[:3]] == [(False, 0.0, False, False), (True, 0.98, False, False), (False, 0.0, False, False)]
+
+
+def test_keyword_hits(spark):
+    df = spark.createDataFrame([("the latest api of a database",), ("合同 and 变量",), ("",), (None,)], "text string")
+    hits = [r["h"] for r in df.select(analysis.keyword_hits(F.col("text")).alias("h")).collect()]
+    # test (in latest) counts for technical and medical, api and database for technical; 变量 for technical and academic
+    assert analysis.domains_of() == list(analysis.DOMAINS) and hits[0][0] >= 3 and hits[0][2] == 1 and hits[2] == [0] * len(analysis.DOMAINS) and hits[3] is None
+    assert hits[1][:2] == [1, 1] and hits[1][4] == 1
+    plan = analysis.domain_shares(df.withColumn("doc_id", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "hits(" in plan and "contains" not in plan.lower()
