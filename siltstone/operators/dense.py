@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,22 +31,22 @@ def hash_embedding(df: DataFrame, key: str, text: str = "text", dim: int = DIM)
 
 def hashed(text: Column, dim: int = DIM) -> Column:
     """The same embedding as an array, inside the row; null for a text whose vector is zero or that has no token."""
-    @F.pandas_udf("array<double>")
-    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, tuple[int, float]] = {}
         for p in parts:
             out = []
-            for t in p:
-                v, terms = np.zeros(dim), re.findall("[\u4e00-\u9fff]|[a-zA-Z0-9]+", (t or "").lower())
-                for w in terms:
+            for t in p.to_pylist():
+                v = [0.0] * dim
+                for w in re.findall("[\u4e00-\u9fff]|[a-zA-Z0-9]+", (t or "").lower()):
                     if (x := known.get(w)) is None:
                         if len(known) > 500_000:
                             known.clear()
                         h = hashlib.md5(w.encode()).hexdigest()
                         x = known[w] = (int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0)
                     v[x[0]] += x[1]
-                out.append(v if v.any() else None)
-            yield pd.Series(out)
+                out.append(v if any(v) else None)
+            yield pa.array(out, pa.list_(pa.float64()))
 
     return embed(text)
 
