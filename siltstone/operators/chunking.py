@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
+#: The white space of `functions.text.SPACE`.
+BLANKS = " \t\n\r\f\x0b"
 CHUNK = "array<struct<content:string,start:long,end:long,records:boolean>>"
 
 
@@ -33,7 +35,7 @@ def window_starts(n: Column, size: int, step: int) -> Column:
 
 def _numbered(df: DataFrame, chunks: Column, keep: list[str]) -> DataFrame:
     """Chunks (content, start, end) whose stripped content is not empty, numbered from 0 in order."""
-    full = F.filter(F.transform(chunks, lambda c: F.struct(T.strip(c["content"]).alias("content"), c["start"].alias("start"), c["end"].alias("end"))), lambda c: c["content"] != "")
+    full = F.filter(F.transform(chunks, lambda c: F.struct(F.btrim(c["content"], F.lit(BLANKS)).alias("content"), c["start"].alias("start"), c["end"].alias("end"))), lambda c: c["content"] != "")
     rows = df.select(*keep, F.posexplode(full).alias("chunk_index", "c"))
     return rows.select(*keep, F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.content").alias("content"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.length("c.content").cast("long").alias("char_count"), T.word_count(F.col("c.content")).alias("word_count"))
 
@@ -42,8 +44,8 @@ def chunk_windows(df: DataFrame, size: int = 500, step: int = 450, text: str = "
     """Sliding windows. Contents are stripped, offsets are those before stripping; empty windows take no index."""
     _check(size, step)
     t = F.col(text)
-    n = F.length(t).cast("long")
-    cut = F.transform(window_starts(n, size, step), lambda s: F.struct(F.substring(t, (s + 1).cast("int"), F.lit(size)).alias("content"), s.alias("start"), F.least(s + size, n).alias("end")))
+    # characters are counted once a text, not once a window
+    cut = once(F.length(t).cast("long"), lambda n: F.transform(window_starts(n, size, step), lambda s: F.struct(F.substring(t, (s + 1).cast("int"), F.lit(size)).alias("content"), s.alias("start"), F.least(s + size, n).alias("end"))))
     return _numbered(df, cut, list(keep))
 
 

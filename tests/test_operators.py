@@ -360,3 +360,13 @@ def test_keyword_hits(spark):
     assert hits[1][:2] == [1, 1] and hits[1][4] == 1
     plan = analysis.domain_shares(df.withColumn("doc_id", F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
     assert "hits(" in plan and "contains" not in plan.lower()
+
+
+def test_windows_count_a_text_once_and_strip_every_white_space(spark):
+    """The number of characters stands once in the plan, not at every window; contents are stripped of the same characters as by `text.strip`."""
+    df = spark.createDataFrame([(1, " \t\r\n\f\x0b é中  x" * 9 + "\x0b\f "), (2, ""), (3, None), (4, " \n\t")], "doc_id long, text string")
+    found = chunking.chunk_windows(df, 7, 5)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("length(text") == 1
+    cut = df.select("doc_id", F.explode(chunking.window_starts(F.length("text").cast("long"), 7, 5)).alias("s"), "text").select("doc_id", "s", T.strip(F.substring("text", (F.col("s") + 1).cast("int"), F.lit(7))).alias("content"))
+    want = sorted((r["doc_id"], r["s"], r["content"]) for r in cut.collect() if r["content"])
+    assert sorted((r["doc_id"], r["start"], r["content"]) for r in found.collect()) == want and want
