@@ -44,8 +44,19 @@ def chunk_windows(df: DataFrame, size: int = 500, step: int = 450, text: str = "
     """Sliding windows. Contents are stripped, offsets are those before stripping; empty windows take no index."""
     _check(size, step)
     t = F.col(text)
-    # characters are counted once a text, not once a window
-    cut = once(F.length(t).cast("long"), lambda n: F.transform(window_starts(n, size, step), lambda s: F.struct(F.substring(t, (s + 1).cast("int"), F.lit(size)).alias("content"), s.alias("start"), F.least(s + size, n).alias("end"))))
+    at = lambda whole, start, length: F.substring(whole, (start + 1).cast("int"), length.cast("int"))
+    # characters are counted once a text, not once a window; and as a character is found by reading the text from its start, windows are cut
+    # from runs of as many windows as there are runs
+    def run(n: Column, count: Column, many: Column, r: Column) -> Column:
+        first = (r * many).cast("long")
+        windows = F.sequence(F.lit(0).cast("long"), F.least(many.cast("long"), count - first) - 1)
+        cut = lambda part: F.transform(windows, lambda i: F.struct(at(part, i * step, F.lit(size)).alias("content"), ((first + i) * step).alias("start"), F.least((first + i) * step + size, n).alias("end")))
+        return once(at(t, first * step, many * step + size), cut)
+
+    def runs(n: Column, count: Column) -> Column:
+        return once(F.ceil(F.sqrt(count)).cast("long"), lambda many: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(count / many).cast("long") - 1), lambda r: run(n, count, many, r))))
+
+    cut = once(F.length(t).cast("long"), lambda n: F.when(n > 0, once(F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(step)) + 1).cast("long"), lambda count: runs(n, count))).otherwise(F.lit(None)))
     return _numbered(df, cut, list(keep))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
+from siltstone.functions.tokens import coded_tokens
 
 DIM = 64
 
@@ -33,20 +33,15 @@ def hashed(text: Column, dim: int = DIM) -> Column:
     """The same embedding as an array, inside the row; null for a text whose vector is zero or that has no token."""
     @F.arrow_udf("array<double>")
     def embed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, tuple[int, float]] = {}
         for p in parts:
-            out = []
-            for t in p.to_pylist():
-                v = [0.0] * dim
-                for w in re.findall("[\u4e00-\u9fff]|[a-zA-Z0-9]+", (t or "").lower()):
-                    if (x := known.get(w)) is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        h = hashlib.md5(w.encode()).hexdigest()
-                        x = known[w] = (int(h[:8], 16) % dim, 1.0 if h[8] < "8" else -1.0)
-                    v[x[0]] += x[1]
-                out.append(v if any(v) else None)
-            yield pa.array(out, pa.list_(pa.float64()))
+            words, codes, rows = coded_tokens(p)
+            digests = b"".join([hashlib.md5(w).digest() for w in words.cast(pa.binary()).to_numpy(zero_copy_only=False)])
+            h = np.frombuffer(digests, dtype=[("slot", ">u4"), ("sign", "u1"), ("rest", "V11")])
+            at, sign = h["slot"].astype(np.int64)[codes] % dim, np.where(h["sign"] < 0x80, 1.0, -1.0)[codes]
+            v = np.bincount(rows * dim + at, weights=sign, minlength=len(p) * dim)
+            empty = ~v.reshape(len(p), dim).any(axis=1)
+            ends = np.arange(len(p) + 1, dtype=np.int32) * dim
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(v), mask=pa.array(empty))
 
     return embed(text)
 

@@ -33,24 +33,13 @@ def index(s, d) -> tuple[X.Store, str]:
     return _built[key]
 
 
-def light_index(s, d, ratio: float) -> tuple[X.Store, str]:
-    """A second index of the same chunks, without vectors and without the lightest share `ratio` of each chunk's weights."""
-    store, name = index(s, d)
-    key = (store.folder, name, ratio)
-    if key not in _built or not Folder(s, store.folder).exists("indexes"):
-        rows = store.read("chunks", name).select("doc_id", "chunk_id", "chunk_index", "text", F.lit(None).cast("array<double>").alias("embedding"))
-        light = X.Store(s, shared_folder(s, "light"))
-        _built[key] = (light, light.build("light", rows, DIM, METRIC, "idx_light", drop_ratio=ratio))
-    return _built[key]
-
-
 def vectors(s, d):
     return D.hash_vectors(questions(s, d), "query_id", "query").withColumnRenamed("embedding", "q")
 
 
-def sparse_top(s, d, n=20):
-    """The n best chunks of every benchmark item by BM25."""
-    return X.sparse_search(*index(s, d), questions(s, d), n).select("query_id", "chunk_id", "score", "rank")
+def sparse_top(s, d, n=20, drop_ratio=0.0):
+    """The n best chunks of every benchmark item by BM25, with the lightest share `drop_ratio` of each chunk's weights left out."""
+    return X.sparse_search(*index(s, d), questions(s, d), n, drop_ratio=drop_ratio).select("query_id", "chunk_id", "score", "rank")
 
 
 def dense_top(s, d, n=20):
